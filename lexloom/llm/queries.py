@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, language, mixing, quality, simhash, token_counts, toxicity, warc
+from . import brown, decontam, exact_dedup, language, mixing, quality, simhash, token_counts, toxicity, warc
 from .common import read
 
 
@@ -44,6 +44,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op9_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.language_model_scores(read(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_simhash_near_dedup, op3_token_counts, op4_quality, op5_source_mix,
-        op6_exact_dedup, op7_toxicity, op8_decontamination, op10_warc,
+        op6_exact_dedup, op7_toxicity, op8_decontamination, op9_class_bigrams, op10_warc,
     )
 }
 
