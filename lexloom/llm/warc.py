@@ -42,6 +42,7 @@ DATE = "2020-01-01T00:00:00Z"  # of all records: a clock would make archives dif
 SAMPLED_IDS = 20_000  # most ids from which splitters are chosen, about
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value of RFC 9562 for URLs
 MANIFEST = "file string, shard long, number long, records long, bytes long, sha256 string"
+COLUMNS = ["shard", "page_id", "sha1", "is_page", "url", "payload", "size", "least", "grouped"]
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -111,11 +112,15 @@ class _File:
 
 def _writer(out: str, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, before, done = None, None, []
+        file, before, mark, done = None, None, None, []
         for batch in batches:
-            columns = [batch.column(c) for c in ("shard", "page_id", "url", "payload", "size", "sha1", "least", "grouped")]
+            columns = [batch.column(c) for c in COLUMNS]
             for k in range(batch.num_rows):
-                shard, page_id, url, payload, size, sha1, least, grouped = (c[k].as_py() for c in columns)
+                shard, page_id, sha1, is_page, url, payload, size, least, grouped = (c[k].as_py() for c in columns)
+                if not is_page:
+                    mark = page_id, sha1, size, least
+                    continue
+                least = mark[3] if mark and mark[:3] == (page_id, sha1, size) else page_id
                 if file and (file.shard != shard or file.bytes >= roll_bytes):
                     done.append(file.commit())
                     file = _File(out, shard, file.number + 1 if file.shard == shard else 0)
@@ -163,13 +168,17 @@ def write_warc(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int
         at[known] = np.searchsorted(cuts, ids[known].to_numpy(dtype=np.int64), side="right")
         return pd.Series(at)
 
-    # A payload that many pages share is a hot key of this join; its many rows are on the side that can be split.
-    marked = rows.join(least.withColumnRenamed("size", "size__").withColumnRenamed("sha1", "sha1__"), F.col("grouped") & (F.col("sha1") == F.col("sha1__")) & (F.col("size") == F.col("size__")), "left")
-    unused = F.col("grouped") & F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
-    marked = marked.select("page_id", "url", F.when(~unused, F.col("payload")).alias("payload"), "size", "sha1", "least", "grouped")
-    dealt = marked.withColumn("shard", shard("page_id")).repartition("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "url")
+    # Which pages revisit which is found without payloads, and told to the writer by rows that sort in front of the
+    # pages they are about: so payloads are shuffled once. A payload that many pages share is a hot key of this join,
+    # whose many rows are on the side that Spark can split.
+    keys = rows.where("grouped").select("page_id", "size", "sha1")
+    marks = keys.join(least, ["sha1", "size"]).where("least is not null and not page_id <=> least")
+    marks = marks.select("page_id", "sha1", F.lit(False).alias("is_page"), "size", "least", F.lit(True).alias("grouped"))
+    paged = rows.select("page_id", "sha1", F.lit(True).alias("is_page"), "url", "payload", "size", "grouped")
+    both = paged.unionByName(marks, allowMissingColumns=True).withColumn("shard", shard("page_id"))
+    dealt = both.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "size", "is_page", "url").select(*COLUMNS)
     manifest = posixpath.join(out, "manifest")
-    dealt.select("shard", "page_id", "url", "payload", "size", "sha1", "least", "grouped").mapInArrow(_writer(out, roll_bytes), MANIFEST).write.mode("overwrite").json(manifest)
+    dealt.mapInArrow(_writer(out, roll_bytes), MANIFEST).write.mode("overwrite").json(manifest)
     files.delete_dir_contents(posixpath.join(base, "_temporary"))
     return manifest
 
@@ -233,8 +242,9 @@ def _reader(out: str):
 
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """Every record of the archives that the manifest lists, digests checked."""
-    listed = spark.read.schema(MANIFEST).json(posixpath.join(out, "manifest"))
-    return listed.where("file is not null").select("file").repartition("file").mapInArrow(_reader(out), RECORD)
+    listed = spark.read.schema(MANIFEST).json(posixpath.join(out, "manifest")).where("file is not null").select("file")
+    # A number given keeps Spark from reading all archives in one task because their names are short.
+    return listed.repartition(max(1, listed.count()), "file").mapInArrow(_reader(out), RECORD)
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
