@@ -72,3 +72,21 @@ def drop_spaces(text: Column) -> Column:
     for c in SPACES:
         text = F.replace(text, F.lit(c), F.lit(""))
     return text
+
+
+def numbered(docs: DataFrame, name: str = "row__") -> DataFrame:
+    """A number for each row of a table that was read from files: a function of the files alone, so every scan of the
+    same table in a session numbers its rows alike, also where ids repeat or are null."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+#: Rows (of one long) up to which a list of what goes is broadcast: 16 MB. Longer ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "row__") -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone``, and without the key."""
+    gone = materialize(gone.select(key).distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, key, "left_anti").drop(key)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_spaces, materialize, small_batches
 
-NAMES = ["id", "sha", "part", "run", "is_first", "is_last", "at_start", "keep_id", "run_size"]
-RUNS = "id long, sha binary, part long, run long, is_first boolean, is_last boolean, at_start boolean, keep_id long, run_size long"
+NAMES = ["id", "row", "sha", "part", "run", "is_first", "is_last", "at_start", "keep_id", "run_size"]
+RUNS = "id long, row long, sha binary, part long, run long, is_first boolean, is_last boolean, at_start boolean, keep_id long, run_size long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,14 +47,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.append(0, np.cumsum(sizes)[:-1])
         at_start = np.zeros(len(run), dtype=bool)
         at_start[starts] = True
-        columns = [ids, rows.column("sha").combine_chunks(), pa.array(np.full(len(run), part), pa.int64()), pa.array(run + number, pa.int64()), pa.array(run + number == 0), pa.array(np.full(len(run), is_last)), pa.array(at_start), ids.take(pa.array(starts[run])), pa.array(sizes[run], pa.int64())]
+        columns = [ids, rows.column("row").combine_chunks(), rows.column("sha").combine_chunks(), pa.array(np.full(len(run), part), pa.int64()), pa.array(run + number, pa.int64()), pa.array(run + number == 0), pa.array(np.full(len(run), is_last)), pa.array(at_start), ids.take(pa.array(starts[run])), pa.array(sizes[run], pa.int64())]
         return pa.Table.from_arrays(columns, names=NAMES).to_batches(max_chunksize=10_000)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         text = batch.column("norm")
-        rows = pa.table({"id": batch.column("id"), "sha": batch.column("sha")})
+        rows = pa.table({"id": batch.column("id"), "row": batch.column("row"), "sha": batch.column("sha")})
         new = np.ones(len(text), dtype=bool)
         new[1:] = pc.not_equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False)
         new[0] = last is None or text[0].as_py() != last
@@ -78,14 +78,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(run, np.array([run.num_rows]), True)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256. One row of each group is kept."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256. One row of each group is kept.
+
+    row_col: a long column that is carried along, for callers whose ids may repeat.
+    """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), drop_spaces(text).alias("norm"), F.length(text).alias("points"))
-    order = [F.col("norm"), F.col("points").desc(), F.col("id").asc_nulls_last()]
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), drop_spaces(text).alias("norm"), F.length(text).alias("points"))
+    order = [F.col("norm"), F.col("points").desc(), F.col("id").asc_nulls_last(), F.col("row")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.select("id", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"))
+    ranged = ranged.select("id", "row", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"))
     runs = materialize(ranged.mapInArrow(_runs, RUNS))
 
     # A run that crosses partitions is the last of one and the first of the next non-empty one, perhaps of many.
@@ -104,6 +108,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(inside, F.col("run_size")).otherwise(F.col("chain_size")).cast("long").alias("group_size"),
         (F.col("at_start") & (inside | F.col("front"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 

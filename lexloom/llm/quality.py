@@ -104,25 +104,24 @@ def fit(train: DataFrame, labels: DataFrame, n_positive: int = FIT_POSITIVE, n_u
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with score and predicted."""
+    """``docs`` with score and predicted."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text__").to_pylist()
-            s = shared.value.score(np.array([features(t) for t in texts])) if texts else np.empty(0)
-            names = [n for n in batch.schema.names if n != "text__"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
-
-    kept = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("text__"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+            texts = batch.column(text_col).to_pylist()
+            s = shared.value.score(np.array([features(t or "") for t in texts])) if texts else np.empty(0)
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+
+    rows = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, learning from the rows whose fold of 4 is not 2."""
     model = fit(docs.where(fold("doc_id", 4) != 2), labels.where(fold("doc_id", 4) != 2))
-    return score(docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out")), model)
+    return score(docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out")), model).drop("text")

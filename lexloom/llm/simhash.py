@@ -57,14 +57,15 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks.view(np.int64))], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(marks.view(np.int64))], names=["id", "row", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp holds the 64 bits as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, row, fp) for every row; fp holds the 64 bits as a long."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), text.alias("text")).mapInArrow(_fingerprints, "id long, row long, fp long")
 
 
 def _byte(fp: Column, k: int) -> Column:
@@ -102,13 +103,22 @@ def links(classes: DataFrame, bits: int = 3) -> DataFrame:
     return left.join(right, (F.col("key") == F.col("key_b")) & (a < b) & near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
-    marks = materialize(fingerprints(docs, id_col, text_col))
-    classes = materialize(marks.groupBy("fp").agg(F.min("id").alias("least")))
+def near_duplicates(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links), kept.
+
+    One row of each component is kept: that with the smallest id, then row. row_col: a long column that is carried
+    along, for callers whose ids may repeat.
+    """
+    marks = materialize(fingerprints(docs, id_col, text_col, row_col))
+    # Per fingerprint, its smallest id; null ids come last.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    classes = materialize(marks.groupBy("fp").agg(first.alias("first")))
     found = components(links(classes, bits))
-    # The component's name: the smallest id of all its fingerprints.
-    named = found.join(classes, found["node"] == classes["fp"]).groupBy("component").agg(F.min("least").alias("least"))
+    named = found.join(classes, found["node"] == classes["fp"]).groupBy("component").agg(F.min("first").alias("least"))
     linked = found.join(named, "component").select(F.col("node").alias("fp"), F.col("least").alias("joined"))
-    groups = classes.join(linked, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id"))
-    return marks.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = classes.join(linked, "fp", "left").select("fp", F.coalesce("joined", "first").alias("least"))
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    return marks.join(groups, "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"),
+        own.eqNullSafe(F.col("least")).alias("kept"), *([F.col("row").alias(row_col)] if row_col else []),
+    )
