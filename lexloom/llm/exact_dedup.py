@@ -1,8 +1,9 @@
 """Exact dedup by content sort.
 
-Normalised texts are range-partitioned by Spark's sampled splitters on (text, code points, id), sorted inside each
-partition (spilling as needed), and every row is compared in full with its neighbour. As ids are part of the sort
-key, copies of one text may spread over many partitions: no partition holds more than its share of a large group.
+Normalised texts are range-partitioned by Spark's sampled splitters on (first bytes, digest, code points, id), sorted
+inside each partition (spilling as needed), and every row's text is compared in full with its neighbour's. As ids are
+part of the sort key, copies of one text may spread over many partitions: no partition holds more than its share of a
+large group. The key is of bounded size, as the sampling sends keys to the driver, and texts have no bound.
 Groups that cross partitions are joined up through a table of two rows per partition (its first and last run).
 
 Of equal texts the row with the most code points in the original text stays, then the smallest id.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_spaces, materialize, small_batches
 
+#: Characters of the normalised text in the sort key; the digest orders texts that begin alike.
+HEAD = 24
 NAMES = ["id", "row", "sha", "part", "run", "is_first", "is_last", "at_start", "keep_id", "run_size"]
 RUNS = "id long, row long, sha binary, part long, run long, is_first boolean, is_last boolean, at_start boolean, keep_id long, run_size long"
 
@@ -87,10 +90,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.col(row_col) if row_col else F.lit(None).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), drop_spaces(text).alias("norm"), F.length(text).alias("points"))
-    order = [F.col("norm"), F.col("points").desc(), F.col("id").asc_nulls_last(), F.col("row")]
+    rows = rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    order = [F.col("head"), F.col("sha"), F.col("points").desc(), F.col("id").asc_nulls_last(), F.col("row")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.select("id", "row", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"))
-    runs = materialize(ranged.mapInArrow(_runs, RUNS))
+    runs = materialize(ranged.select("id", "row", "norm", "sha").mapInArrow(_runs, RUNS))
 
     # A run that crosses partitions is the last of one and the first of the next non-empty one, perhaps of many.
     edges = runs.where("(is_first or is_last) and at_start").select("part", "run", "sha", "keep_id", "run_size")
