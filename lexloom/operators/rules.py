@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..functions.patterns import matches
+from ..functions.rows import once
 from ..functions.text import normalize
 from .catalog import GAPS, NO_KEEPING, RISKS, RULES, SALARY_PARTS, TIME_LIMIT, Rule
 
@@ -50,13 +51,6 @@ def salary_parts(norm: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(matches(norm, p).cast("int"), F.lit(0)) for p in SALARY_PARTS])
 
 
-def once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later steps use many times. A generator of one row keeps the optimizer from writing their
-    expressions out at every use, which would overflow generated code and repeat the work."""
-    made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("made__")
-    return rows.select("*", made).select(*rows.columns, *(F.col(f"made__.{k}").alias(k) for k in columns))
-
-
 def with_facts(clauses: DataFrame) -> DataFrame:
     """Normalised text, notice and the largest amount, each computed once per clause."""
     facts = once(clauses, norm=normalize(F.col("text")))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
+from ..functions.rows import once
 from ..functions.text import normalize, tokens
-from .rules import once
 
 THRESHOLD = 0.9
 SLACK = 2

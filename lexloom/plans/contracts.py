@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import once
 from .registry import read
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
@@ -54,10 +55,9 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey AS doc_id", "CAST(n AS INT) AS n", "l_partkey AS p", "l_suppkey AS s", "CAST(l_quantity AS BIGINT) AS q",
         "CAST(l_extendedprice AS BIGINT) AS a", "l_returnflag AS rf", "l_linestatus AS ls",
     )
-    rows = rows.selectExpr("*", f"CAST({KIND} AS INT) AS kind")
-    return rows.selectExpr("*", f"{TEXT} AS text", f"{CATEGORY} AS category", f"{CLAUSE_ID} AS clause_id", f"{LABEL} AS label", "CAST(floor((n + 2) / 3) AS INT) AS block").selectExpr(
-        *[c if c != "page" else "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE block END AS page" for c in COLUMNS]
-    )
+    rows = once(rows, kind=F.expr(f"CAST({KIND} AS INT)"), block=F.expr("CAST(floor((n + 2) / 3) AS INT)"))
+    rows = once(rows, text=F.expr(TEXT), category=F.expr(CATEGORY), clause_id=F.expr(CLAUSE_ID), label=F.expr(LABEL))
+    return rows.selectExpr(*[c if c != "page" else "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE block END AS page" for c in COLUMNS])
 
 
 CTE = f"""numbered AS (

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions import text as T
+from ..functions.rows import once
 from ..operators.catalog import SALARY_PARTS
-from ..operators.rules import employee_notice, once, salary_parts, with_facts
+from ..operators.rules import employee_notice, salary_parts, with_facts
 from .contracts import CTE, clauses
 from .registry import query, read
 
