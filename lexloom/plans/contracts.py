@@ -51,7 +51,9 @@ COLUMNS = ["doc_id", "clause_id", "n AS ord", "label", "page", "category", "text
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, clause_id, ord, label, page, category, text of version A, with the numbers that made them."""
     line = Window.partitionBy("l_orderkey").orderBy(*ORDER)
-    rows = read(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(line)).selectExpr(
+    # The rendering behind this shuffle is heavy for its bytes: a number given keeps Spark from joining small partitions.
+    dealt = read(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    rows = dealt.withColumn("n", F.row_number().over(line)).selectExpr(
         "l_orderkey AS doc_id", "CAST(n AS INT) AS n", "l_partkey AS p", "l_suppkey AS s", "CAST(l_quantity AS BIGINT) AS q",
         "CAST(l_extendedprice AS BIGINT) AS a", "l_returnflag AS rf", "l_linestatus AS ls",
     )

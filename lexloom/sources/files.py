@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import LIMITS
 
@@ -45,7 +46,7 @@ def _docx(content: bytes) -> str | None:
     return "\n\n".join("".join(t.text or "" for t in p.iter(f"{WORD}t")) for p in root.iter(f"{WORD}p"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def docx_text(content: pd.Series) -> pd.Series:
     """Raw text of Word documents, paragraphs apart by a blank line; null where the file is broken."""
     return content.map(_docx)
