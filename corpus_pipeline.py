@@ -15,32 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import decontam, exact_dedup, mixing, quality, simhash
-from lexloom.llm.common import fold, numbered, read, shared_dir, without
+from lexloom.llm.common import fold, fresh, numbered, read, shared_dir, without
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good."""
     labels = read(spark, sf_dir, "labels")
     model = quality.fit(docs.where(fold("doc_id", 4) != 2), labels.where(fold("doc_id", 4) != 2))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    names = fresh("score", docs.columns), fresh("predicted", docs.columns)
+    return quality.score(docs, model, names=names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    rows = numbered(docs)
-    return without(rows, exact_dedup.exact_dedup(rows, row_col="row__").where(~F.col("kept")))
+    rows, row = numbered(docs)
+    return without(rows, exact_dedup.exact_dedup(rows, row_col=row).where(~F.col("kept")), row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies."""
-    rows = numbered(docs)
-    return without(rows, simhash.near_duplicates(rows, row_col="row__").where(~F.col("kept")))
+    rows, row = numbered(docs)
+    return without(rows, simhash.near_duplicates(rows, row_col=row).where(~F.col("kept")), row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold benchmark passages to a twentieth of their words or more."""
-    rows = numbered(docs)
-    return without(rows, decontam.contamination(rows, read(spark, sf_dir, "benchmark"), id_col="row__").where("contaminated"))
+    rows, row = numbered(docs)
+    return without(rows, decontam.contamination(rows, read(spark, sf_dir, "benchmark"), id_col=row).where("contaminated"), row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

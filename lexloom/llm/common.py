@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,17 +75,26 @@ def drop_spaces(text: Column) -> Column:
     return text
 
 
-def numbered(docs: DataFrame, name: str = "row__") -> DataFrame:
-    """A number for each row of a table that was read from files: a function of the files alone, so every scan of the
-    same table in a session numbers its rows alike, also where ids repeat or are null."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name``, with marks behind it while a column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A column with a number for each row of a table that was read from files, and its name: a function of the files
+    alone, so every scan of the same table in a session numbers its rows alike, also where ids repeat or are null."""
+    name = fresh("row__", docs.columns)
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
 #: Rows (of one long) up to which a list of what goes is broadcast: 16 MB. Longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def without(docs: DataFrame, gone: DataFrame, key: str = "row__") -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """``docs`` without the rows whose key is in ``gone``, and without the key."""
     gone = materialize(gone.select(key).distinct())
     if gone.count() <= BROADCAST_ROWS:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, size_of
+from .common import fresh, materialize, size_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -64,12 +64,13 @@ def draw(key: Column, seed: str) -> Column:
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = "mix-1:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken (size times copies)."""
     sized = docs.drop(*[c for c in ADDED if c in docs.columns]).withColumn("size", size_of(F.col(text_col)))
+    own = fresh("source__", sized.columns)
     # Sums per source and task come before the shuffle, so that a source with a third of all rows is no hot key.
     sums = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
-    table = materialize(targets(sums, weights, most).withColumnRenamed("source", "source__"))
+    table = materialize(targets(sums, weights, most).withColumnRenamed("source", own))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    joined = sized.join(table, F.col(source_col).eqNullSafe(F.col("source__")), "inner").drop("source__")
+    joined = sized.join(table, F.col(source_col).eqNullSafe(F.col(own)), "inner").drop(own)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     more = (draw(F.col(id_col), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return (
@@ -81,9 +82,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with its own columns only."""
-    mixed = mix(docs, **options)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy__")
-    return mixed.where(F.col("copies") > 0).select(*[F.col(c) for c in docs.columns], copies).drop("copy__")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    keys = {k: names[docs.columns.index(v)] for k, v in {"id_col": "doc_id", "text_col": "text", "source_col": "source", **{k: v for k, v in options.items() if k.endswith("_col")}}.items()}
+    mixed = mix(docs.toDF(*names), **options | keys).where("copies > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return mixed.select(*names, copies).drop("copy").toDF(*docs.columns)
 
 
 SQL = r"""

@@ -103,8 +103,8 @@ def fit(train: DataFrame, labels: DataFrame, n_positive: int = FIT_POSITIVE, n_u
     return QualityModel(w, *platt(xl @ w[:-1] + w[-1], yl.astype(np.float64)))
 
 
-def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` with score and predicted."""
+def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with score and predicted under the given names, which replace columns of these names."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -113,12 +113,11 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, te
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             s = shared.value.score(np.array([features(t or "") for t in texts])) if texts else np.empty(0)
-            names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, *names])
 
-    rows = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns])
+    rows = docs.drop(*[c for c in names if c in docs.columns])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
