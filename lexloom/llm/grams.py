@@ -47,7 +47,7 @@ def gathered(rows: DataFrame, features: Callable[[str], np.ndarray], label: str)
     labels = np.array(got.column("label").to_pylist(), dtype=object)
     # The order of rows depends on the order of tasks; a fit must not.
     order = sorted(range(len(x)), key=lambda k: (str(labels[k]), x[k].tobytes()))
-    return np.array([x[k] for k in order], dtype=np.float32).reshape(len(x), -1), labels[order]
+    return np.array([x[k] for k in order], dtype=np.float32).reshape(len(x), len(x[0]) if x else 0), labels[order]
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
