@@ -31,6 +31,8 @@ BYTES = 8
 #: Sets of 4 of 8 byte positions of which any 5 positions hold one.
 PLANES = [p for p in itertools.combinations(range(BYTES), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 CHUNK = 1 << 16
+#: A fingerprint of more than one in so many rows is hot; there are fewer than that many, whatever the table's size.
+HOT = 1000
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -112,13 +114,18 @@ def near_duplicates(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", text
     marks = materialize(fingerprints(docs, id_col, text_col, row_col))
     # Per fingerprint, its smallest id; null ids come last.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    classes = materialize(marks.groupBy("fp").agg(first.alias("first")))
-    found = components(links(classes, bits))
+    classes = materialize(marks.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
+    found = components(links(classes.select("fp"), bits))
     named = found.join(classes, found["node"] == classes["fp"]).groupBy("component").agg(F.min("first").alias("least"))
     linked = found.join(named, "component").select(F.col("node").alias("fp"), F.col("least").alias("joined"))
-    groups = classes.join(linked, "fp", "left").select("fp", F.coalesce("joined", "first").alias("least"))
+    groups = materialize(classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("joined", "first").alias("least")))
+    # Rows of hot fingerprints meet theirs by broadcast, all others by shuffle: no copies of one text fill a task.
+    hot = F.broadcast(groups.where(F.col("n") * HOT > marks.count()).select(F.col("fp").alias("hot"), F.col("least").alias("hot_least")))
+    met = marks.join(hot, F.col("fp") == F.col("hot"), "left")
+    cold = met.where("hot is null").join(groups.select("fp", "least"), "fp")
+    marks = met.where("hot is not null").select("id", "row", "fp", F.col("hot_least").alias("least")).unionByName(cold.select("id", "row", "fp", "least"))
     own = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    return marks.join(groups, "fp").select(
+    return marks.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"),
         own.eqNullSafe(F.col("least")).alias("kept"), *([F.col("row").alias(row_col)] if row_col else []),
     )
