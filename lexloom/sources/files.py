@@ -53,7 +53,10 @@ def docx_text(content: pd.Series) -> pd.Series:
 
 
 def read_files(spark: SparkSession, path: str, pdf: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(path, kind, reason, text) of the files below ``path``; ``pdf`` decodes PDF content (none is built in)."""
+    """(path, kind, reason, text) of the files below ``path``; ``pdf`` decodes PDF content (none is built in).
+
+    Spark's binary source leaves out files without bytes.
+    """
     files = guard(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content"))
     content = F.col("content")
     text = F.when(F.col("kind") == "txt", F.decode(content, "UTF-8")).when(F.col("kind") == "docx", docx_text(content))

@@ -39,7 +39,7 @@ def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int, seconds:
         asked = sum(len(b) for b in batches)
         allowed = max(0, min(asked, limit - used))
         state.update((used + allowed,))
-        state.setTimeoutTimestamp(max((key[-1] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(key[-1] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(*key, allowed, asked - allowed)], columns=[*keys, "window", "allowed", "denied"])
 
     kinds = ", ".join(f"{k} {timed.schema[k].dataType.simpleString()}" for k in keys)
