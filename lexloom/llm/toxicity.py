@@ -1,17 +1,20 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are learned from labelled text. The ordinary one is trained on windows of ordinary texts.
-The toxic one continues it with what is particular to toxic texts: runs of letters whose 5-byte pieces are at least
-``RATIO`` times as frequent among toxic documents as among ordinary ones, trained and then listed by frequency, the most
-frequent last (the end of a dictionary is cheapest to point at). A document is cut into windows of words, and every
-window is compressed with both: the bytes that the toxic dictionary saves are the distance. Counts of windows past
-several savings, the largest and the mean are weighed by a logistic model, whose calibration is by cross-fitting: each
-half of the sample is measured with dictionaries of the other half.
+The toxic one continues it with what is particular to toxic texts: runs of letters made of 5- and 8-byte pieces that at
+least ``LEAST`` toxic documents hold, that significantly more of them hold than of the ordinary ones (signed root of the
+likelihood ratio, ``SIGNIFICANT``), and that are ``RATIO`` times as frequent by occurrences in a document. Counts are
+absolute, so that words of a small group among the toxic texts (a rare language) stay. Every piece that qualifies is in
+the dictionary, whose size follows from them; the most frequent runs stand last (the end is cheapest to point at).
+Every word is compressed with both dictionaries, in front of bytes that both of them end with: zstandard seeks no match
+in the last 8 bytes of its input, which would hide short words. The bytes that the toxic dictionary saves are the
+distance. Counts of words past several savings, the largest and the mean are weighed by a logistic model, whose
+calibration is by cross-fitting: each half of the sample is measured with dictionaries of the other half.
 
 Fitting takes about ``FIT_TOXIC`` toxic and ``FIT_ORDINARY`` ordinary rows, chosen by hashes of the ids; every text is
 scored whole.
 
-Cases. Null and blank texts have one empty window and a score like any other. Without toxic or without ordinary rows
+Cases. Null and blank texts have one empty word and a score like any other. Without toxic or without ordinary rows
 to learn from, the score is the share of toxic rows among the labelled (0 without labels). Repeated rows stay; an
 empty table gives an empty result; extra columns do not matter.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,17 @@ FIT_TOXIC = 1500
 FIT_ORDINARY = 3000
 THRESHOLD = 0.5
 WINDOW = 8
-PIECE = 5
-RATIO = 20
+PIECES = (5, 8)
+LEAST = 3
+SIGNIFICANT = 4.5
+RATIO = 3
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 1500
-PAST = (3, 4, 5, 6)
+ORDINARY_BYTES = 8192
+PAST = (1, 2, 3, 4, 5, 6)
+#: What no text matches, at the end of both dictionaries and of all that is compressed with them.
+PAD = np.random.default_rng(1).integers(0, 9, 16, dtype=np.uint8).tobytes()
+#: Words whose savings a worker remembers.
+REMEMBERED = 1 << 16
 
 
 def tokens(text: str) -> list[bytes]:
@@ -57,44 +67,76 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def pieces(words: list[bytes]) -> set[bytes]:
-    return {b[i : i + PIECE] for b in {b" " + w for w in words} for i in range(len(b) - PIECE + 1)}
+def pieces(words: list[bytes]) -> Counter:
+    """Occurrences of the pieces of words, which begin and end with a space."""
+    found = Counter()
+    for word, n in Counter(words).items():
+        b = b" " + word + b" "
+        for size in PIECES:
+            for i in range(len(b) - size + 1):
+                found[b[i : i + size]] += n
+    return found
 
 
-def excerpts(words: list[bytes], particular: set[bytes]) -> list[bytes]:
-    """The longest runs inside words that particular pieces cover."""
-    found = []
-    for word in words:
-        b, begin, end = b" " + word, -1, -1
-        for i in range(len(b) - PIECE + 1):
-            if b[i : i + PIECE] in particular:
+def excerpts(word: bytes, particular: set[bytes]) -> list[bytes]:
+    """The longest runs inside a word that particular pieces cover."""
+    found, b, begin, end = [], b" " + word + b" ", -1, -1
+    for i in range(len(b)):
+        for size in PIECES:
+            if i + size <= len(b) and b[i : i + size] in particular:
                 if begin >= 0 and i > end:
                     found.append(b[begin:end])
                     begin = i
                 begin = i if begin < 0 else begin
-                end = i + PIECE
-        if begin >= 0:
-            found.append(b[begin:end])
-    return found
+                end = max(end, i + size)
+    return [*found, b[begin:end]] if begin >= 0 else found
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    base = trained([w for words in ordinary for w in windows(words)], ORDINARY_BYTES)
-    in_toxic, in_ordinary = Counter(), Counter()
+def significance(a: int, n: int, b: int, m: int) -> float:
+    """Signed root of the likelihood ratio of a among n against b among m; 0 where a's share is not the larger one."""
+    if a * m <= b * n:
+        return 0.0
+    p = (a + b) / (n + m)
+    parts = ((a, n * p), (n - a, n * (1 - p)), (b, m * p), (m - b, m * (1 - p)))
+    return sqrt(max(0.0, 2 * sum(x * log(x / e) for x, e in parts if x)))
+
+
+def particular_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+    holders, times = Counter(), Counter()
     for words in toxic:
-        in_toxic.update(pieces(words))
+        found = pieces(words)
+        holders.update(found.keys())
+        times.update(found)
+    other_holders, other_times = Counter(), Counter()
     for words in ordinary:
-        in_ordinary.update(pieces(words))
-    least = max(3, 0.02 * len(toxic))
-    particular = {p for p, n in in_toxic.items() if n >= least and n / len(toxic) >= RATIO * (in_ordinary[p] + 1) / (len(ordinary) + 1)}
-    found = [e for words in toxic for e in excerpts(words, particular)]
-    learned = trained([b"".join(found[k : k + 8]) for k in range(0, len(found), 8)], TOXIC_BYTES) if found else b""
-    frequent = b"".join(e for e, _ in reversed(sorted(Counter(found).items(), key=lambda x: (-x[1], x[0]))[:200]))
-    own = learned + frequent[-TOXIC_BYTES:]
+        found = {p: k for p, k in pieces(words).items() if holders[p] >= LEAST}
+        other_holders.update(found.keys())
+        other_times.update(found)
+    n, m = len(toxic), len(ordinary)
+    return {
+        p for p, k in holders.items()
+        if k >= LEAST and significance(k, n, other_holders[p], m) >= SIGNIFICANT and times[p] / n >= RATIO * (other_times[p] + 1) / (m + 1)
+    }
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    base = trained([w for words in ordinary for w in windows(words)], ORDINARY_BYTES)
+    particular = particular_pieces(toxic, ordinary)
+    found = Counter()
+    for word, n in Counter(w for words in toxic for w in words).items():
+        for e in excerpts(word, particular):
+            found[e] += n
+    chosen, held = [], set()
+    for e, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+        inside = {e[i : i + size] for size in PIECES for i in range(len(e) - size + 1)} & particular
+        if not inside <= held:
+            held |= inside
+            chosen.append(e)
+    own = b"".join(reversed(chosen))
     # What no text matches, as long as the toxic part: so both point at the base over the same distances, and what a
-    # window saves comes from the toxic part alone.
+    # word saves comes from the toxic part alone.
     filler = np.random.default_rng(0).integers(0, 9, len(own), dtype=np.uint8).tobytes()
-    return base + filler, base + own
+    return base + filler + PAD, base + own + PAD
 
 
 class Distance:
@@ -103,6 +145,7 @@ class Distance:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.raw = ordinary, toxic
         self.compress = [self.compressor(d) for d in self.raw]
+        self.known: dict[bytes, int] = {}
 
     @staticmethod
     def compressor(raw: bytes):
@@ -113,9 +156,19 @@ class Distance:
     def __reduce__(self):
         return Distance, self.raw
 
+    def saved(self, word: bytes) -> int:
+        got = self.known.get(word)
+        if got is None:
+            plain, toxic = self.compress
+            padded = b" " + word + b" " + PAD
+            got = len(plain(padded)) - len(toxic(padded))
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
     def measures(self, words: list[bytes]) -> np.ndarray:
-        plain, toxic = self.compress
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(words)], dtype=np.float64)
+        saved = np.array([self.saved(w) for w in words or [b""]], dtype=np.float64)
         past = np.array([(saved >= t).sum() for t in PAST], dtype=np.float64)
         return np.concatenate([[saved.max(), saved.mean(), np.log(len(saved))], np.log1p(past), past, past / len(saved)])
 

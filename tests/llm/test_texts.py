@@ -141,6 +141,13 @@ def test_held_out_toxicity(spark):
     assert held_out_accuracy(spark, toxicity.toxicity, "toxic") > 0.92
 
 
+def test_held_out_toxicity_by_language(spark, sf="/root/testdata/sf0.1"):
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1"), spark.read.parquet(f"{sf}/documents.parquet")
+    got = toxicity.toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    recall = {r.lang: r.recall for r in got.groupBy("lang").agg(F.avg("predicted").alias("recall")).collect()}
+    assert recall["en"] > 0.8 and recall["de"] > 0.7 and recall["fr"] > 0.8  # es: 27 rows to learn from, 6 held out
+
+
 # ------------------------------------------------------------------------------------------------ language model
 
 
