@@ -1,8 +1,8 @@
 """The corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, benchmark decontamination, source mix.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. Rows are told apart by their numbers in the files, so null and repeated ids are safe: a stage decides on
-rows, not ids. All stages but the last return the columns of documents; the last returns each document as many times
+stage's docs. Rows are told apart by numbers that a stage writes with them once, so null and repeated ids are safe: a
+stage decides on rows, not ids, and on the same rows however the files are split. All stages but the last return the columns of documents; the last returns each document as many times
 as the mix takes it. Empty tables pass through.
 """
 

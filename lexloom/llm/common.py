@@ -84,10 +84,10 @@ def fresh(name: str, columns: Iterable[str]) -> str:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """A column with a number for each row of a table that was read from files, and its name: a function of the files
-    alone, so every scan of the same table in a session numbers its rows alike, also where ids repeat or are null."""
+    """The rows, written once with a number each, and the number's column: a scan of files numbers rows by its splits,
+    which follow from the cores at hand, so all that decides on rows and drops them must read the numbers as data."""
     name = fresh("row__", docs.columns)
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 #: Rows (of one long) up to which a list of what goes is broadcast: 16 MB. Longer ones are joined by shuffle.

@@ -144,3 +144,21 @@ def test_mixed_documents_keep_clashing_columns(clashing):
 def test_numbered_keeps_columns(clashing):
     rows, name = common.numbered(clashing)
     assert name not in clashing.columns and rows.drop(name).columns == clashing.columns
+
+
+def test_numbers_stay_when_the_files_are_split_anew(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.range(600).selectExpr("id AS doc_id", "uuid() AS text").repartition(6, "doc_id").write.parquet(path)
+    keys = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+    seen = []
+    try:
+        spark.conf.set(keys[0], "1")
+        spark.conf.set(keys[1], "0")
+        rows, name = common.numbered(spark.read.parquet(path))
+        seen.append({r.doc_id: r[name] for r in rows.select("doc_id", name).collect()})
+        spark.conf.set(keys[0], "64")
+        seen.append({r.doc_id: r[name] for r in rows.select("doc_id", name).collect()})
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 600
