@@ -59,6 +59,12 @@ def src_binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", (files.looks_binary(probe.cast("binary")) | F.left("html", F.lit(512)).rlike(r"[\x00-\x08\x0e-\x1f]")).alias("looks_binary"))
 
 
+@query()
+def src_binary_sniff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's own bytes, whatever its length; tested by brute force."""
+    return read(spark, sf_dir, "pages").select("page_id", files.looks_binary(F.col("html").cast("binary")).alias("looks_binary"))
+
+
 @query("SELECT event_id, json_valid(props) AS valid, length(props) <= 40 AS fits FROM events")
 def src_json_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies parse or are refused as a whole, and have a size cap."""

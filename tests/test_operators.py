@@ -147,3 +147,12 @@ def test_requests_are_deduped(spark, tmp_path, streaming):
         assert spark.table("deduped").count() == 2
     else:
         assert limits.dedupe_requests(made, F.col("body")).count() == 2
+
+
+def test_every_page_is_sniffed(spark, tmp_path):
+    from lexloom.plans import q_more
+
+    pages = ["", "short", "a\x00b", "\x0e", "tab\tline\r\n\x0b\x0c", "é" * 300, "x" * 511 + "\x01", "x" * 512 + "\x01", "é" * 255 + "a\x1f", "é" * 256 + "\x1f", "\x7f\x85"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.looks_binary for r in q_more.src_binary_sniff_pages(spark, str(tmp_path)).collect()}
+    assert got == {k: any(b < 9 or 13 < b < 32 for b in p.encode()[:512]) for k, p in enumerate(pages)}
