@@ -156,3 +156,17 @@ def test_every_page_is_sniffed(spark, tmp_path):
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.looks_binary for r in q_more.src_binary_sniff_pages(spark, str(tmp_path)).collect()}
     assert got == {k: any(b < 9 or 13 < b < 32 for b in p.encode()[:512]) for k, p in enumerate(pages)}
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    import compare
+    from lexloom.plans import registry
+    from lexloom.plans import q_verify  # noqa: F401
+
+    texts = ["one two three four five six seven", "two three", "one", "stone twofold", "none two three four fives", "nothing here"]
+    items = ["one", "ne two", "one two three", "one two three four", "one two three four five", "two three four five six", "two three four five six sev", "missing"]
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string").coalesce(1).toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    got = compare.rows_of_spark(registry.QUERIES["vq_exact_benchmark"](spark, str(tmp_path)))
+    assert compare.difference(got, compare.rows_of_duck(compare.duck(str(tmp_path)), registry.ORACLE["vq_exact_benchmark"])) == ""
+    assert {r[got[0].index("item_id")] for r in got[1]} == set(range(7))
