@@ -5,7 +5,8 @@ against the rest decides; inside it, every pair of languages has an SVM of its o
 (ties by the sum of margins, then by name). Each margin is calibrated to a probability on the training rows; the
 score is the family's times the smallest of the winner's pair probabilities.
 
-Fitting takes about ``FIT_ROWS`` labelled rows (chosen by a hash of the id); every text is scored whole.
+Fitting takes about ``FIT_ROWS`` labelled rows (chosen by a hash of id and text), but about ``FIT_LEAST`` of every language
+at least, or all that it has, so that rare languages are learned at any size; every text is scored whole.
 
 Cases. A text that is null or has no letter is ``und`` with score 0. With one language in the training rows every
 other text gets it, with score 1; with no training rows all are ``und``. Repeated rows and ids stay; an empty table
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import about, fold, small_batches
+from .common import fold, small_batches
 from .grams import gathered, letters, platt, sigmoid
 
 FIT_ROWS = 4000
+FIT_LEAST = 200
 UNKNOWN = "und"
 #: Families of common languages by ISO 639-1 code. Other languages are families of their own.
 FAMILIES = {
@@ -104,11 +106,24 @@ class LanguageModel:
         return langs.tolist(), np.clip(score, 0, 1)
 
 
+def sample(known: DataFrame, rows: int, least: int = FIT_LEAST) -> DataFrame:
+    """About ``rows`` rows of (id, text, lang) by seeded hashes, and about ``least`` (or all) of every language."""
+    found = known.groupBy("lang").agg(F.count("*").alias("n"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    if total <= rows:
+        return known
+    grain = 1 << 30
+    rates = found.select("lang", F.greatest(F.lit(rows / total), F.lit(least) / F.col("n")).alias("rate"))
+    # One row per language: as many as the model has.
+    return known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(grain)) < F.col("rate") * grain)
+
+
 def fit(train: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """A model from labelled rows; None if there are none."""
     small_batches(train.sparkSession)
     known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    chosen = about(known, id_col, rows, seed=11).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    chosen = sample(known, rows).select("text", "lang")
     x, langs = gathered(chosen, letters, "lang")
     return LanguageModel(x, langs) if len(x) else None
 

@@ -102,6 +102,11 @@ def test_languages(clashing, no_docs):
     assert language.languages(no_docs).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 2000 = 0 THEN 'ett hus och en flod' ELSE 'the house and river' END AS text", "CASE WHEN id % 2000 = 0 THEN 'sv' ELSE 'en' END AS lang")
+    assert language.fit(docs, rows=20).langs == ["en", "sv"]
+
+
 def test_languages_without_training(odd_docs):
     got = language.languages(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
