@@ -3,12 +3,15 @@
 A fingerprint has 8 bytes. Two that differ in at most 3 bits agree in at least 5 byte positions. Of the 70 sets of 4
 positions, 14 (the planes of the 3-bit cube, whose places XOR to zero) are enough for any 5 positions to contain one:
 each fingerprint is posted under the 4 bytes of each of these 14 sets, a list of 2^32 times fewer pairs than all. Per
-pair met in a list the shared positional bytes are tallied; 5 or more are kept, and the bits verified. A pair counts
-in the first list that it shares only, so no pairs are brought together to be made distinct.
+pair met in a list the shared positional bytes are tallied; 5 or more are kept, and the bits verified.
 
-Equal fingerprints are one class, entered once; the links between classes give components.
+Equal fingerprints are one class, entered once; the links between classes give components. Long lists (of near copies
+that all have fingerprints of their own) do not write out their pairs: from one fingerprint after the other, those of
+the list that it links and that nothing reached before are linked, m - 1 links at most for m fingerprints, which leave
+the list's components what they are. Lists of more than ``LONG`` are first cut by a fifth byte, which linked pairs
+share too, in each of the four places that it may have.
 
-Cases. Null and blank texts have fingerprint zero and link like any other. Shingles that repeat count each time.
+Cases. Texts of any length are fingerprinted whole. Null and blank texts have fingerprint zero and link like any other. Shingles that repeat count each time.
 Rows that repeat an id keep their rows. A row with a null id takes part, but never names a component unless no other
 row of it has an id. An empty table gives an empty result. Other columns do not matter.
 """
@@ -31,6 +34,10 @@ BYTES = 8
 #: Sets of 4 of 8 byte positions of which any 5 positions hold one.
 PLANES = [p for p in itertools.combinations(range(BYTES), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 CHUNK = 1 << 16
+#: Lists up to this length write out all their links; longer ones only what joins their members.
+SHORT = 8
+#: Lists over this length are cut by a further byte.
+LONG = 4096
 #: A fingerprint of more than one in so many rows is hot; there are fewer than that many, whatever the table's size.
 HOT = 1000
 
@@ -86,23 +93,75 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def _near(differ: np.ndarray, bits: int) -> np.ndarray:
+    """Whether differences of pairs leave enough bytes the same, and then few enough bits unlike."""
+    alike = (differ[..., None].view(np.uint8) == 0).sum(axis=-1)
+    return (alike >= BYTES - bits) & (np.bitwise_count(differ) <= bits)
+
+
+def reach(marks: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that join what a list's links join, each fingerprint being reached once."""
+    left = marks
+    while len(left) > 1:
+        waiting, left = [left[0]], left[1:]
+        while waiting and len(left):
+            at = waiting.pop()
+            near = _near(left ^ at, bits)
+            if near.any():
+                found = left[near]
+                yield np.full(len(found), at), found
+                waiting.extend(found)
+                left = left[~near]
+
+
+def _list_links(marks: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if len(marks) <= LONG:
+        yield from reach(marks, bits)
+        return
+    for own in marks[:, None].view(np.uint8).T:
+        if (own == own[0]).all():  # a byte that all of the list share
+            continue
+        order = np.argsort(own, kind="stable")
+        for part in np.split(marks[order], np.flatnonzero(np.diff(own[order])) + 1):
+            yield from reach(part, bits)
+
+
+def _linking(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, marks = np.empty(0, np.int64), np.empty(0, np.uint64)
+
+        def out(keys: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Links of whole lists."""
+            edges = np.flatnonzero(np.diff(keys)) + 1
+            starts, ends = np.append(0, edges), np.append(edges, len(keys))
+            sizes = ends - starts
+            few = np.repeat(sizes <= SHORT, sizes)
+            found = [(marks[:-k][near], marks[k:][near]) for k in range(1, SHORT) if len(keys) > k for near in [(keys[k:] == keys[:-k]) & few[k:] & _near(marks[k:] ^ marks[:-k], bits)]]
+            for k in np.flatnonzero(sizes > SHORT):
+                found += _list_links(marks[starts[k] : ends[k]], bits)
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (marks[:0], marks[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column("key").to_numpy()])
+            marks = np.concatenate([marks, batch.column("fp").to_numpy().view(np.uint64)])
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last list may go on in the next batch
+            if whole:
+                yield from out(keys[:whole], marks[:whole])
+                keys, marks = keys[whole:], marks[whole:]
+        if len(keys):
+            yield from out(keys, marks)
+
+    return run
+
+
 def links(classes: DataFrame, bits: int = 3) -> DataFrame:
-    """(a, b) with a < b for all pairs of distinct fingerprints that differ in at most ``bits`` (3 or fewer) bits."""
+    """(a, b): pairs of distinct fingerprints that differ in at most ``bits`` (3 or fewer) bits, all of short lists,
+    enough of long ones to join whatever is linked."""
     if bits > 3:
         raise ValueError("5 shared byte positions are certain for 3 bits or fewer only")
-    posted = _postings(classes)
-    left = posted.select(F.col("fp").alias("a"), "key")
-    right = posted.select(F.col("fp").alias("b"), F.col("key").alias("key_b"))
-    a, b = F.col("a"), F.col("b")
-    differ = a.bitwiseXOR(b)
-    same = [(_byte(differ, k) == 0) for k in range(BYTES)]
-    tally = sum((s.cast("int") for s in same[1:]), same[0].cast("int"))
-    # The first of the pair's common lists: none of the earlier planes is shared.
-    first = F.lit(len(PLANES))
-    for n, plane in reversed(list(enumerate(PLANES))):
-        first = F.when(same[plane[0]] & same[plane[1]] & same[plane[2]] & same[plane[3]], F.lit(n)).otherwise(first)
-    near = (tally >= BYTES - bits) & (F.bit_count(differ) <= bits) & (F.shiftrightunsigned(F.col("key"), 32) == first)
-    return left.join(right, (F.col("key") == F.col("key_b")) & (a < b) & near).select("a", "b")
+    lists = _postings(classes).repartition("key").sortWithinPartitions("key")
+    return lists.select("key", "fp").mapInArrow(_linking(bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:

@@ -80,22 +80,70 @@ def test_near_duplicates(clashing, odd_docs):
     assert {r.component_id for r in got} == {r.component_id for r in got if r.kept}
 
 
-def test_near_links_are_whole(spark):
-    rng = random.Random(5)
-    marks = []
-    for _ in range(60):
+def spread(seed, families, members, flips):
+    """Fingerprints of families, each member some flipped bits away from the one before it."""
+    rng = random.Random(seed)
+    marks = set()
+    for _ in range(families):
         at = rng.getrandbits(64)
-        for _ in range(8):
-            marks.append(at)
-            for b in rng.sample(range(64), rng.randrange(5)):
+        for _ in range(members):
+            marks.add(at)
+            for b in rng.sample(range(64), rng.randrange(flips)):
                 at ^= 1 << b
-    marks = sorted(set(marks))
-    signed = [m - (1 << 64) if m >> 63 else m for m in marks]
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(m,) for m in signed], "fp long")).collect()}
-    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    return sorted(marks)
+
+
+def signed(marks):
+    return [m - (1 << 64) if m >> 63 else m for m in marks]
+
+
+def near(a, b):
+    return ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
+
+
+def test_near_links_are_whole(spark, monkeypatch):
+    marks = signed(spread(5, 60, 8, 5))
+    monkeypatch.setattr(simhash, "SHORT", 1000)
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame([(m,) for m in marks], "fp long")).collect()}
+    want = {(a, b) for a in marks for b in marks if a < b and near(a, b)}
     assert len(want) > 100 and got == want
 
 
+@pytest.mark.parametrize("long", [simhash.LONG, 10])
+def test_long_lists_join_what_is_linked(monkeypatch, long):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "LONG", long)
+    rng = random.Random(8)
+    low = {rng.getrandbits(9) | rng.getrandbits(9) << 23 for _ in range(120)} | {rng.getrandbits(32) for _ in range(80)}
+    marks = sorted(low)  # one list: the upper four bytes are the same
+    found = [(int(x), int(y)) for a, b in simhash._list_links(np.array(marks, np.uint64), 3) for x, y in zip(a, b)]
+    assert all(near(a, b) for a, b in found)
+    name = {m: m for m in marks}
+
+    def top(m):
+        while name[m] != m:
+            m = name[m]
+        return m
+
+    for a, b in found:
+        name[top(a)] = top(b)
+    assert len({top(m) for m in marks}) > 10
+    for t, m in zip(brute_components(marks), marks):
+        assert top(m) == top(marks[t])
+    assert len({top(m) for m in marks}) == len(set(brute_components(marks)))
+
+
+def test_many_near_copies_write_few_links(spark):
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    marks = sorted({centre} | {centre ^ sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(5000)})
+    found = simhash.links(spark.createDataFrame([(m,) for m in signed(marks)], "fp long"))
+    assert len(marks) > 4500 and found.count() < 14 * simhash.SHORT * len(marks)
+    joined = components.components(found)
+    assert joined.count() == len(marks) and joined.select("component").distinct().count() == 1
+
+
 def test_hot_fingerprints(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'the very same words', concat('own text ', id, ' of ', id * 7)) AS text")
     got = simhash.near_duplicates(docs)
