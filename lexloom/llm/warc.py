@@ -1,16 +1,18 @@
 """Deterministic, sharded WARC archives of web pages: written by tasks, committed by name, and read back.
 
-Pages are range-sorted by id into shards. The splitters are quantiles of ids chosen by hash, so they depend on the
-rows alone (Spark's own range partitioner samples differently from run to run). A shard's task writes its records in
-order, one gzip member each, and begins a new file when the compressed size passes ``roll_bytes``. A file is written
-under a temporary name that no other attempt uses and then moved to its final name; headers, digests and record ids
-are made from the row, so a repeated attempt moves the same bytes there. The job's last act is the manifest, written
-by Spark: readers read only the files that it lists.
+Pages are range-sorted by (id, SHA-1 of the payload) into shards. The splitters are quantiles of keys chosen by hash,
+so they depend on the rows alone (Spark's own range partitioner samples differently from run to run), and rows that
+share an id, or have none, are still cut apart by payload. Every shard is a partition of its own, about ``shard_bytes``
+whatever the table's size. Its task writes its records in order, one gzip member each, and begins a new file when the
+compressed size passes ``roll_bytes``. A file is written under a temporary name that no other attempt uses and then
+takes its final name, in the place of what an attempt before left there; headers, digests and record ids are made from
+the row, so a repeated attempt puts the same bytes there. The job's last act is the manifest, written by Spark: readers
+read only the files that it lists.
 
 Of records with equal payloads the one with the smallest page id is a response, the others are revisits without
 payload. Equality is by the SHA-1 of the whole payload, which the records carry anyway, and its length.
 
-Cases. A null html is an empty payload; empty payloads equal each other (from ``min_bytes`` 0 on). Of rows that repeat
+Cases. A payload of any length is one record, held by its task alone. A null html is an empty payload; empty payloads equal each other (from ``min_bytes`` 0 on). Of rows that repeat
 a page id with an equal payload one is the response and the others revisit it. Rows with a null id sort first; they
 never are a response that others refer to unless the whole group has no id, and then refers_to is null. A null url
 becomes ``urn:page:<id>``; control characters and spaces in urls are percent-encoded. Further columns are not
@@ -20,18 +22,18 @@ written. An empty table gives an empty manifest and no files.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches
@@ -39,7 +41,8 @@ from .common import shared_dir, small_batches
 SHARD_BYTES = 16 << 20  # of payload in a shard, about
 ROLL_BYTES = 4 << 20  # compressed, in a file; a single record may be larger
 DATE = "2020-01-01T00:00:00Z"  # of all records: a clock would make archives differ
-SAMPLED_IDS = 20_000  # most ids from which splitters are chosen, about
+SAMPLED_KEYS = 20_000  # keys from which splitters are chosen, about, or PER_SHARD of each shard if these are more
+PER_SHARD = 16
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value of RFC 9562 for URLs
 MANIFEST = "file string, shard long, number long, records long, bytes long, sha256 string"
 COLUMNS = ["shard", "page_id", "sha1", "is_page", "url", "payload", "size", "least", "grouped"]
@@ -106,6 +109,9 @@ class _File:
 
     def commit(self) -> list:
         self.stream.close()
+        # Not every file system moves onto a name that an attempt before has taken; the bytes there are the same.
+        if self.fs.get_file_info(self.final).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.final)
         self.fs.move(self.temporary, self.final)
         return [self.name, self.shard, self.number, self.records, self.bytes, self.sha.hexdigest()]
 
@@ -137,15 +143,21 @@ def _writer(out: str, roll_bytes: int):
     return run
 
 
-def splitters(ids: DataFrame, shards: int, rows: int) -> np.ndarray:
-    """Ids that cut the rows into ``shards`` ranges of about equal size, the same for the same rows."""
+def place(page_id: Column, sha1: Column) -> Column:
+    """A string that sorts as (id, payload) do, null ids first."""
+    ordered = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(page_id.isNull(), "0").otherwise(F.concat(F.lit("1"), ordered)), F.hex(sha1))
+
+
+def splitters(keys: DataFrame, shards: int, rows: int) -> list[str]:
+    """Keys that cut the rows into ``shards`` ranges of about equal size, the same for the same rows."""
     if shards <= 1:
-        return np.empty(0, dtype=np.int64)
+        return []
     grain = 1 << 30
-    part = min(1.0, max(SAMPLED_IDS, 4 * shards) / max(rows, 1))
-    chosen = ids.where("page_id is not null").where(F.pmod(F.xxhash64(F.lit(7), "page_id"), F.lit(grain)) < int(grain * part))
-    found = np.sort(np.fromiter((r[0] for r in chosen.toLocalIterator()), np.int64))
-    return np.unique(found[np.arange(1, shards) * len(found) // shards]) if len(found) else found
+    part = min(1.0, max(SAMPLED_KEYS, PER_SHARD * shards) / max(rows, 1))
+    chosen = keys.where(F.pmod(F.xxhash64(F.lit(7), "place"), F.lit(grain)) < int(grain * part))
+    found = sorted(r[0] for r in chosen.toLocalIterator())
+    return sorted({found[k * len(found) // shards] for k in range(1, shards)}) if found else []
 
 
 def write_warc(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> str:
@@ -159,14 +171,12 @@ def write_warc(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("grouped", F.col("size") >= min_bytes)
     least = rows.where("grouped").groupBy("sha1", "size").agg(F.min("page_id").alias("least"))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    cuts = splitters(pages.select(F.col(id_col).cast("long").alias("page_id")), -(-(total["bytes"] or 0) // shard_bytes), total["n"])
+    keys = rows.select(place(F.col("page_id"), F.col("sha1")).alias("place"))
+    cuts = splitters(keys, -(-(total["bytes"] or 0) // shard_bytes), total["n"])
 
-    @F.pandas_udf("long")
-    def shard(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        at = np.zeros(len(ids), dtype=np.int64)
-        at[known] = np.searchsorted(cuts, ids[known].to_numpy(dtype=np.int64), side="right")
-        return pd.Series(at)
+    @F.pandas_udf("int")
+    def shard(places: pd.Series) -> pd.Series:
+        return places.map(lambda x: bisect.bisect_right(cuts, x)).astype("int32")
 
     # Which pages revisit which is found without payloads, and told to the writer by rows that sort in front of the
     # pages they are about: so payloads are shuffled once. A payload that many pages share is a hot key of this join,
@@ -175,8 +185,9 @@ def write_warc(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int
     marks = keys.join(least, ["sha1", "size"]).where("least is not null and not page_id <=> least")
     marks = marks.select("page_id", "sha1", F.lit(False).alias("is_page"), "size", "least", F.lit(True).alias("grouped"))
     paged = rows.select("page_id", "sha1", F.lit(True).alias("is_page"), "url", "payload", "size", "grouped")
-    both = paged.unionByName(marks, allowMissingColumns=True).withColumn("shard", shard("page_id"))
-    dealt = both.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "size", "is_page", "url").select(*COLUMNS)
+    both = paged.unionByName(marks, allowMissingColumns=True).withColumn("shard", shard(place(F.col("page_id"), F.col("sha1"))))
+    # One partition per shard: hashing shard numbers would put several into one task and leave others empty.
+    dealt = both.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "size", "is_page", "url").select(*COLUMNS)
     manifest = posixpath.join(out, "manifest")
     dealt.mapInArrow(_writer(out, roll_bytes), MANIFEST).write.mode("overwrite").json(manifest)
     files.delete_dir_contents(posixpath.join(base, "_temporary"))
@@ -244,7 +255,9 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """Every record of the archives that the manifest lists, digests checked."""
     listed = spark.read.schema(MANIFEST).json(posixpath.join(out, "manifest")).where("file is not null").select("file")
     # A number given keeps Spark from reading all archives in one task because their names are short.
-    return listed.repartition(max(1, listed.count()), "file").mapInArrow(_reader(out), RECORD)
+    # A number given keeps Spark from reading all archives in one task because their names are short; ranges deal them
+    # evenly, which hashes of so few names would not.
+    return listed.repartitionByRange(max(1, listed.count()), "file").mapInArrow(_reader(out), RECORD)
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
