@@ -6,24 +6,31 @@ least ``LEAST`` toxic documents hold, that significantly more of them hold than
 likelihood ratio, ``SIGNIFICANT``), and that are ``RATIO`` times as frequent by occurrences in a document. Counts are
 absolute, so that words of a small group among the toxic texts (a rare language) stay. Every piece that qualifies is in
 the dictionary, whose size follows from them; the most frequent runs stand last (the end is cheapest to point at).
-Every word is compressed with both dictionaries, in front of bytes that both of them end with: zstandard seeks no match
-in the last 8 bytes of its input, which would hide short words. The bytes that the toxic dictionary saves are the
-distance. Counts of words past several savings, the largest and the mean are weighed by a logistic model, whose
-calibration is by cross-fitting: each half of the sample is measured with dictionaries of the other half.
-
-Fitting takes about ``FIT_TOXIC`` toxic and ``FIT_ORDINARY`` ordinary rows, chosen by hashes of the ids; every text is
-scored whole.
-
-Cases. Null and blank texts have one empty word and a score like any other. Without toxic or without ordinary rows
-to learn from, the score is the share of toxic rows among the labelled (0 without labels). Repeated rows stay; an
-empty table gives an empty result; extra columns do not matter.
+Every window, which is one word, is compressed with both dictionaries, in front of bytes that both of them end with:
+zstandard seeks no match in the last 8 bytes of its input, which would hide short words. The bytes that the toxic
+dictionary saves are the distance. Counts of windows past several savings (thresholds), the largest and the mean are
+weighed by a logistic model. Its calibration is by cross-fitting: each of ``FOLDS`` parts of the sample is measured with
+a dictionary of the others.
+
+Copies and near copies in the sample would make every piece of their text significant, so documents that share the
+smallest or the largest hash of their ``RUN``-word runs with one before them do not count for the fit.
+
+Fitting takes about ``FIT_TOXIC`` toxic and ``FIT_ORDINARY`` ordinary rows, chosen by hashes of the ids; what the fit
+needs of a text (its words with their numbers, up to ``FIT_WINDOWS`` windows by hash) is made in the tasks. Every text
+is scored whole.
+
+Cases. Null and blank texts have one empty word and a score like any other; texts of any length are scored whole, in
+memory of their distinct words. Without toxic or without ordinary rows to learn from, the score is the share of toxic
+rows among the labelled (0 without labels). Repeated rows stay; an empty table gives an empty result; further columns
+are carried through, whatever their names, but those named ``score`` and ``predicted``, which are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from math import log, sqrt
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import about, fold, small_batches
+from .common import about, fold, fresh, small_batches
 from .grams import LETTERS, sigmoid
 
 FIT_TOXIC = 1500
@@ -45,6 +52,9 @@ RATIO = 3
 LEVEL = 6
 ORDINARY_BYTES = 8192
 PAST = (1, 2, 3, 4, 5, 6)
+FOLDS = 4
+RUN = 8
+FIT_WINDOWS = 1024
 #: What no text matches, at the end of both dictionaries and of all that is compressed with them.
 PAD = np.random.default_rng(1).integers(0, 9, 16, dtype=np.uint8).tobytes()
 #: Words whose savings a worker remembers.
@@ -55,8 +65,30 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode().translate(LETTERS).split()
 
 
-def windows(words: list[bytes]) -> list[bytes]:
-    return [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, max(len(words), 1), WINDOW)]
+@dataclass
+class Sampled:
+    """What the fit needs of a document."""
+
+    words: Counter
+    runs: frozenset[int]
+    windows: list[bytes]
+
+
+def sampled(text: str) -> Sampled:
+    words = tokens(text)
+    runs = [zlib.crc32(b" ".join(words[k : k + RUN])) for k in range(max(1, len(words) - RUN + 1))]
+    cut = [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, max(len(words), 1), WINDOW)]
+    return Sampled(Counter(words), frozenset((min(runs), max(runs))), cut if len(cut) <= FIT_WINDOWS else sorted(cut, key=zlib.crc32)[:FIT_WINDOWS])
+
+
+def distinct(docs: list[Sampled]) -> list[Sampled]:
+    """The first of each group of copies and near copies."""
+    seen, kept = set(), []
+    for d in docs:
+        if not d.runs & seen:
+            kept.append(d)
+        seen |= d.runs
+    return kept
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -67,15 +99,10 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def pieces(words: list[bytes]) -> Counter:
-    """Occurrences of the pieces of words, which begin and end with a space."""
-    found = Counter()
-    for word, n in Counter(words).items():
-        b = b" " + word + b" "
-        for size in PIECES:
-            for i in range(len(b) - size + 1):
-                found[b[i : i + size]] += n
-    return found
+def pieces(word: bytes) -> list[bytes]:
+    """The pieces of a word, which begins and ends with a space."""
+    b = b" " + word + b" "
+    return [b[i : i + size] for size in PIECES for i in range(len(b) - size + 1)]
 
 
 def excerpts(word: bytes, particular: set[bytes]) -> list[bytes]:
@@ -92,51 +119,66 @@ def excerpts(word: bytes, particular: set[bytes]) -> list[bytes]:
     return [*found, b[begin:end]] if begin >= 0 else found
 
 
-def significance(a: int, n: int, b: int, m: int) -> float:
+def significance(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     """Signed root of the likelihood ratio of a among n against b among m; 0 where a's share is not the larger one."""
-    if a * m <= b * n:
-        return 0.0
     p = (a + b) / (n + m)
-    parts = ((a, n * p), (n - a, n * (1 - p)), (b, m * p), (m - b, m * (1 - p)))
-    return sqrt(max(0.0, 2 * sum(x * log(x / e) for x, e in parts if x)))
-
-
-def particular_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
-    holders, times = Counter(), Counter()
-    for words in toxic:
-        found = pieces(words)
-        holders.update(found.keys())
-        times.update(found)
-    other_holders, other_times = Counter(), Counter()
-    for words in ordinary:
-        found = {p: k for p, k in pieces(words).items() if holders[p] >= LEAST}
-        other_holders.update(found.keys())
-        other_times.update(found)
-    n, m = len(toxic), len(ordinary)
-    return {
-        p for p, k in holders.items()
-        if k >= LEAST and significance(k, n, other_holders[p], m) >= SIGNIFICANT and times[p] / n >= RATIO * (other_times[p] + 1) / (m + 1)
-    }
-
-
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    base = trained([w for words in ordinary for w in windows(words)], ORDINARY_BYTES)
-    particular = particular_pieces(toxic, ordinary)
-    found = Counter()
-    for word, n in Counter(w for words in toxic for w in words).items():
-        for e in excerpts(word, particular):
-            found[e] += n
-    chosen, held = [], set()
-    for e, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        inside = {e[i : i + size] for size in PIECES for i in range(len(e) - size + 1)} & particular
-        if not inside <= held:
-            held |= inside
-            chosen.append(e)
-    own = b"".join(reversed(chosen))
-    # What no text matches, as long as the toxic part: so both point at the base over the same distances, and what a
-    # word saves comes from the toxic part alone.
-    filler = np.random.default_rng(0).integers(0, 9, len(own), dtype=np.uint8).tobytes()
-    return base + filler + PAD, base + own + PAD
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(x > 0, x * np.log(x / e), 0) for x, e in ((a, n * p), (n - a, n * (1 - p)), (b, m * p), (m - b, m * (1 - p)))]
+    return np.where(a * m > b * n, np.sqrt(np.maximum(0, 2 * sum(parts))), 0)
+
+
+class Tallies:
+    """Numbers of documents that hold a piece, and of its occurrences, by class and part of the sample."""
+
+    def __init__(self, toxic: list[Sampled], ordinary: list[Sampled]):
+        self.docs = toxic, ordinary
+        self.number: dict[bytes, int] = {}
+        number = self.number
+        for d in toxic:
+            for word in d.words:
+                for p in pieces(word):
+                    number.setdefault(p, len(number))
+        self.holders, self.times = np.zeros((2, 2, FOLDS, len(number)), dtype=np.int64)
+        for c, docs in enumerate(self.docs):
+            for k, d in enumerate(docs):
+                found = [(number[p], n) for word, n in d.words.items() for p in pieces(word) if p in number]
+                if found:
+                    at, n = np.array(found).T
+                    self.holders[c, k % FOLDS, np.unique(at)] += 1
+                    np.add.at(self.times[c, k % FOLDS], at, n)
+        self.size = [[len(docs[k::FOLDS]) for k in range(FOLDS)] for docs in self.docs]
+        self.base = trained([w for d in ordinary for w in d.windows], ORDINARY_BYTES)
+
+    def particular(self, without: int | None) -> set[bytes]:
+        """Pieces that mark toxic documents, leaving one part of the sample out."""
+        parts = [k for k in range(FOLDS) if k != without]
+        (a, b), (ta, tb) = self.holders[:, parts].sum(axis=1), self.times[:, parts].sum(axis=1)
+        n, m = (max(1, sum(s[k] for k in parts)) for s in self.size)
+        good = (a >= LEAST) & (significance(a, n, b, m) >= SIGNIFICANT) & (ta / n >= RATIO * (tb + 1) / (m + 1))
+        names = list(self.number)
+        return {names[k] for k in np.flatnonzero(good)}
+
+    def dictionaries(self, without: int | None = None) -> tuple[bytes, bytes]:
+        particular = self.particular(without)
+        times = Counter()
+        for k, d in enumerate(self.docs[0]):
+            if k % FOLDS != without:
+                times.update(d.words)
+        found = Counter()
+        for word, n in times.items():
+            for e in excerpts(word, particular):
+                found[e] += n
+        chosen, held = [], set()
+        for e, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+            inside = {e[i : i + size] for size in PIECES for i in range(len(e) - size + 1)} & particular
+            if not inside <= held:
+                held |= inside
+                chosen.append(e)
+        own = b"".join(reversed(chosen))
+        # What no text matches, as long as the toxic part: so both point at the base over the same distances, and what
+        # a word saves comes from the toxic part alone.
+        filler = np.random.default_rng(0).integers(0, 9, len(own), dtype=np.uint8).tobytes()
+        return self.base + filler + PAD, self.base + own + PAD
 
 
 class Distance:
@@ -167,10 +209,12 @@ class Distance:
             self.known[word] = got
         return got
 
-    def measures(self, words: list[bytes]) -> np.ndarray:
+    def measures(self, words: Counter) -> np.ndarray:
+        """Of a document, by its words and their numbers."""
         saved = np.array([self.saved(w) for w in words or [b""]], dtype=np.float64)
-        past = np.array([(saved >= t).sum() for t in PAST], dtype=np.float64)
-        return np.concatenate([[saved.max(), saved.mean(), np.log(len(saved))], np.log1p(past), past, past / len(saved)])
+        n = np.array(list(words.values()) or [1], dtype=np.float64)
+        past = np.array([n[saved >= t].sum() for t in PAST])
+        return np.concatenate([[saved.max(), (saved * n).sum() / n.sum(), np.log(n.sum())], np.log1p(past), past, past / n.sum()])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 40) -> np.ndarray:
@@ -186,22 +230,20 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 4
 
 
 class ToxicityModel:
-    def __init__(self, toxic: list[str], ordinary: list[str], share: float):
+    def __init__(self, toxic: list[Sampled], ordinary: list[Sampled], share: float):
         """share: of toxic rows among all labelled; the sample is weighed back to it."""
         self.distance, self.share = None, share
+        toxic, ordinary = distinct(toxic), distinct(ordinary)
         if not toxic or not ordinary:
             return
-        t, o = [tokens(x) for x in toxic], [tokens(x) for x in ordinary]
-        self.distance = Distance(*dictionaries(t, o))
-        if len(t) < 4 or len(o) < 4:
-            halves = [(t, o, t, o)]
-        else:
-            halves = [(t[::2], o[::2], t[1::2], o[1::2]), (t[1::2], o[1::2], t[::2], o[::2])]
+        tallies = Tallies(toxic, ordinary)
+        self.distance = Distance(*tallies.dictionaries())
         x, y = [], []
-        for learn_t, learn_o, test_t, test_o in halves:
-            d = Distance(*dictionaries(learn_t, learn_o))
-            x += [d.measures(w) for w in (*test_t, *test_o)]
-            y += [1.0] * len(test_t) + [0.0] * len(test_o)
+        for k in range(FOLDS):
+            d = Distance(*tallies.dictionaries(without=k))
+            for label, docs in ((1.0, toxic[k::FOLDS]), (0.0, ordinary[k::FOLDS])):
+                x += [d.measures(doc.words) for doc in docs]
+                y += [label] * len(docs)
         x, y = np.array(x), np.array(y)
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
         self.weights = logistic((x - self.mean) / self.spread, y)
@@ -211,20 +253,32 @@ class ToxicityModel:
     def score(self, text: str) -> float:
         if self.distance is None:
             return self.share
-        x = (self.distance.measures(tokens(text)) - self.mean) / self.spread
+        x = (self.distance.measures(Counter(tokens(text))) - self.mean) / self.spread
         return float(sigmoid(x @ self.weights[:-1] + self.weights[-1] + self.shift))
 
 
+def _sampling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sampled(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([list(d.words) for d in found], pa.list_(pa.binary())), pa.array([list(d.words.values()) for d in found], pa.list_(pa.int64())), pa.array([sorted(d.runs) for d in found], pa.list_(pa.int64())), pa.array([d.windows for d in found], pa.list_(pa.binary()))],
+            names=["doc_id", "words", "n", "runs", "windows"],
+        )
+
+
 def fit(train: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_ordinary: int = FIT_ORDINARY) -> ToxicityModel:
     """A model from documents (doc_id, text) and labels (doc_id, toxic) of the training folds."""
+    small_batches(train.sparkSession)
     marks = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     n, bad = share["n"], share["bad"] or 0
-    docs = train.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = train.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def sample(of: int, rows: int, seed: int, total: int) -> list[str]:
-        chosen = about(marks.where(F.col("toxic") == of), "doc_id", rows, seed=seed, total=total)
-        return [r["text"] for r in sorted(docs.join(chosen, "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    def sample(of: int, rows: int, seed: int, total: int) -> list[Sampled]:
+        chosen = about(marks.where(F.col("toxic") == of), "doc_id", rows, seed=seed, total=total).select("doc_id")
+        made = docs.join(chosen, "doc_id").mapInArrow(_sampling, "doc_id long, words array<binary>, n array<long>, runs array<long>, windows array<binary>")
+        rows_ = sorted(made.collect(), key=lambda r: (r["doc_id"], r["runs"], len(r["words"])))
+        return [Sampled(Counter({bytes(w): k for w, k in zip(r["words"], r["n"], strict=True)}), frozenset(r["runs"]), [bytes(w) for w in r["windows"]]) for r in rows_]
 
     return ToxicityModel(sample(1, n_toxic, 31, bad), sample(0, n_ordinary, 32, n - bad), bad / n if n else 0.0)
 
@@ -234,15 +288,16 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, t
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
+    text = fresh("text__", kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.array([shared.value.score(t) for t in batch.column("text__").to_pylist()], dtype=np.float64)
-            names = [n for n in batch.schema.names if n != "text__"]
+            s = np.array([shared.value.score(t) for t in batch.column(text).to_pylist()], dtype=np.float64)
+            names = [n for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    kept = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("text__"))
+    rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{schema}, score double, predicted int")
 

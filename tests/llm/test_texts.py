@@ -146,11 +146,20 @@ def test_held_out_toxicity(spark):
     assert held_out_accuracy(spark, toxicity.toxicity, "toxic") > 0.92
 
 
-def test_held_out_toxicity_by_language(spark, sf="/root/testdata/sf0.1"):
-    labels, docs = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1"), spark.read.parquet(f"{sf}/documents.parquet")
-    got = toxicity.toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
-    recall = {r.lang: r.recall for r in got.groupBy("lang").agg(F.avg("predicted").alias("recall")).collect()}
-    assert recall["en"] > 0.8 and recall["de"] > 0.7 and recall["fr"] > 0.8  # es: 27 rows to learn from, 6 held out
+@pytest.mark.parametrize("sf", ["sf0.1", "check_s"])
+def test_held_out_toxicity_by_language(spark, sf):
+    """check_s has groups of copies among the rows to learn from, which once made all its documents toxic."""
+    path = f"/root/testdata/{sf}"
+    labels, docs = spark.read.parquet(f"{path}/labels.parquet"), spark.read.parquet(f"{path}/documents.parquet")
+    train = lambda t: t.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    model = toxicity.fit(train(docs), train(labels))
+    held = docs.join(F.broadcast(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 and (toxic = 1 or doc_id % 3 = 0)")), "doc_id")
+    got = toxicity.score(held.select("doc_id", "lang", "toxic", "text"), model)
+    share = {(r.toxic, r.lang): r.share for r in got.groupBy("toxic", "lang").agg(F.avg("predicted").alias("share")).collect()}
+    alarms = got.where("toxic = 0").agg(F.avg("predicted")).first()[0]
+    assert alarms < 0.02
+    assert share[1, "en"] > 0.8 and share[1, "de"] > 0.7 and share[1, "fr"] > 0.8  # es: 27 rows to learn from at sf0.1, 6 held out
+    assert sf == "sf0.1" or share[1, "es"] > 0.9
 
 
 # ------------------------------------------------------------------------------------------------ language model
@@ -214,6 +223,22 @@ def test_archive_files_are_deterministic(spark, tmp_path):
     assert not list((tmp_path / "a" / "_temporary").iterdir())
 
 
+def test_pages_of_one_id_or_none_are_cut_apart(spark, tmp_path):
+    rows = [(None if k % 2 else 7, "u", f"<p>{k}</p>" * 50) for k in range(400)]
+    pages = spark.createDataFrame([Row(*r) for r in rows], "page_id long, url string, html string")
+    manifest = spark.read.json(warc.write_warc(pages, f"file://{tmp_path}/w", shard_bytes=20_000))
+    assert manifest.count() > 5 and manifest.agg(F.max("records")).first()[0] < 100
+    assert keyed(tuple(r) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()) == plain_archive(rows)
+
+
+def test_a_repeated_attempt_replaces_its_file(spark, tmp_path):
+    pages = spark.createDataFrame([Row(*r) for r in PAGES], "page_id long, url string, html string")
+    out = f"file://{tmp_path}/w"
+    for _ in range(2):
+        warc.write_warc(pages, out, shard_bytes=20_000)
+    assert keyed(tuple(r) for r in warc.read_warc(spark, out).collect()) == plain_archive(PAGES)
+
+
 def test_small_payloads_are_responses(spark):
     pages = spark.createDataFrame([(k, "u", "tiny" if k % 2 else "a longer payload") for k in range(10)], "page_id long, url string, html string")
     kinds = Counter((r.payload_bytes, r.record_type) for r in warc.archive(pages, min_bytes=10).collect())
