@@ -132,6 +132,27 @@ def test_nnpu_separates():
     assert right[0] > 0.9 and right[1] < 0.1
 
 
+def test_class_prior_is_estimated_without_negatives():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(1, 1, (3000, 5)).astype(np.float32), rng.normal(-1, 1, (3000, 5)).astype(np.float32)
+    for prior in (0.5, 0.8):
+        mixed = np.vstack([good[1500 : 1500 + int(1400 * prior)], bad[: int(1400 * (1 - prior))]])
+        assert abs(quality.class_prior(good[:1500], rng.permutation(mixed), least=0.3) - prior) < 0.08
+
+
+@pytest.mark.parametrize("f", ["language", "quality"])
+def test_held_out_by_language(spark, f, sf="/root/testdata/sf0.1"):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    if f == "language":
+        got = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").withColumn("right", F.col("lang_pred") == F.col("lang"))
+    else:
+        got = quality.quality(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").withColumn("right", F.col("predicted") == F.col("quality"))
+    right = {r.lang: r.right for r in got.where("held_out and lang is not null").groupBy("lang").agg(F.avg(F.col("right").cast("int")).alias("right")).collect()}
+    assert len(right) == 4 and min(right.values()) > 0.97
+
+
 def held_out_accuracy(spark, f, column, sf="/root/testdata/sf0.1"):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = f(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out")
