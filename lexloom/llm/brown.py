@@ -1,26 +1,31 @@
 """Language-model scores from class-based bigrams, with classes by exchange clustering.
 
-log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class). Words are the lower-cased
-words of a text (A-Z only), then one end token; the class before the first word is the end token's.
-
-Classes are learned for units. A word whose relative frequency in the training texts is ``UNIT_SHARE`` or more is a
-unit of its own (1 / UNIT_SHARE words at most); all others share ``SLOTS`` units by the hash of their last three bytes,
-so that every word, also an unseen one, has a class. The exchange runs in rounds: bigram counts of units, a distributed
-table over all training texts, are summed by the present classes; in parallel slices each unit moves to the class that
-raises the likelihood of the class bigrams most (a hashed half of the units per round, so that moves do not collide);
-the best round is kept.
-
-Counts of words are a table of their own. Words of relative frequency ``SENT_SHARE`` or more (1 / SENT_SHARE at most)
-are sent to the tasks; for all others the tokens of the documents are joined to the table of counts by 64-bit hashes of
-the words (two words of a corpus of a billion share one with a probability of 3 in 100).
+log10 P(text) = sum over tokens of log10 P(class of the word | context class before) + log10 P(word | its class). Words
+are the lower-cased words of a text (A-Z only), then one end token; the context before the first word is the end
+token's.
+
+Every word of the training texts gets its class by exchange. A word whose relative frequency is ``UNIT_SHARE`` or more is
+a unit of its own (1 / UNIT_SHARE words at most, the only ones that tasks hold); all others share ``SLOTS`` units by the
+hash of their last three bytes, so that every word, also an unseen one, has a context class. First the units are
+clustered in rounds: bigram counts of units, a distributed table over all training texts, are summed by the present
+classes; in parallel slices each unit moves to the class that raises the likelihood of the class bigrams most (a hashed
+half of the units per round, so that moves do not collide); rounds end when two of them raise the likelihood by less
+than ``LITTLE`` of it. Then each of the other words is moved out of its slot, into the class that raises the likelihood
+of its own occurrences most (and of ``ALIKE`` more in contexts like its slot's, as a word seen once has but one context),
+against the class bigrams as they stand: words and the contexts before them are shuffled by word and never leave the
+tasks. What a word is as a context stays with its slot, so that no word's class hangs on
+another rare word's; P(class | context) and P(word | class) each sum to 1.
+
+To score, tokens of units are looked up and all others are joined, by the word itself, to the table of words with their
+classes and counts; a row's tokens find their row again by a number that its task gave it.
 
 Smoothing: P(word | class) = (c + 0.5) / (n + 0.5 (v + 1)) with c the word's count, n the class's tokens, v its distinct
 words and one place for all unseen words of the class. P(class | before) = (n(before, class) + K q) / (n(before) + K)
 with q the class's own (add-half) share.
 
-Cases. Null and blank texts are one end token. With no training rows all counts are 0, N = V = 0, and one class is
-left. Repeated rows are scored each by itself and count each in training; a null id trains as the empty string's fold
-says. An empty table gives an empty result; extra columns do not matter.
+Cases. Null and blank texts are one end token; texts of any length are scored whole. With no training rows all counts
+are 0, N = V = 0, and one class is left. Repeated rows are scored each by itself and count each in training; a null id
+trains as the empty string's fold says. An empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -32,19 +37,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401  as pa.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, small_batches
+from .common import fold, materialize, size_of, small_batches
 
 END = b"\n"  # no word holds a separator
 CLASSES = 64
 ROUNDS = 8
+LITTLE = 1e-3
 UNIT_SHARE = 2e-5
-SENT_SHARE = 1e-6
 SLOTS = 4096
 K = 20.0
+ALIKE = 30.0
 FLUSH = 500_000
 SLICES = 48
 SHIFT = 32
@@ -77,30 +84,26 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon(dict):
-    """Word to its place among the words sent to the tasks; any other word to -1 less its slot."""
+    """Word to its unit; any other word to its slot's."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, units: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray):
         super().__init__((w, k) for k, w in enumerate(words))
-        self.words, self.counts, self.units = words, counts, units
+        self.words, self.counts = words, counts
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - slot(word)
+        return len(self.words) + slot(word)
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.counts, self.units)
+        return Lexicon, (self.words, self.counts)
 
-    def unit_of_place(self) -> np.ndarray:
-        """Unit of each word sent, then of each slot in reverse (so that negative places index it)."""
-        own = np.arange(len(self.words))
-        rare = np.array([self.units + slot(w) for w in self.words[self.units :]], dtype=np.int64)
-        return np.concatenate([own[: self.units], rare, self.units + np.arange(SLOTS)[::-1]]).astype(np.int64)
+    @property
+    def units(self) -> int:
+        return len(self.words) + SLOTS
 
 
 def _bigrams(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
-        unit = lexicon.unit_of_place()
-        end = int(unit[lexicon[END]])
         keys, sums, held = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -110,9 +113,9 @@ def _bigrams(shared):
             return pa.RecordBatch.from_arrays([pa.array(code >> SHIFT), pa.array(code & ((1 << SHIFT) - 1)), pa.array(n)], names=["u", "v", "n"])
 
         for batch in batches:
-            rows = [np.array([end])]
+            rows = [np.array([lexicon[END]])]
             for text in batch.column("text").to_pylist():
-                rows.append(unit[[lexicon[w] for w in tokens(text)]])
+                rows.append(np.array([lexicon[w] for w in tokens(text)]))
             line = np.concatenate(rows)
             code, n = np.unique(line[:-1] << SHIFT | line[1:], return_counts=True)
             keys.append(code), sums.append(n)
@@ -162,10 +165,13 @@ def best_moves(unit: np.ndarray, now: np.ndarray, right: np.ndarray, left: np.nd
 
 
 def exchange(bigrams: DataFrame, units: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram counts) from bigram counts (u, v, n) of ``units`` units."""
+    """(class of each unit, class bigram counts) from bigram counts (u, v, n) of ``units`` units.
+
+    A round's changes are not seen by the other moves of the round, so the likelihood may fall; the best round is kept.
+    """
     spark = bigrams.sparkSession
     now = np.arange(units) % classes
-    best = None
+    best, fits = None, []
     slices = int(min(SLICES, max(1, units // 64)))
 
     def moved(shared):
@@ -191,7 +197,8 @@ def exchange(bigrams: DataFrame, units: int, classes: int = CLASSES, rounds: int
         fit = likelihood(m)
         if best is None or fit > best[0]:
             best = fit, now.copy(), m
-        if k == rounds:
+        fits.append(fit)
+        if k == rounds or k >= 2 and fit - fits[-3] < LITTLE * abs(fit):
             break
         apart = both.where("u <> v")
         sides = (
@@ -206,57 +213,155 @@ def exchange(bigrams: DataFrame, units: int, classes: int = CLASSES, rounds: int
     return best[1], best[2]
 
 
+def steps(m: np.ndarray) -> np.ndarray:
+    """log10 P(class | context) from counts."""
+    q = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * m.shape[1])
+    return np.log10((m + K * q[None, :]) / (m.sum(axis=1, keepdims=True) + K))
+
+
+def _contexts(shared):
+    """(word, context class before, n) of all words that are no units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, context = shared.value
+        first = int(context[lexicon[END]])
+        context, size = context.tolist(), len(lexicon.words)
+        counts: Counter[tuple[bytes, int]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            words, before = zip(*counts, strict=True) if counts else ((), ())
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "before", "n"])
+            counts.clear()
+            return batch
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found = tokens(text)
+                at = [lexicon[w] for w in found]
+                before = [first, *(context[k] for k in at[:-1])]
+                counts.update((w, b) for w, k, b in zip(found, at, before, strict=True) if k >= size)
+            if len(counts) > FLUSH:
+                yield out()
+        yield out()
+
+    return run
+
+
+def _assigning(shared):
+    """The class of each word, from its contexts in order of words; at the end the counts of (context, class) as rows
+    without a word, context * classes + class in the place of the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit, level, like_slot = shared.value
+        classes = len(level)
+        moved = np.zeros((classes, classes), dtype=np.int64)
+        held: pa.Table | None = None
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            word = rows.column("word").combine_chunks()
+            before, n = rows.column("before").to_numpy(), rows.column("n").to_numpy()
+            starts = np.flatnonzero(np.append(True, pa.compute.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)))
+            total = np.add.reduceat(n, starts)
+            slots = [slot(w) for w in word.take(pa.array(starts)).to_pylist()]
+            gain = np.add.reduceat(n[:, None] * fit[before], starts, axis=0) + ALIKE * like_slot[slots] - (total[:, None] + ALIKE) * level
+            to = gain.argmax(axis=1)
+            np.add.at(moved, (before, np.repeat(to, np.diff(np.append(starts, len(n))))), n)
+            return pa.RecordBatch.from_arrays([word.take(pa.array(starts)), pa.array(to, pa.int32()), pa.array(total)], names=["word", "class", "c"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            held = None
+            if rows.num_rows:
+                word = rows.column("word")
+                last = word[rows.num_rows - 1]
+                whole = pa.compute.index(pa.compute.equal(word, last), True).as_py()  # sorted: where the last word begins
+                held = rows.slice(whole)
+                if whole:
+                    yield out(rows.slice(0, whole))
+        if held is not None and held.num_rows:
+            yield out(held)
+        code = np.flatnonzero(moved)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code, pa.int32()), pa.array(moved.ravel()[code])], names=["word", "class", "c"])
+
+    return run
+
+
 class ClassModel:
-    """What a task needs to score a text but for the counts of words that are not sent."""
+    """What a task needs to score a text but for the words that are no units."""
 
     def __init__(self, lexicon: Lexicon, class_of_unit: np.ndarray, m: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray):
-        self.lexicon = lexicon
-        self.class_of_place = class_of_unit[lexicon.unit_of_place()]
-        q = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * len(m))
-        self.step = np.log10((m + K * q[None, :]) / (m.sum(axis=1, keepdims=True) + K))
-        self.level = np.log10(class_tokens + 0.5 * (class_words + 1))
-        self.log_count = np.log10(np.concatenate([lexicon.counts + 0.5, np.zeros(SLOTS) + 1]))
-
-    def measures(self, text: bytes) -> tuple[int, int, float, float, list[int]]:
-        """Tokens, those sent, the sum of log10(count + 0.5) over these, the sum of all else, hashes of the others."""
-        words = tokens(text)
-        lexicon = self.lexicon
+        self.lexicon, self.class_of_unit = lexicon, class_of_unit
+        #: log10 P(class | context) less the logarithm of the class's mass; with log10(c + 0.5) the token's score.
+        self.step = steps(m) - np.log10(class_tokens + 0.5 * (class_words + 1))[None, :]
+        self.log_count = np.log10(lexicon.counts + 0.5)
+
+    def measures(self, text: bytes) -> tuple[int, int, float, float, list[bytes], np.ndarray, np.ndarray]:
+        """Tokens, units among them, their sums of log10(count + 0.5) and of all else, the other words, the contexts
+        before these, and the classes that they have if they were never seen."""
+        words, lexicon = tokens(text), self.lexicon
         at = np.array([lexicon[w] for w in words])
-        classes = self.class_of_place[at]
-        before = np.concatenate([[self.class_of_place[lexicon[END]]], classes[:-1]])
-        rest = self.step[before, classes].sum() - self.level[classes].sum()
-        digest = xxhash.xxh64_intdigest
-        rare = [digest(words[k], 42) for k in np.flatnonzero(at < 0).tolist()]
-        return len(words), len(words) - len(rare), float(self.log_count[at].sum()), float(rest), rare
+        classes = self.class_of_unit[at]
+        before = np.append(self.class_of_unit[lexicon[END]], classes[:-1])
+        own = at < len(lexicon.words)
+        other = np.flatnonzero(~own)
+        return len(words), int(own.sum()), float(self.log_count[at[own]].sum()), float(self.step[before[own], classes[own]].sum()), [words[k] for k in other], before[other], classes[other]
+
+
+SCORED = "row long, word binary, before int, unseen int, id long, held_out boolean, n_tokens long, known long, logs double, rest double"
 
 
 def _measuring(shared):
+    """Per document one row, under a word that no text has, and one row for each token that is no unit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << SHIFT
         for batch in batches:
+            ids, held = batch.column("id"), batch.column("held_out")
             got = [shared.value.measures(t) for t in batch.column("text").to_pylist()]
-            n, known, logs, rest, rare = zip(*got, strict=True) if got else ((), (), (), (), ())
-            hashes = np.array([h for r in rare for h in r], dtype=np.uint64).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))
+            if not got:
+                continue
+            n, known, logs, rest, words, before, unseen = zip(*got, strict=True)
+            rows = np.arange(number, number + len(got))
+            number += len(got)
+            of = np.repeat(rows, [len(w) for w in words])
+            none, total = pa.nulls, len(of)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(rest, pa.float64()), listed],
-                names=["id", "key", "held_out", "n_tokens", "known", "logs", "rest", "rare"],
-            )
+                [
+                    pa.array(np.concatenate([rows, of])), pa.array([*(END + str(k).encode() for k in rows.tolist()), *(w for x in words for w in x)], pa.binary()),
+                    pa.concat_arrays([none(len(got), pa.int32()), pa.array(np.concatenate(before), pa.int32())]), pa.concat_arrays([none(len(got), pa.int32()), pa.array(np.concatenate(unseen), pa.int32())]),
+                    *(pa.concat_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x, none(total, t)]) for x, t in ((ids, pa.int64()), (held, pa.bool_()), (n, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (rest, pa.float64()))),
+                ],
+                names=[x.split()[0] for x in SCORED.split(", ")],
+            )
 
     return run
 
 
-def _classes_of_words(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, class_of_place, classes = shared.value
-        words, sums = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
-        for batch in batches:
-            of = class_of_place[[lexicon[w] for w in batch.column("word").to_pylist()]] if batch.num_rows else np.empty(0, dtype=np.int64)
-            words += np.bincount(of, minlength=classes)
-            sums += np.bincount(of, weights=batch.column("c").to_numpy(), minlength=classes).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(words), pa.array(sums)], names=["class", "words", "tokens"])
-
-    return run
+def counted(train: DataFrame, unit_share: float = UNIT_SHARE) -> tuple[int, int, Lexicon]:
+    """Tokens, distinct words, and the words that are units."""
+    n = train.agg(F.coalesce(F.sum(size_of(F.decode("text", "UTF-8")) + 1), F.lit(0)).alias("n")).first()["n"]
+    counts = train.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    frequent = F.when(F.col("c") >= max(1.0, n * unit_share), F.struct("word", "c"))
+    found = counts.agg(F.count("*").alias("v"), F.collect_list(frequent).alias("units")).first()  # 1 / unit_share at most
+    units = sorted(((bytes(w), c) for w, c in found["units"]), key=lambda x: (-x[1], x[0]))
+    return n, found["v"], Lexicon([w for w, _ in units], np.array([c for _, c in units], dtype=np.int64))
+
+
+def word_classes(train: DataFrame, lexicon: Lexicon, class_of_unit: np.ndarray, m: np.ndarray, bigrams: DataFrame, table: DataFrame) -> DataFrame:
+    """(word, class, c) of all words that are no units, and the rows that ``_assigning`` adds."""
+    spark = train.sparkSession
+    rows = train.mapInArrow(_contexts(spark.sparkContext.broadcast((lexicon, class_of_unit))), "word binary, before int, n long")
+    # Contexts before the words of each slot: SLOTS times classes rows at most.
+    size, seen = len(lexicon.words), np.zeros((SLOTS, len(m)))
+    for r in bigrams.where(F.col("v") >= size).join(table.toDF("u", "cu"), "u").groupBy("v", "cu").agg(F.sum("n").alias("n")).toLocalIterator():
+        seen[r["v"] - size, r["cu"]] = r["n"]
+    fit = steps(m)
+    like_slot = (seen / np.maximum(seen.sum(axis=1, keepdims=True), 1)) @ fit
+    # First-order gain of a small move: log P(class | contexts) less the words that the class has already.
+    shared = spark.sparkContext.broadcast((fit, np.log10(m.sum(axis=0) + 1), like_slot))
+    in_order = rows.repartition("word").sortWithinPartitions("word")
+    return materialize(in_order.mapInArrow(_assigning(shared), "word binary, class int, c long"))
 
 
 def language_model_scores(docs: DataFrame, folds: int = 5, held: int = 1, classes: int = CLASSES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,39 +371,39 @@ def language_model_scores(docs: DataFrame, folds: int = 5, held: int = 1, classe
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     train = docs.where(fold(id_col, folds) != held).select(text)
 
-    counted = train.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    vocabulary = materialize(counted)
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"], total["v"]
-    sent = vocabulary.where(F.col("c") >= max(1.0, n * SENT_SHARE)).toArrow()
-    words, counts = sent.column("word").to_pylist(), sent.column("c").to_numpy()
-    ranked = np.array(sorted(range(len(words)), key=lambda k: (-counts[k], words[k])), dtype=np.int64)
-    words, counts = [words[k] for k in ranked.tolist()], counts[ranked]
-    lexicon = Lexicon(words, counts, int((counts >= max(1.0, n * UNIT_SHARE)).sum()))
-
-    units = lexicon.units + SLOTS
-    shared = spark.sparkContext.broadcast(lexicon)
-    bigrams = materialize(train.mapInArrow(_bigrams(shared), "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n")))
-    class_of_unit, m = exchange(bigrams, units, classes, rounds)
-
-    in_classes = vocabulary.mapInArrow(_classes_of_words(spark.sparkContext.broadcast((lexicon, class_of_unit[lexicon.unit_of_place()], classes))), "class long, words long, tokens long")
-    class_words, class_tokens = np.zeros(classes), np.zeros(classes)
-    for r in in_classes.groupBy("class").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect():
-        class_words[r["class"]], class_tokens[r["class"]] = r["words"], r["tokens"]
-    model = spark.sparkContext.broadcast(ClassModel(lexicon, class_of_unit, m, class_tokens, class_words))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), (fold(id_col, folds) == held).alias("held_out"), text)
-    measured = materialize(rows.mapInArrow(_measuring(model), "id long, key long, held_out boolean, n_tokens long, known long, logs double, rest double, rare array<long>"))
-
-    # Words that are not sent: their tokens are joined to the counts. Rows that repeat a document have one key, and
-    # the sums of all of them are divided by their number.
-    others = vocabulary.where(F.col("c") < max(1.0, n * SENT_SHARE)).select(F.xxhash64("word").alias("h"), "c")
-    found = measured.select("key", F.explode("rare").alias("h")).join(others, "h", "left")
-    sums = found.groupBy("key").agg(F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("more_logs"))
-    copies = measured.groupBy("key").agg(F.count("*").alias("copies"))
-    by_key = copies.join(sums, "key", "left").select("key", (F.coalesce("more_known", F.lit(0)) / F.col("copies")).cast("long").alias("more_known"), (F.coalesce("more_logs", F.lit(0.0)) / F.col("copies")).alias("more_logs"))
-    logs = F.col("logs") + F.col("more_logs")
-    return measured.drop("rare").join(by_key, "key").select(
+    n, v, lexicon = counted(train)
+    bigrams = materialize(train.mapInArrow(_bigrams(spark.sparkContext.broadcast(lexicon)), "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n")))
+    class_of_unit, m = exchange(bigrams, lexicon.units, classes, rounds)
+    table = F.broadcast(spark.createDataFrame(pd.DataFrame({"unit": np.arange(lexicon.units), "class": class_of_unit})))
+    classed = word_classes(train, lexicon, class_of_unit, m, bigrams, table)
+
+    # Counts of (context, class): of units from their bigrams, of all other words from their moves.
+    size = len(lexicon.words)
+    own = bigrams.where(F.col("v") < size).join(table.toDF("v", "cv"), "v").join(table.toDF("u", "cu"), "u").groupBy("cu", "cv").agg(F.sum("n").alias("n"))
+    m = np.zeros((classes, classes))
+    for r in own.collect():
+        m[r["cu"], r["cv"]] += r["n"]
+    for r in classed.where("word is null").groupBy("class").agg(F.sum("c").alias("n")).collect():
+        m[divmod(r["class"], classes)] += r["n"]
+    class_words = np.bincount(class_of_unit[:size], minlength=classes).astype(np.float64)
+    class_tokens = np.bincount(class_of_unit[:size], weights=lexicon.counts, minlength=classes)
+    others = classed.where("word is not null")
+    for r in others.groupBy("class").agg(F.count("*").alias("words"), F.sum("c").alias("tokens")).collect():
+        class_words[r["class"]] += r["words"]
+        class_tokens[r["class"]] += r["tokens"]
+    model = ClassModel(lexicon, class_of_unit, m, class_tokens, class_words)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held).alias("held_out"), text)
+    measured = rows.mapInArrow(_measuring(spark.sparkContext.broadcast(model)), SCORED)
+    # Classes squared rows.
+    step = spark.createDataFrame(pd.DataFrame({"before": np.repeat(np.arange(classes), classes).astype(np.int32), "class": np.tile(np.arange(classes), classes).astype(np.int32), "step": model.step.ravel()}))
+    met = measured.join(others, "word", "left").withColumn("class", F.coalesce("class", "unseen")).join(F.broadcast(step), ["before", "class"], "left")
+    token = F.col("before").isNotNull()
+    sums = met.groupBy("row").agg(
+        *[F.max(c).alias(c) for c in ("id", "held_out", "n_tokens", "known")], F.count(F.when(token, F.col("c"))).alias("more_known"),
+        F.sum(F.when(token, F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).otherwise(F.col("logs"))).alias("logs"), F.sum(F.coalesce("step", "rest")).alias("rest"),
+    )
+    return sums.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))).alias("base_score"), (logs + F.col("rest")).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))).alias("base_score"), (F.col("logs") + F.col("rest")).alias("score"),
     )

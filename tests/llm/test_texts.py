@@ -203,6 +203,24 @@ def test_classes_beat_word_frequencies(spark):
     assert held[0] > held[1]
 
 
+def test_every_word_has_a_class_and_probabilities_sum_to_one(spark):
+    """Over a small vocabulary with rare words, all next words of a context have probability 1 together."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 4000")
+    train = docs.select(F.col("text").cast("binary").alias("text"))
+    n, v, lexicon = brown.counted(train, unit_share=1e-3)
+    assert 10 < len(lexicon.words) < v
+    bigrams = train.mapInArrow(brown._bigrams(spark.sparkContext.broadcast(lexicon)), "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    of_unit, m = brown.exchange(bigrams, lexicon.units, 8, 2)
+    table = spark.createDataFrame([(k, int(c)) for k, c in enumerate(of_unit)], "unit long, class long")
+    classed = brown.word_classes(train, lexicon, of_unit, m, bigrams, table).collect()
+    words = {bytes(r["word"]): r["c"] for r in classed if r.word is not None}
+    seen = Counter(w for r in train.collect() for w in brown.tokens(bytes(r.text)))
+    assert words == {w: c for w, c in seen.items() if w not in set(lexicon.words)} and len(words) + len(lexicon.words) == v
+    assert sum(r["c"] for r in classed if r.word is None) == sum(words.values())
+    assert n == sum(seen.values()) and dict(zip(lexicon.words, lexicon.counts)).items() <= seen.items()
+    assert abs((10 ** brown.steps(m)).sum(axis=1) - 1).max() < 1e-9
+
+
 def test_language_model_without_training(spark):
     docs = spark.createDataFrame([(k, "some words") for k in range(99) if in_fold(k, 5) == 1], "doc_id long, text string")
     got = brown.language_model_scores(docs).collect()
