@@ -1,5 +1,5 @@
-"""Text scalars: normalisation, tokens, token sets, titles, prompt sanitising. All are Catalyst expressions but
-``normalize_exact``, which is for text that is not NFKC-stable and for origin maps."""
+"""Text scalars: normalisation, tokens, token sets, titles, prompt sanitising. All are Catalyst expressions, but texts
+with characters that compatibility composition may change (rare ones) are normalised in Python, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -27,8 +27,24 @@ MINOR_WORDS = "a an and as at by for in of on or the to with".split()
 FENCES = "document question previous_turns findings already_covered_questions unanswered_questions pair version_a version_b".split()
 
 
+#: Characters that NFKC leaves as they are, whatever stands beside them, and those that normalisation drops, folds or
+#: collapses before it matters. All others send their text to the exact version.
+STABLE = (
+    r"\x00-\x9f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0391-\u03a1\u03a4-\u03c1\u03c3-\u03ce"
+    r"\u0400-\u0482\u048a-\u04ff\u0904-\u0928\u092a-\u0930\u0932\u0933\u0935-\u0939\u0964-\u0970\u20a0-\u20a7\u20a9-\u20c0\u2020-\u2023\u2030\u2031\u2190-\u21ff\u25a0-\u25ff"
+    r"\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+)
+
+
 def normalize(text: Column) -> Column:
-    """Drop ignorables, fold punctuation, collapse white space, trim, lower: for NFKC-stable text."""
+    """NFKC, ignorables dropped, punctuation folded, white space collapsed and trimmed, lower case."""
+    exact = text.rlike(f"[^{STABLE}{IGNORABLE}{FOLDED}{ELLIPSIS}{WS}]")
+    # The function gets null for all texts that do not need it.
+    return F.when(exact, normalize_text(F.when(exact, text))).otherwise(normalize_stable(text))
+
+
+def normalize_stable(text: Column) -> Column:
+    """The same for text that NFKC leaves as it is."""
     text = F.regexp_replace(text, f"[{IGNORABLE}]", "")
     text = F.replace(F.translate(text, FOLDED, FOLDS_TO), F.lit(ELLIPSIS), F.lit("..."))
     return F.lower(F.trim(F.regexp_replace(text, f"[{WS}]+", " ")))
@@ -40,6 +56,8 @@ def sql_normalize(text: str) -> str:
 
 
 ORIGIN = T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.ArrayType(T.IntegerType())), T.StructField("end", T.ArrayType(T.IntegerType()))])
+#: The characters of ``WS``.
+SPACES = frozenset(chr(c) for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 _FOLD = dict(zip(FOLDED, FOLDS_TO, strict=True)) | {ELLIPSIS: "..."}
 
 
@@ -62,7 +80,7 @@ def normalized_with_origin(text: str | None) -> tuple[str, list[int], list[int]]
         cluster = text[at:to]
         if cluster in IGNORABLE:
             pass
-        elif any(c.isspace() or c == "\ufeff" for c in cluster):
+        elif any(c in SPACES for c in cluster):
             gap = gap or ((at, to) if out else None)
         else:
             pieces = [(" ", *gap)] if gap else []
@@ -82,6 +100,11 @@ def normalize_exact(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([normalized_with_origin(t) or (None, None, None) for t in text], columns=["text", "start", "end"])
 
 
+@F.pandas_udf(T.StringType())
+def normalize_text(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else normalized_with_origin(t)[0])
+
+
 def tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda t: t != "")
 

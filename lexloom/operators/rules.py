@@ -42,7 +42,7 @@ def _hit(rule: Rule, category: Column, norm: Column, notice: Column, amount: Col
     elif rule.special == "salary":
         fires.append(salary_parts(norm) >= 2)
     elif rule.special == "keeping":
-        fires.append(~norm.rlike(rf"{NO_KEEPING}(?![^.]*{TIME_LIMIT})".replace(r"\b", "")))
+        fires.append(~matches(norm, rf"{NO_KEEPING}(?![^.]*{TIME_LIMIT})"))
     struct = F.struct(F.lit(rule.id).alias("rule_id"), severity.alias("severity"), *(v.alias(k) for k, v in found.items()))
     return F.when(_all(fires), struct)
 

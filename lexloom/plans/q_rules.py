@@ -16,7 +16,7 @@ from .q_text import NOTICE_CTE, PARTS_SQL, WITH
 from .registry import ORACLE, QUERIES, query
 
 #: In SQL without look-ahead: the text behind the last promise of a sentence must hold no time limit.
-KEEPING_SQL = f"""len(list_filter(regexp_split_to_array(norm, '[.]'), lambda s: regexp_matches(s, {sql_text(NO_KEEPING)}) AND NOT regexp_matches(regexp_extract(s, {sql_text('(?s)^.*' + NO_KEEPING + '(.*)$')}, 3), {sql_text(TIME_LIMIT.replace(chr(92) + 'b', ''))}))) = 0"""
+KEEPING_SQL = f"""len(list_filter(regexp_split_to_array(norm, '[.]'), lambda s: regexp_matches(s, {sql_text(NO_KEEPING)}) AND NOT regexp_matches(regexp_extract(s, {sql_text('(?s)^.*' + NO_KEEPING + '(.*)$')}, 3), {sql_text(TIME_LIMIT)}))) = 0"""
 
 
 def _sql_hit(r: Rule) -> str:

@@ -93,6 +93,36 @@ def test_normalize_agrees_with_the_exact_version(spark):
         assert r.n == r.x
 
 
+def test_normalize_composes(spark):
+    texts = ["\ufb01ne", "\u20a8 5", "\u00bd", "\uff46\uff55\uff4c\uff4c", "e\u0301", "\u0928\u093c", "\u0915\u093c \u0938\u0947", "\u03a3\u0391\u03a3", "\u00b4x\u2033", "a\u200d\u0301", "\u0301b", "\u00a0\u3000x\u2009", "\u0130", "\u2460", "\ud55c\uae00", "\U0001f642 \U0001d400", None, ""]
+    got = [r.n for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.normalize(F.col("t")).alias("n")).collect()]
+    assert got == [None if t is None else T.normalized_with_origin(t)[0] for t in texts]
+    assert got[:4] == ["fine", "rs 5", "1\u20442", "full"]
+
+
+def test_stable_characters_are_stable():
+    import re
+    import unicodedata
+
+    stable = re.compile(f"[{T.STABLE}]")
+    handled = set(T.IGNORABLE + T.FOLDED + T.ELLIPSIS) | T.SPACES
+    for c in map(chr, range(0x10000)):
+        if stable.match(c) and c not in handled:
+            assert unicodedata.normalize("NFKC", c) == c and unicodedata.category(c)[0] != "M" and not unicodedata.combining(c), hex(ord(c))
+
+
+@pytest.mark.parametrize(("text", "kept"), [
+    ("The Company shall not retain any original documents of the Employee.", False), ("You deposit your original certificates. We will not retain them thereafter.", False),
+    ("The Company shall not retain your original certificates beyond the minimum service period.", True), ("Original documents are kept; the Company will not hold them until asked.", True),
+    ("Originals of your documents will be verified and returned to you immediately.", False), ("Your original certificates will not be retained by the Company at any time.", False),
+])
+def test_keeping_originals(spark, text, kept):
+    from lexloom.operators import rules
+
+    hits = rules.run_rules(spark.createDataFrame([(1, "c001", "OTHER", text)], "doc_id long, clause_id string, category string, text string"))
+    assert ("IN-EMP-DOC-RETENTION" in {r.rule_id for r in hits.collect()}) is kept
+
+
 def docx(*paragraphs):
     out = io.BytesIO()
     body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
