@@ -65,5 +65,6 @@ def quote_from(text: Column) -> Column:
 
 
 def cite_from(text: Column) -> Column:
+    """The first sentence of a citing length, else the opening characters; null for no text."""
     found = F.regexp_extract(text, CITED, 0)
     return F.trim(F.when(found != "", found).otherwise(F.substring(text, 1, 160)))

@@ -5,20 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import LIMITS
 from ..functions import text as T
 from ..operators import pairing as P
 from ..operators.catalog import CATEGORIES, LENSES, RISKS
 from .contracts import CTE, CTE_B, clauses, version_b
+from .q_respond import CITE_SQL
 from .q_rules import HITS_CTE
 from .registry import query
 
-SETS = f"""WITH {CTE}, {CTE_B}, a AS (SELECT doc_id, clause_id, ord, label, {T.sql_normalize('text')} AS norm, {T.sql_token_set(T.sql_normalize('text'))} AS w FROM clauses),
-b AS (SELECT doc_id, clause_id, ord, label, {T.sql_normalize('text')} AS norm, {T.sql_token_set(T.sql_normalize('text'))} AS w FROM version_b),
+SETS = f"""WITH RECURSIVE {CTE}, {CTE_B}, a AS (SELECT doc_id, clause_id, ord, label, text, {T.sql_normalize('text')} AS norm, {T.sql_token_set(T.sql_normalize('text'))} AS w FROM clauses),
+b AS (SELECT doc_id, clause_id, ord, label, text, {T.sql_normalize('text')} AS norm, {T.sql_token_set(T.sql_normalize('text'))} AS w FROM version_b),
 sims AS (SELECT a.doc_id, a.ord AS a_ord, b.ord AS b_ord, a.norm = b.norm AS identical, coalesce(a.label = b.label, false) AS labelled,
   CASE WHEN len(a.w) = 0 AND len(b.w) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS similarity FROM a JOIN b USING (doc_id)),
 found AS (SELECT doc_id, a_ord, b_ord, similarity, identical, CASE WHEN labelled THEN 1 + similarity ELSE similarity END AS score FROM sims WHERE labelled OR similarity >= 0.35::DOUBLE)"""
 OUTER = f"""WITH {CTE}, {CTE_B}, outer_pairs AS (SELECT doc_id, clause_id, clauses.ord AS a_ord, version_b.ord AS b_ord, clauses.text AS a_text, version_b.text AS b_text, coalesce({T.sql_normalize('clauses.text')} = {T.sql_normalize('version_b.text')}, false) AS identical
   FROM clauses FULL OUTER JOIN version_b USING (doc_id, clause_id))"""
+#: Greedy pairing, one candidate of each document a step, best first; the clauses used so far are carried along.
+PAIRED = f"""{SETS}, ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, a_ord, b_ord) AS rk FROM found),
+walk AS (
+  SELECT doc_id, rk, a_ord, b_ord, similarity, identical, true AS taken, [a_ord] AS used_a, [b_ord] AS used_b FROM ranked WHERE rk = 1
+  UNION ALL
+  SELECT r.doc_id, r.rk, r.a_ord, r.b_ord, r.similarity, r.identical, NOT list_contains(used_a, r.a_ord) AND NOT list_contains(used_b, r.b_ord),
+    CASE WHEN list_contains(used_a, r.a_ord) OR list_contains(used_b, r.b_ord) THEN used_a ELSE list_append(used_a, r.a_ord) END,
+    CASE WHEN list_contains(used_a, r.a_ord) OR list_contains(used_b, r.b_ord) THEN used_b ELSE list_append(used_b, r.b_ord) END
+  FROM walk AS w JOIN ranked AS r ON r.doc_id = w.doc_id AND r.rk = w.rk + 1
+), taken AS (SELECT doc_id, a_ord, b_ord, similarity, identical FROM walk WHERE taken),
+lefts AS (SELECT a.doc_id, a.ord AS a_ord, a.clause_id AS a_id, a.text AS a_text, t.b_ord, similarity, identical FROM a LEFT JOIN taken AS t ON a.doc_id = t.doc_id AND a.ord = t.a_ord),
+paired AS (SELECT coalesce(l.doc_id, b.doc_id) AS doc_id, a_ord, b.ord AS b_ord, coalesce(a_id, 'none') || '-' || coalesce(b.clause_id, 'none') AS pair_id, coalesce(similarity, 0) AS similarity, coalesce(identical, false) AS identical, a_text, b.text AS b_text
+  FROM lefts AS l FULL OUTER JOIN b ON l.doc_id = b.doc_id AND l.b_ord = b.ord),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a_ord NULLS LAST, b_ord) AS place FROM paired WHERE NOT identical)"""
 NUMBERS = "list_max(list_transform(regexp_extract_all({0}, '\\b(\\d[\\d,]*)\\b', 1), lambda x: CAST(replace(x, ',', '') AS BIGINT)))"
 NUM_A, NUM_B = NUMBERS.replace("{0}", "a_text"), NUMBERS.replace("{0}", "b_text")
 
@@ -28,15 +44,6 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a.select("doc_id", "clause_id", "ord", "label", "text"), version_b(a)
 
 
-def outer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both versions side by side by clause id."""
-    a, b = sides(spark, sf_dir)
-    a = a.select("doc_id", "clause_id", F.col("ord").alias("a_ord"), F.col("text").alias("a_text"))
-    b = b.select("doc_id", "clause_id", F.col("ord").alias("b_ord"), F.col("text").alias("b_text"))
-    both = a.join(b, ["doc_id", "clause_id"], "full_outer")
-    return both.withColumn("identical", F.coalesce(T.normalize(F.col("a_text")) == T.normalize(F.col("b_text")), F.lit(False)))
-
-
 @query(f"{SETS} SELECT doc_id, CAST(a_ord AS INT) AS a_ord, CAST(b_ord AS INT) AS b_ord, similarity, score, identical FROM found")
 def join_theta_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.candidates(*sides(spark, sf_dir))
@@ -49,45 +56,61 @@ def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "a_ord", F.col("a_ord").alias("b_ord"), P.jaccard(F.col("a_words"), F.col("b_words")).alias("similarity"))
 
 
-@query()
+@query(f"{PAIRED} SELECT doc_id, CAST(a_ord AS INT) AS a_ord, CAST(b_ord AS INT) AS b_ord, pair_id, CAST(similarity AS DOUBLE) AS similarity, identical FROM paired")
 def join_full_outer_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one pairing: not SQL; tests compare it with a plain search."""
-    return P.pair_clauses(*sides(spark, sf_dir))
+    """Greedy one-to-one pairing; what is left of either side stays alone."""
+    return pairs(spark, sf_dir).drop("a_text", "b_text")
 
 
-@query()
+@query(f"{PAIRED} SELECT doc_id, CAST(a_ord AS INT) AS a_ord, CAST(b_ord AS INT) AS b_ord, similarity, identical FROM taken")
 def win_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.assign(P.candidates(*sides(spark, sf_dir)))
 
 
-@query(f"{OUTER} SELECT doc_id, clause_id, CASE WHEN a_ord IS NULL THEN 'ADDED' WHEN b_ord IS NULL THEN 'REMOVED' WHEN identical THEN 'SAME' ELSE 'CHANGED' END AS change FROM outer_pairs")
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.pair_clauses(*sides(spark, sf_dir))
+
+
+def _side_sql(side: str) -> str:
+    quote, text = f"quote_{side}", f"{side}_text"
+    return f"CASE WHEN trim({quote}) <> '' THEN CASE WHEN length({T.sql_normalize(quote)}) >= 12 AND contains({T.sql_normalize(text)}, {T.sql_normalize(quote)}) THEN 'verified' ELSE 'unverified' END END AS status_{side}"
+
+
+FLAT = "regexp_replace(trim({0}), '\\s+', ' ', 'g')"
+MOVED = f"NOT coalesce({FLAT.replace('{0}', 'a_text')} = {FLAT.replace('{0}', 'b_text')}, false)"
+IMPACT = f"CASE WHEN {NUM_A} IS NULL OR {NUM_B} IS NULL THEN 'UNCLEAR' WHEN {NUM_B} > {NUM_A} THEN 'WORSE_FOR_EMPLOYEE' WHEN {NUM_B} < {NUM_A} THEN 'BETTER_FOR_EMPLOYEE' ELSE 'NEUTRAL' END"
+CHANGES = f"""{PAIRED}, cited AS (SELECT *, {CITE_SQL.replace('text', 'a_text')} AS quote_a, {CITE_SQL.replace('text', 'b_text')} AS quote_b FROM placed WHERE place <= {LIMITS.changed_pairs} AND {MOVED})
+SELECT doc_id, pair_id, CASE WHEN a_text IS NULL THEN 'ADDED' WHEN b_text IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change,
+CASE WHEN a_text IS NULL OR b_text IS NULL THEN 'UNCLEAR' ELSE {IMPACT} END AS impact, quote_a, {_side_sql('a')}, quote_b, {_side_sql('b')} FROM cited"""
+
+
+@query(CHANGES)
 def pp_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("a_ord").isNull(), "ADDED").when(F.col("b_ord").isNull(), "REMOVED").when(F.col("identical"), "SAME").otherwise("CHANGED")
-    return outer_pairs(spark, sf_dir).select("doc_id", "clause_id", kind.alias("change"))
+    """What changed between two versions: pairs that are not identical, judged and quoted, quotes checked by side."""
+    return P.changes(pairs(spark, sf_dir))
 
 
-@query(f"{OUTER} SELECT doc_id, CAST(count(*) FILTER (identical) AS BIGINT) AS unchanged, CAST(count(*) FILTER (NOT identical) AS BIGINT) AS changed FROM outer_pairs GROUP BY doc_id")
+@query(f"{PAIRED} SELECT doc_id, CAST(count(*) FILTER (identical) AS BIGINT) AS unchanged, CAST(count(*) FILTER (NOT identical) AS BIGINT) AS changed FROM paired GROUP BY doc_id")
 def agg_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outer_pairs(spark, sf_dir).groupBy("doc_id").agg(F.count_if("identical").alias("unchanged"), F.count_if(~F.col("identical")).alias("changed"))
+    return pairs(spark, sf_dir).groupBy("doc_id").agg(F.count_if("identical").alias("unchanged"), F.count_if(~F.col("identical")).alias("changed"))
 
 
-@query(f"{OUTER} SELECT doc_id, clause_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a_ord NULLS LAST, b_ord) AS INT) AS place FROM outer_pairs")
+@query(f"{PAIRED} SELECT doc_id, pair_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a_ord NULLS LAST, b_ord) AS INT) AS place FROM paired")
 def sort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy(F.col("a_ord").asc_nulls_last(), "b_ord")
-    return outer_pairs(spark, sf_dir).select("doc_id", "clause_id", F.row_number().over(order).alias("place"))
+    return pairs(spark, sf_dir).select("doc_id", "pair_id", P.place().alias("place"))
 
 
-@query(f"{OUTER} SELECT doc_id, clause_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a_ord NULLS LAST, b_ord) AS rn FROM outer_pairs WHERE NOT identical) WHERE rn <= 3")
+@query(f"{PAIRED} SELECT doc_id, pair_id, CAST(place AS INT) AS place FROM placed WHERE place <= {LIMITS.changed_pairs}")
 def topk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy(F.col("a_ord").asc_nulls_last(), "b_ord")
-    return outer_pairs(spark, sf_dir).where("not identical").withColumn("rn", F.row_number().over(order)).where("rn <= 3").select("doc_id", "clause_id")
+    """The changed pairs that are explained: 60 of a document at most."""
+    return P.changed_pairs(pairs(spark, sf_dir)).select("doc_id", "pair_id", "place")
 
 
-@query(f"{OUTER} SELECT doc_id, clause_id, CASE WHEN {NUM_A} IS NULL OR {NUM_B} IS NULL THEN 'UNCLEAR' WHEN {NUM_B} > {NUM_A} THEN 'WORSE_FOR_EMPLOYEE' WHEN {NUM_B} < {NUM_A} THEN 'BETTER_FOR_EMPLOYEE' ELSE 'NEUTRAL' END AS impact FROM outer_pairs WHERE a_text IS NOT NULL AND b_text IS NOT NULL AND regexp_replace(a_text, '\\s+', ' ', 'g') <> regexp_replace(b_text, '\\s+', ' ', 'g')")
+@query(f"{PAIRED} SELECT doc_id, pair_id, {IMPACT} AS impact FROM paired WHERE a_text IS NOT NULL AND b_text IS NOT NULL AND {MOVED}")
 def mk_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
-    both = outer_pairs(spark, sf_dir).where("a_text is not null and b_text is not null").where(flat("a_text") != flat("b_text"))
-    return both.select("doc_id", "clause_id", P.impact(F.col("a_text"), F.col("b_text")).alias("impact"))
+    flat = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+    both = pairs(spark, sf_dir).where("a_text is not null and b_text is not null").where(flat("a_text") != flat("b_text"))
+    return both.select("doc_id", "pair_id", P.impact(F.col("a_text"), F.col("b_text")).alias("impact"))
 
 
 @query(f"{OUTER} SELECT doc_id, clause_id FROM outer_pairs WHERE b_ord IS NULL")
@@ -102,10 +125,14 @@ def join_inner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b.select("doc_id", "clause_id"), ["doc_id", "clause_id"]).select("doc_id", "clause_id", F.col("text").alias("a_text"))
 
 
-@query(f"{OUTER} SELECT doc_id, text, n FROM (SELECT doc_id, text, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, text FROM clauses EXCEPT ALL SELECT doc_id, text FROM version_b) GROUP BY doc_id, text)")
+@query(f"""WITH {CTE}, {CTE_B}, gone AS (SELECT doc_id, text FROM clauses EXCEPT ALL SELECT doc_id, text FROM version_b), fresh AS (SELECT doc_id, text FROM version_b EXCEPT ALL SELECT doc_id, text FROM clauses)
+SELECT doc_id, text, 'removed' AS side, CAST(count(*) AS BIGINT) AS n FROM gone GROUP BY doc_id, text UNION ALL SELECT doc_id, text, 'added', CAST(count(*) AS BIGINT) FROM fresh GROUP BY doc_id, text""")
 def set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that only one version has, as often as it has them more: one aggregation over both sides."""
     a, b = sides(spark, sf_dir)
-    return a.select("doc_id", "text").exceptAll(b.select("doc_id", "text")).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    both = a.select("doc_id", "text", F.lit(1).alias("n")).unionByName(b.select("doc_id", "text", F.lit(-1).alias("n")))
+    more = both.groupBy("doc_id", "text").agg(F.sum("n").alias("n")).where("n <> 0")
+    return more.select("doc_id", "text", F.when(F.col("n") > 0, "removed").otherwise("added").alias("side"), F.abs("n").alias("n"))
 
 
 @query(f"{HITS_CTE} SELECT doc_id, clause_id, norm.ord, rule_id, label FROM hits JOIN norm USING (doc_id, clause_id)")
