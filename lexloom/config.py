@@ -32,6 +32,8 @@ class Limits:
 
 
 LIMITS = Limits()
+#: Requests that a route allows in a window of so many seconds.
+ROUTES = {"session": (10, 600), "analyze": (8, 3600), "ask": (40, 3600), "compare": (10, 3600), "prepare": (10, 3600)}
 
 
 def session(name: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:

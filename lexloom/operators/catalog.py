@@ -92,3 +92,24 @@ LENSES = {
     "GETTING_FIRED": (("TERMINATION", "PROBATION"), ("NOTICE_PERIOD", "DISPUTE_RESOLUTION"), ("ask.q.terminationNotice", "ask.q.probationRules", "ask.q.disputeForum")),
     "EVERYTHING": ((), (), ("ask.q.biggestRisk", "ask.q.missingInfo", "ask.q.negotiate")),
 }
+
+# What a summary takes from a letter. (pattern, group, case ignored); the first clause that matches.
+EMPLOYER_NAME = r"[A-Z][A-Za-z]+ Technologies Private Limited"
+ROLE_NAME = r"position of ([A-Z][A-Za-z ]+?)(?: (?:with|at|in)\b|[,.])"
+START_DATE = r"(?:effective from|joining on|join on|date of joining is) (\d{1,2} [A-Z][a-z]+ \d{4})"
+NOTICE_LENGTH = r"(?:ninety|sixty|thirty|\d{1,3}) \(?\d{0,3}\)? ?days"
+PROBATION_LENGTH = r"probation for a period of ([^.,]{3,40}?)(?: from| starting|[.,])"
+BOND_TOPIC = r"liquidated damages|training bond|service bond|minimum period"
+BOND_AMOUNT = r"Rs\. ?[\d,]+"
+SUMMARY = {
+    "employer": (EMPLOYER_NAME, 0, False), "role": (ROLE_NAME, 1, False), "start_date": (START_DATE, 1, True), "notice_period": (NOTICE_LENGTH, 0, True),
+    "probation": (PROBATION_LENGTH, 1, True),
+}
+DOCUMENT_TYPE = "Letter of appointment"
+
+# Glossary terms and the forms that they appear as, the earlier term winning where forms overlap.
+GLOSSARY = {
+    "liquidatedDamages": ("liquidated damages",), "arbitration": ("arbitration", "arbitrator"), "noticePeriod": ("notice period", "नोटिस पीरियड"), "ctc": ("cost to company", "CTC"),
+    "indemnity": ("indemnify", "indemnity"), "probation": ("probation", "प्रोबेशन"), "nonCompete": ("non-compete", "non compete", "noncompete"), "gratuity": ("gratuity", "ग्रेच्युटी"),
+    "providentFund": ("provident fund", "PF"), "jurisdiction": ("jurisdiction",),
+}

@@ -5,10 +5,11 @@ Fixed values: the order, categories, risks and patterns. The wording is this lib
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import matches
+from ..functions.patterns import java, matches
+from .catalog import BOND_AMOUNT, BOND_TOPIC, DOCUMENT_TYPE, GLOSSARY, SUMMARY
 
 CLASSES = (
     ("NON_COMPETE", "HIGH", r"non[- ]?comp|competes with|competing business"),
@@ -68,3 +69,30 @@ def cite_from(text: Column) -> Column:
     """The first sentence of a citing length, else the opening characters; null for no text."""
     found = F.regexp_extract(text, CITED, 0)
     return F.trim(F.when(found != "", found).otherwise(F.substring(text, 1, 160)))
+
+
+def summary(clauses: DataFrame) -> DataFrame:
+    """One row per document: the first statement of each field in clause order, and the first three clauses as sources;
+    one aggregation."""
+
+    def first(pattern: str, group: int, fold: bool) -> Column:
+        value = F.trim(F.regexp_extract("text", ("(?i)" if fold else "") + java(pattern), group))
+        return F.min_by(F.when(value != "", value), F.when(value != "", F.col("ord")))
+
+    about = matches(F.col("text"), BOND_TOPIC, ignore_case=True)
+    money = F.min_by(F.when(about, F.regexp_extract("text", BOND_AMOUNT, 0)), F.when(about, F.col("ord")))
+    sources = F.array_sort(F.collect_list(F.when(F.col("ord") <= 3, F.struct("ord", "clause_id"))))
+    made = clauses.groupBy("doc_id").agg(*[first(*how).alias(name) for name, how in SUMMARY.items()], money.alias("bond"), sources.alias("sources"))
+    return made.select("doc_id", F.lit(DOCUMENT_TYPE).alias("document_type"), *SUMMARY, F.when(F.col("bond") != "", F.col("bond")).alias("bond"), F.array_join(F.transform("sources", lambda x: x["clause_id"]), ",").alias("sources"))
+
+
+def glossary(text: Column) -> Column:
+    """array<struct<term, start, n>>: the first occurrence of each term, unless an earlier term's overlaps it."""
+    found = []
+    for term, forms in GLOSSARY.items():
+        pattern = rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(forms)})(?![\p{{L}}\p{{M}}\p{{N}}])"
+        at = F.regexp_instr(text, F.lit(pattern))
+        found.append(F.when(at > 0, F.struct(F.lit(term).alias("term"), (at - 1).alias("start"), F.length(F.regexp_extract(text, pattern, 0)).alias("n"))))
+    every = F.array_compact(F.array(*found))
+    meets = lambda x, y: (y["start"] < x["start"] + x["n"]) & (x["start"] < y["start"] + y["n"])
+    return F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: meets(x, y)))

@@ -68,9 +68,10 @@ def best_windows(rows: DataFrame, key: list[str], prune: bool = True) -> DataFra
     sizes = F.sequence(F.greatest(F.lit(1), F.col("n") - SLACK), F.least(F.col("n") + SLACK, F.col("hn") - F.col("start")))
     rows = rows.where(F.least(F.col("n") + SLACK, F.col("hn") - F.col("start")) >= F.greatest(F.lit(1), F.col("n") - SLACK)).withColumn("size", F.explode(sizes))
     rows = rows.withColumn("window", F.substring("hc", F.col("start") + 1, F.col("size"))).withColumn("longest", F.greatest("size", "n"))
-    distance = F.levenshtein("qc", "window")
-    score = F.lit(1.0) - distance / F.col("longest")
-    good = rows.withColumn("score", score).where(F.col("score") >= THRESHOLD)
+    # With the edit budget as its bound the engine walks a band of the table only, and gives -1 beyond it.
+    rows = rows.withColumn("budget", edit_budget(F.col("longest")).cast("int")).withColumn("distance", F.expr("levenshtein(qc, window, budget)"))
+    score = F.lit(1.0) - F.col("distance") / F.col("longest")
+    good = rows.where("distance >= 0").withColumn("score", score).where(F.col("score") >= THRESHOLD)
     # Ties: higher score, length nearest the quote's, earliest start, smaller size.
     best = F.max(F.struct("score", (-F.abs(F.col("size") - F.col("n"))).alias("gap"), (-F.col("start")).alias("s"), (-F.col("size")).alias("z"))).alias("best")
     found = good.groupBy(*key).agg(best)
@@ -80,11 +81,10 @@ def best_windows(rows: DataFrame, key: list[str], prune: bool = True) -> DataFra
 def verify(pairs: DataFrame, key: list[str], prune: bool = True) -> DataFrame:
     """(key, status, score): verified, fuzzy or unverified for rows with text and quote; ``key`` tells rows apart."""
     rows = _prepared(pairs)
-    exact = rows.where("at > 0").select(*key, F.lit("verified").alias("status"), F.lit(1.0).alias("score"))
-    misses = rows.where("not coalesce(at > 0, false)")
-    near = best_windows(fuzzy_candidates(misses.where("norm is not null"), prune), key, prune)
-    joined = misses.select(*key).join(near.select(*key, "score"), key, "left")
-    return exact.unionByName(joined.select(*key, F.when(F.col("score").isNotNull(), "fuzzy").otherwise("unverified").alias("status"), F.coalesce("score", F.lit(0.0)).alias("score")))
+    misses = rows.where("norm is not null and not coalesce(at > 0, false)")
+    near = best_windows(fuzzy_candidates(misses, prune), key, prune).select(*key, F.col("score").alias("near"))
+    status = F.when(F.col("at") > 0, "verified").when(F.col("near").isNotNull(), "fuzzy").otherwise("unverified")
+    return rows.select(*key, "at").join(near, key, "left").select(*key, status.alias("status"), F.when(F.col("at") > 0, 1.0).otherwise(F.coalesce("near", F.lit(0.0))).alias("score"))
 
 
 def presentable(status: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import LIMITS
+from ..config import LIMITS, ROUTES
 from ..functions import text as T
 from ..functions.patterns import sql_text
 from ..operators import responder as M
@@ -111,13 +111,19 @@ def val_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- limits and state
 
 HOUR = 3600
+#: Events stand for requests; their type names the route.
+ROUTE_OF = "CASE event_id % 5 WHEN 0 THEN 'session' WHEN 1 THEN 'analyze' WHEN 2 THEN 'ask' WHEN 3 THEN 'compare' ELSE 'prepare' END"
+ROUTE_SQL = "routes(route, most, secs) AS (VALUES " + ", ".join(f"({sql_text(r)}, {n}, {s})" for r, (n, s) in ROUTES.items()) + ")"
 
 
-@query(f"""WITH r AS (SELECT event_id, event_type, user_id, CAST(floor(epoch(ts) / {HOUR}) * {HOUR} AS BIGINT) AS w, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY event_type, floor(epoch(ts) / {HOUR}) ORDER BY ts, event_id) AS n FROM events)
-SELECT event_id, n <= 4 AS allowed, CAST(greatest(0, 4 - n) AS INT) AS remaining, w + {HOUR} - t AS reset_seconds FROM r""")
+@query(f"""WITH {ROUTE_SQL}, e AS (SELECT event_id, event_type, ts, {ROUTE_OF} AS route FROM events),
+r AS (SELECT event_id, route, most, CAST(floor(epoch(ts) / secs) * secs AS BIGINT) AS w, secs, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY route, event_type, floor(epoch(ts) / secs) ORDER BY ts, event_id) AS n FROM e JOIN routes USING (route))
+SELECT event_id, route, n <= most AS allowed, CAST(greatest(0, most - n) AS INT) AS remaining, w + secs - t AS reset_seconds FROM r""")
 def st_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return limits.rate_limit(events, ["event_type"], 4, HOUR, ["ts", "event_id"]).select("event_id", "allowed", "remaining", "reset_seconds")
+    """Fixed windows by route and client (the event's type), with each route's own limit."""
+    table = F.broadcast(spark.createDataFrame([(r, n, s) for r, (n, s) in ROUTES.items()], "route string, most int, secs int"))
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("route", F.expr(ROUTE_OF)).join(table, "route")
+    return limits.rate_limit(events, ["route", "event_type"], F.col("most"), F.col("secs"), ["ts", "event_id"]).select("event_id", "route", "allowed", "remaining", "reset_seconds")
 
 
 @query(f"""WITH r AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(floor(epoch(ts) / {HOUR}) * {HOUR} AS BIGINT) AS w, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / {HOUR}) ORDER BY ts, event_id) AS n FROM events)
@@ -128,21 +134,36 @@ def st_rate_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.when(~F.col("allowed"), F.col("reset_seconds")).alias("retry_after"))
 
 
-@query("""WITH s AS (SELECT user_id, event_id, ts, first_value(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS began FROM events)
-SELECT event_id, CASE WHEN user_id % 11 = 0 THEN 'MALFORMED' WHEN epoch(ts) - epoch(began) > 1800 THEN 'EXPIRED' ELSE 'OK' END AS verdict FROM s""")
+#: Tokens by event: a secret missing, not two parts, a signature or a payload that does not decode, a wrong signature,
+#: a time that has run out, another network. The first that holds is the verdict; signatures themselves are not made here.
+TOKEN = {
+    "NO_SECRET": "event_id % 97 = 0", "MALFORMED": "event_id % 11 = 0", "BAD_SIGNATURE": "event_id % 13 = 0", "EXPIRED": "{age} >= 1800", "WRONG_IP": "event_id % 17 = 0",
+}
+VERDICT_SQL = "CASE " + " ".join(f"WHEN {c} THEN {sql_text(v)}" for v, c in TOKEN.items()) + " ELSE 'OK' END"
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id, ts, first_value(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS began FROM events)
+SELECT event_id, {VERDICT_SQL.replace('{age}', '(epoch(ts) - epoch(began))')} AS verdict FROM s""")
 def st_session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's first event opens a session of 30 minutes."""
+    """A day's first event opens a session of 30 minutes; the verdict of every later token, in the order of the checks."""
     events = read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     began = F.first("at").over(Window.partitionBy("user_id", F.to_date("at")).orderBy("at", "event_id"))
-    age = (F.unix_micros(F.col("at")) - F.unix_micros(began)) / 1e6
-    return events.select("event_id", F.when(F.col("user_id") % 11 == 0, "MALFORMED").when(age > 1800, "EXPIRED").otherwise("OK").alias("verdict"))
+    aged = events.withColumn("age", (F.unix_micros(F.col("at")) - F.unix_micros(began)) / 1e6)
+    return aged.select("event_id", F.expr(VERDICT_SQL.replace("{age}", "age")).alias("verdict"))
+
+
+TTL = 86_400
+KEPT = "event_id % 4 <> 0"
 
 
-@query("SELECT sha256(event_type || '|' || props) AS request, CAST(count(*) AS BIGINT) AS asked, min(event_id) AS first_id FROM events GROUP BY 1")
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, ts, {KEPT} AS keep, sha256(event_type || '|' || CAST(user_id % 50 AS VARCHAR)) AS request, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY ts, event_id) AS k FROM events),
+walk AS (SELECT request, k, event_id, false AS hit, CASE WHEN keep THEN ts + INTERVAL {TTL} SECOND END AS until FROM e WHERE k = 1
+  UNION ALL SELECT e.request, e.k, e.event_id, coalesce(w.until > e.ts, false), CASE WHEN coalesce(w.until > e.ts, false) THEN w.until WHEN keep THEN e.ts + INTERVAL {TTL} SECOND END FROM walk AS w JOIN e ON e.request = w.request AND e.k = w.k + 1)
+SELECT event_id, request, hit FROM walk""")
 def st_cache_lru_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal requests are answered once: the cache is a deduplication by hash in front of the expensive stage."""
-    hashed = read(spark, sf_dir, "events").withColumn("request", F.sha2(F.concat_ws("|", "event_type", "props"), 256))
-    return hashed.groupBy("request").agg(F.count("*").alias("asked"), F.min("event_id").alias("first_id"))
+    """Which requests a cache answers: equal ones within the lifetime of an answer that was kept (failures are not)."""
+    events = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.sha2(F.expr("event_type || '|' || CAST(user_id % 50 AS STRING)"), 256).alias("request"))
+    return limits.answer_cache(events, F.col("request"), F.expr(KEPT), TTL).select("event_id", "request", "hit")
 
 
 @query("""WITH c AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) > 1 AS free FROM events),
@@ -153,18 +174,66 @@ def st_call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.call_budget(seen, ["user_id"], ["ts", "event_id"], LIMITS.calls_per_visit, F.col("free")).select("event_id", "used", "allowed")
 
 
-@query("SELECT event_id, CASE WHEN value < 10 THEN 'fatal' WHEN value < 50 THEN 'retry' WHEN value < 80 THEN 'repair' ELSE 'ok' END AS step FROM events")
+#: Outcomes of one call's attempts, by digits of the event: 0 to 4 answered, 5 no valid JSON, 6 a passing fault, 7 the
+#: thinking hint refused (tried again for nothing, twice at most), 8 blocked, 9 quota. Two attempts, then one repair.
+ATTEMPTS = ["event_id % 10", "CAST(floor(event_id / 10) AS BIGINT) % 10", "CAST(floor(event_id / 100) AS BIGINT) % 10", "CAST(floor(event_id / 1000) AS BIGINT) % 10", "CAST(floor(event_id / 7) AS BIGINT) % 10"]
+CODES = {"5": "MODEL_INVALID_OUTPUT", "6": "INTERNAL", "8": "MODEL_BLOCKED", "9": "RATE_LIMITED"}
+
+
+def _ladder_sql() -> str:
+    """CASE over the attempts: state (attempt left, hints left) unrolled; at most five calls."""
+
+    def step(k: int, tries: int, hints: int, last: str | None) -> str:
+        if tries == 0:
+            if last == "5":
+                return f"CASE WHEN a{k} < 5 THEN 'ok' ELSE '{CODES['5']}' END"
+            return f"'{CODES[last]}'"
+        refused = step(k + 1, tries, hints - 1, last) if hints else f"'{CODES['6']}'"
+        return f"CASE WHEN a{k} < 5 THEN 'ok' WHEN a{k} = 8 THEN '{CODES['8']}' WHEN a{k} = 9 THEN '{CODES['9']}' WHEN a{k} = 7 THEN {refused} WHEN a{k} = 5 THEN {step(k + 1, tries - 1, hints, '5')} ELSE {step(k + 1, tries - 1, hints, '6')} END"
+
+    return step(0, 2, 2, None)
+
+
+LADDER_SQL = _ladder_sql()
+
+
+@query(f"SELECT event_id, {LADDER_SQL} AS outcome FROM (SELECT event_id, {', '.join(f'{a} AS a{k}' for k, a in enumerate(ATTEMPTS))} FROM events)")
 def st_model_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of a model call's outcome; the value stands for its status."""
-    v = F.col("value")
-    return read(spark, sf_dir, "events").select("event_id", F.when(v < 10, "fatal").when(v < 50, "retry").when(v < 80, "repair").otherwise("ok").alias("step"))
+    """What a call comes to, as a fold over its attempts."""
+    a = read(spark, sf_dir, "events").select("event_id", F.array(*[F.expr(x).cast("int") for x in ATTEMPTS]).alias("a"))
+    start = F.struct(F.lit(2).alias("tries"), F.lit(2).alias("hints"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("done"))
+
+    def step(s, x):
+        def next_(tries, hints, last, done):
+            return F.struct(tries.alias("tries"), hints.alias("hints"), last.cast("string").alias("last"), done.cast("string").alias("done"))
+
+        none = F.lit(None)
+        repair = next_(s["tries"], s["hints"], s["last"], F.when(x < 5, "ok").otherwise(F.lit(CODES["5"])))
+        call = (
+            F.when(x < 5, next_(s["tries"], s["hints"], s["last"], F.lit("ok"))).when(x == 8, next_(s["tries"], s["hints"], s["last"], F.lit(CODES["8"])))
+            .when(x == 9, next_(s["tries"], s["hints"], s["last"], F.lit(CODES["9"])))
+            .when(x == 7, F.when(s["hints"] > 0, next_(s["tries"], s["hints"] - 1, s["last"], none)).otherwise(next_(s["tries"], s["hints"], s["last"], F.lit(CODES["6"]))))
+            .otherwise(next_(s["tries"] - 1, s["hints"], F.when(x == 5, "5").otherwise("6"), none))
+        )
+        return F.when(s["done"].isNotNull(), s).when(s["tries"] > 0, call).when(s["last"] == "5", repair).otherwise(next_(s["tries"], s["hints"], s["last"], F.lit(CODES["6"])))
+
+    end = F.aggregate("a", start, step)
+    left = F.when(end["last"] == "5", CODES["5"]).otherwise(CODES["6"])
+    return a.select("event_id", F.coalesce(end["done"], left).alias("outcome"))
+
+
+NOW = "2024-01-20 00:00:00"
+OP = "CASE WHEN event_id % 9 = 0 THEN 'delete' ELSE 'put' END"
+LIFE = "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 5 + 1 AS BIGINT) * 86400 END"
 
 
-@query("SELECT event_type, last_value AS value, event_id FROM (SELECT event_type, value AS last_value, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+@query(f"""WITH c AS (SELECT event_type, user_id, event_id, ts, value, {OP} AS op, {LIFE} AS ttl, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts <= TIMESTAMP '{NOW}')
+SELECT event_type, user_id, value, event_id FROM c WHERE rn = 1 AND op = 'put' AND (ttl IS NULL OR ts + to_seconds(ttl) > TIMESTAMP '{NOW}')""")
 def src_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key-value store as a table: the last put of each key."""
-    last = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))
-    return read(spark, sf_dir, "events").withColumn("rn", last).where("rn = 1").select("event_type", "value", "event_id")
+    """A key-value store as a table of changes: puts with and without a lifetime, and deletes."""
+    events = read(spark, sf_dir, "events").where(f"ts <= TIMESTAMP_NTZ '{NOW}'")
+    changes = events.select("event_type", "user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "value", F.expr(OP).alias("op"), F.expr(LIFE).alias("ttl"))
+    return limits.kv_state(changes, ["event_type", "user_id"], F.lit(NOW).cast("timestamp")).withColumnRenamed("id", "event_id")
 
 
 # ---------------------------------------------------------------- validation

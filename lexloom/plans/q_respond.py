@@ -10,7 +10,7 @@ from ..functions.rows import once
 from ..functions.patterns import matches, sql_case, sql_matches, sql_text
 from ..operators import responder as M
 from ..operators import verify as V
-from ..operators.catalog import CATEGORIES, RISKS
+from ..operators.catalog import BOND_AMOUNT, BOND_TOPIC, CATEGORIES, DOCUMENT_TYPE, GLOSSARY, RISKS, SUMMARY
 from .contracts import CTE, clauses
 from .registry import query, read
 
@@ -42,34 +42,19 @@ def mk_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).select("doc_id", "clause_id", "quote")
 
 
-ROLE = r"position of ([A-Z][A-Za-z ]+?) (?:with|at|in)\b"
-START = r"(?:with effect from|effective from|joining on|join on) (\d{1,2} [A-Z][a-z]+ \d{4})"
-NOTICE = r"(?:ninety|sixty|thirty|\d{1,3}) \(?\d{0,3}\)? ?days"
-MONEY = r"Rs\. ?[\d,]+"
-FIRST = "arg_min({0}, ord) FILTER ({0} <> '')"
+def _first_sql(name: str) -> str:
+    pattern, group, fold = SUMMARY[name]
+    value = f"trim(regexp_extract(text, {sql_text(('(?i)' if fold else '') + pattern)}, {group}))"
+    return f"arg_min({value}, ord) FILTER ({value} <> '') AS {name}"
 
 
-@query(
-    f"WITH {CTE} SELECT doc_id, "
-    + ", ".join(f"{FIRST.replace('{0}', f'regexp_extract(text, {sql_text(p)}, {g})')} AS {n}" for n, p, g in (("role", ROLE, 1), ("start_date", START, 1), ("notice_period", NOTICE, 0)))
-    + f", CASE WHEN arg_min(regexp_extract(text, {sql_text(MONEY)}), ord) FILTER ({sql_matches('text', 'liquidated damages|training bond|service bond|minimum period', True)}) <> '' THEN arg_min(regexp_extract(text, {sql_text(MONEY)}), ord) FILTER ({sql_matches('text', 'liquidated damages|training bond|service bond|minimum period', True)}) END AS bond FROM clauses GROUP BY doc_id"
-)
-def mk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def first(pattern: str, group: int):
-        value = F.regexp_extract("text", pattern, group)
-        return F.min_by(F.when(value != "", value), F.when(value != "", F.col("ord")))
-
-    about = matches(F.col("text"), "liquidated damages|training bond|service bond|minimum period", True)
-    money = F.min_by(F.when(about, F.regexp_extract("text", MONEY, 0)), F.when(about, F.col("ord")))
-    rows = clauses(spark, sf_dir).groupBy("doc_id").agg(first(ROLE, 1).alias("role"), first(START, 1).alias("start_date"), first(NOTICE, 0).alias("notice_period"), money.alias("bond"))
-    return rows.withColumn("bond", F.when(F.col("bond") != "", F.col("bond")))
+_BOND = f"arg_min(regexp_extract(text, {sql_text(BOND_AMOUNT)}), ord) FILTER ({sql_matches('text', BOND_TOPIC, True)})"
+SUMMARY_SQL = f"SELECT doc_id, {sql_text(DOCUMENT_TYPE)} AS document_type, {', '.join(map(_first_sql, SUMMARY))}, CASE WHEN {_BOND} <> '' THEN {_BOND} END AS bond, string_agg(clause_id, ',' ORDER BY ord) FILTER (ord <= 3) AS sources FROM clauses GROUP BY doc_id"
 
 
-@query(f"{FOUND} SELECT doc_id, 'c001' AS clause_id, 'GENERAL' AS category, 'LOW' AS risk FROM found GROUP BY doc_id UNION ALL SELECT doc_id, clause_id, category, risk FROM found")
-def mk_poison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One finding per document that cannot be verified joins those that can."""
-    rows = findings(spark, sf_dir).select("doc_id", "clause_id", "category", "risk")
-    return rows.select("doc_id").distinct().select("doc_id", F.lit("c001").alias("clause_id"), F.lit("GENERAL").alias("category"), F.lit("LOW").alias("risk")).unionByName(rows)
+@query(f"WITH {CTE} {SUMMARY_SQL}")
+def mk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.summary(clauses(spark, sf_dir))
 
 
 ASKED = ("Can they stop me joining a competitor?", "How much notice must I give?", "What is my salary in hand?", "Will they pay for insurance of my parents?", "When do I get my original certificates back?")
@@ -123,24 +108,9 @@ def mk_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_compact(F.array(*lines))).alias("x")).select("doc_id", "x.*")
 
 
-#: The analysis of a document from its findings: verified by an exact check, since quotes are cut from the clause.
 ORDINAL = sql_case("risk", RISKS)
 
 
-@query(f"{FOUND} SELECT doc_id, CAST(count(*) AS BIGINT) AS findings, max({ORDINAL}) AS worst, arg_min(category, (3 - {ORDINAL}) * 1000 + ord) AS first_category, CAST(count(DISTINCT clause_id) AS BIGINT) AS clauses FROM found GROUP BY doc_id")
-def pp_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings(spark, sf_dir)
-    pairs = rows.select("doc_id", "clause_id", "ord", "category", "risk", "text", "quote")
-    shown = V.verify_exact(pairs).where("status = 'verified'")
-    risk = F.create_map(*[F.lit(x) for p in RISKS.items() for x in p])[F.col("risk")]
-    return shown.groupBy("doc_id").agg(F.count("*").alias("findings"), F.max(risk).alias("worst"), F.min_by("category", (3 - risk) * 1000 + F.col("ord")).alias("first_category"), F.countDistinct("clause_id").alias("clauses"))
-
-
-@query(f"{FOUND} SELECT doc_id, clause_id, arg_min(category, ord) AS category FROM found GROUP BY doc_id, clause_id")
-def agg_first_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).groupBy("doc_id", "clause_id").agg(F.min_by("category", "ord").alias("category"))
-
-
 @query(f"{FOUND} SELECT doc_id, arg_max(category, ord) AS category FROM found GROUP BY doc_id")
 def agg_last_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).groupBy("doc_id").agg(F.max_by("category", "ord").alias("category"))
@@ -156,14 +126,6 @@ def win_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses(spark, sf_dir).select("doc_id", "clause_id", F.floor(place / 3).cast("int").alias("batch"))
 
 
-@query(f"{BATCHED} SELECT doc_id, bool_or(n = 0) AS partial FROM (SELECT doc_id, batch, count(category) AS n FROM b GROUP BY doc_id, batch) GROUP BY doc_id")
-def agg_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is partial if any of its batches brought nothing (here: no category)."""
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
-    rows = clauses(spark, sf_dir).withColumn("batch", F.floor(place / 3))
-    return rows.groupBy("doc_id", "batch").agg(F.count("category").alias("n")).groupBy("doc_id").agg(F.bool_or(F.col("n") == 0).alias("partial"))
-
-
 @query(f"WITH {CTE} SELECT doc_id, arg_min(text, ord) FILTER (category = 'GENERAL') AS overview FROM clauses GROUP BY doc_id")
 def agg_first_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     general = F.col("category") == "GENERAL"
@@ -177,12 +139,6 @@ def agg_present_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present.select("doc_id", F.array_join(F.filter(order, lambda c: F.array_contains("has", c)), ",").alias("present"))
 
 
-@query(f"{FOUND}, w AS (SELECT *, {ORDINAL} AS r FROM found) SELECT doc_id, CAST(count(*) FILTER (r >= 2) AS BIGINT) AS red_flags, CAST(count(*) FILTER (r = 3) AS BIGINT) AS badge, CAST(count(*) FILTER (r < 2) AS BIGINT) AS other FROM w GROUP BY doc_id")
-def vw_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    high, strong = F.col("risk") == "HIGH", F.col("risk").isin("HIGH", "MEDIUM")
-    return findings(spark, sf_dir).groupBy("doc_id").agg(F.count_if(strong).alias("red_flags"), F.count_if(high).alias("badge"), F.count_if(~strong).alias("other"))
-
-
 @query(f"WITH {CTE} SELECT doc_id, clause_id FROM clauses WHERE category IN ('COMPENSATION', 'BENEFITS') AND contains({T.sql_normalize('text')}, {T.sql_normalize(sql_text('  Months '))})")
 def vw_clause_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters of the clause list: category and a normalised search."""
@@ -217,17 +173,21 @@ def vw_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", raw.alias("raw"), filled.alias("line"))
 
 
-GLOSSARY = {"arbitration": "arbitration|arbitrator", "noticePeriod": "notice period", "ctc": "cost to company|ctc", "probation": "probation", "nonCompete": "non-compete|non compete|noncompete", "gratuity": "gratuity", "providentFund": "provident fund|pf", "jurisdiction": "jurisdiction", "liquidatedDamages": "liquidated damages", "indemnity": "indemnify|indemnity"}
+EDGE = r"[^\p{L}\p{M}\p{N}]"
 
 
-EDGE = r"[^\p{L}\p{M}\p{N}]"
+def _at_sql(forms: tuple[str, ...]) -> str:
+    """Place (from 1) of the first form in the text; 0 if there is none."""
+    pattern = f"(?is)^(.*?(?:^|{EDGE}))({'|'.join(forms)})($|{EDGE})"
+    return f"CASE WHEN regexp_matches(text, {sql_text(pattern)}) THEN length(regexp_extract(text, {sql_text(pattern)}, 1)) + 1 ELSE 0 END, length(regexp_extract(text, {sql_text(pattern)}, 2))"
 
 
-@query(f"WITH {CTE} " + " UNION ALL ".join(f"SELECT doc_id, clause_id, {sql_text(t)} AS term FROM clauses WHERE regexp_matches(text, {sql_text(f'(^|{EDGE})({p})($|{EDGE})')}, 'i')" for t, p in GLOSSARY.items()))
+@query(f"""WITH {CTE}, found AS ({' UNION ALL '.join(f"SELECT doc_id, clause_id, {k} AS k, {sql_text(t)} AS term, {_at_sql(forms)} FROM clauses" for k, (t, forms) in enumerate(GLOSSARY.items()))}),
+f(doc_id, clause_id, k, term, pos, n) AS (SELECT * FROM found)
+SELECT doc_id, clause_id, term, CAST(pos - 1 AS INT) AS start FROM f WHERE pos > 0 AND NOT EXISTS (SELECT 1 FROM f AS g WHERE g.doc_id = f.doc_id AND g.clause_id = f.clause_id AND g.k < f.k AND g.pos > 0 AND g.pos < f.pos + f.n AND f.pos < g.pos + g.n)""")
 def vw_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary terms of each clause, by boundaries that hold for any script."""
-    terms = [F.when(F.col("text").rlike(rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{p})(?![\p{{L}}\p{{M}}\p{{N}}])"), F.lit(t)) for t, p in GLOSSARY.items()]
-    return clauses(spark, sf_dir).select("doc_id", "clause_id", F.explode(F.array_compact(F.array(*terms))).alias("term"))
+    """The first occurrence of each glossary term in a clause, by boundaries that hold for any script."""
+    return clauses(spark, sf_dir).select("doc_id", "clause_id", F.explode(M.glossary(F.col("text"))).alias("x")).select("doc_id", "clause_id", "x.term", "x.start")
 
 
 @query(f"WITH {CTE} SELECT doc_id, string_agg('[[' || clause_id || CASE WHEN label IS NULL THEN '' ELSE ' | ' || label END || CASE WHEN page IS NULL THEN '' ELSE ' | p' || CAST(page AS VARCHAR) END || ']] ' || {T.sql_sanitize('text')}, chr(10) || chr(10) ORDER BY ord) AS prompt FROM clauses GROUP BY doc_id")

@@ -18,13 +18,16 @@ def window_start(ts: Column, seconds: int) -> Column:
     return (F.floor(F.unix_seconds(ts) / seconds) * seconds).cast("long")
 
 
-def rate_limit(requests: DataFrame, keys: list[str], limit: int, seconds: int, order: list[str]) -> DataFrame:
-    """Adds allowed, remaining and reset_seconds to requests with a timestamp ``ts``."""
-    rows = requests.withColumn("window", window_start(F.col("ts"), seconds))
+def rate_limit(requests: DataFrame, keys: list[str], limit: int | Column, seconds: int | Column, order: list[str]) -> DataFrame:
+    """Adds allowed, remaining and reset_seconds to requests with a timestamp ``ts``; limit and seconds may be columns,
+    such as those of a table of routes."""
+    seconds = F.lit(seconds) if isinstance(seconds, int) else seconds
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    rows = requests.withColumn("window", (F.floor(F.unix_seconds(F.col("ts")) / seconds) * seconds).cast("long"))
     n = F.row_number().over(Window.partitionBy(*keys, "window").orderBy(*order))
     rows = rows.withColumn("n", n)
     reset = F.col("window") + seconds - F.unix_seconds(F.col("ts"))
-    return rows.select(*requests.columns, (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(0), F.lit(limit) - F.col("n")).alias("remaining"), reset.alias("reset_seconds"))
+    return rows.select(*requests.columns, (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(0), limit - F.col("n")).alias("remaining"), reset.alias("reset_seconds"))
 
 
 def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int, seconds: int) -> DataFrame:
@@ -59,3 +62,36 @@ def dedupe_requests(requests: DataFrame, key: Column, ttl: str | None = None) ->
     if requests.isStreaming:
         return hashed.withWatermark("ts", ttl or "10 minutes").dropDuplicatesWithinWatermark(["request"])
     return hashed.dropDuplicates(["request"])
+
+
+def answer_cache(requests: DataFrame, key: Column, kept: Column, seconds: int) -> DataFrame:
+    """Adds hit to requests (ts, id): whether an answer that is kept was loaded for the same key in the ``seconds`` before.
+
+    Only answers that ``kept`` approves stay, and a hit does not prolong one: an entry opens at the first request after
+    the one before has run out. That is a fold along each key's requests, which keeps one time; keys that many requests
+    share stream through their task in order and are never held.
+    """
+    rows = requests.withColumn("key__", F.sha2(key, 256)).withColumn("kept__", kept).withColumn("at__", F.unix_micros("ts"))
+    kinds = requests.schema.simpleString()[len("struct<") : -1]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, until = None, 0
+        for batch in batches:
+            hits = []
+            for k, at, keep in zip(batch["key__"], batch["at__"], batch["kept__"], strict=True):
+                if k != last:
+                    last, until = k, 0
+                hits.append(until > at)
+                if not hits[-1]:
+                    until = at + seconds * 1_000_000 if keep else 0
+            yield batch.drop(columns=["key__", "kept__", "at__"]).assign(hit=hits)
+
+    return rows.repartition("key__").sortWithinPartitions("key__", "at__", *[c for c in requests.columns if c != "ts"][:1]).mapInPandas(fold, f"{kinds}, hit boolean")
+
+
+def kv_state(changes: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """The key-value store at ``now`` from changes (op put or delete, ts, ttl seconds or null, value): the last change
+    of each key, if it is a put that has not run out. One aggregation."""
+    last = changes.where(F.col("ts") <= now).groupBy(*keys).agg(F.max_by(F.struct("op", "ts", "ttl", "value", "id"), F.struct("ts", "id")).alias("x")).select(*keys, "x.*")
+    alive = F.col("ttl").isNull() | (F.unix_micros("ts") + F.col("ttl") * 1_000_000 > F.unix_micros(now))
+    return last.where((F.col("op") == "put") & alive).select(*keys, "value", "id")
