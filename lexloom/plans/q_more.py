@@ -238,24 +238,6 @@ def src_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- validation
 
-CHECKS = {"id": "clause_id IS NULL OR NOT clause_id RLIKE '^c[0-9]{3,5}$'", "label": "length(label) > 40", "text": "length(text) NOT BETWEEN 1 AND 120", "page": "page NOT BETWEEN 1 AND 3", "order": "ord NOT BETWEEN 0 AND 399"}
-
-
-@query(f"WITH {CTE} SELECT doc_id, clause_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c.replace('NOT clause_id RLIKE ' + sql_text('^c[0-9]{3,5}$'), 'NOT regexp_matches(clause_id, ' + sql_text('^c[0-9]{3,5}$') + ')')} THEN '{k}' END" for k, c in CHECKS.items()) + ") AS violations FROM clauses")
-def val_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constraints as columns, the violated ones by name."""
-    found = [F.when(F.expr(c), F.lit(k)) for k, c in CHECKS.items()]
-    return clauses(spark, sf_dir).select("doc_id", "clause_id", F.concat_ws(",", *found).alias("violations"))
-
-
-@query(f"{FOUND} SELECT doc_id, clause_id, category IN ({', '.join(sql_text(c) for c in CATEGORIES)}) AND risk IN ('HIGH', 'MEDIUM', 'LOW', 'INFO') AS valid FROM found")
-def val_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model output as JSON, parsed permissively and checked: shape first, then enumerations."""
-    raw = findings(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.col("clause_id").alias("clauseId"), "category", "risk", F.lit(1).alias("unknown"))).alias("body"))
-    parsed = raw.select("doc_id", F.from_json("body", "clauseId string, category string, risk string, questionsToAsk array<string>", {"mode": "PERMISSIVE"}).alias("f"))
-    return parsed.select("doc_id", F.col("f.clauseId").alias("clause_id"), (F.col("f.category").isin(*CATEGORIES) & F.col("f.risk").isin("HIGH", "MEDIUM", "LOW", "INFO")).alias("valid"))
-
-
 @query(f"{HITS_CTE} SELECT doc_id, CAST(count(*) AS BIGINT) AS hits, bool_and(starts_with(rule_id, 'IN-EMP-') AND severity IN ('HIGH', 'MEDIUM', 'LOW', 'INFO')) AS valid FROM hits GROUP BY doc_id")
 def val_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.startswith("rule_id", F.lit("IN-EMP-")) & F.col("severity").isin("HIGH", "MEDIUM", "LOW", "INFO")
@@ -296,39 +278,6 @@ def agg_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(hit.alias("hit"), total.alias("total"), F.try_divide(hit, total).alias("rate"))
 
 
-#: Evaluation over documents: the category that a clause was written for is the truth, the responder's the claim.
-EVAL = f"{FOUND}, t AS (SELECT clauses.category AS truth, found.category AS claim FROM clauses LEFT JOIN found USING (doc_id, clause_id))"
-
-
-@query(f"{EVAL} SELECT truth, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (claim = truth) AS BIGINT) AS hit, count(*) FILTER (claim = truth)::DOUBLE / count(*) AS recall FROM t WHERE truth IS NOT NULL GROUP BY truth")
-def ev_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evaluated(spark, sf_dir)
-
-
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = clauses(spark, sf_dir).select(F.col("category").alias("truth"), F.col("text")).where("truth is not null")
-    right = M.classify(F.col("text"))["category"] == F.col("truth")
-    hit, total = F.count_if(right), F.count("*")
-    return claims.groupBy("truth").agg(total.alias("total"), hit.alias("hit"), (hit / total).alias("recall"))
-
-
-@query(f"{EVAL}, m AS (SELECT truth, count(*) FILTER (claim = truth)::DOUBLE / count(*) AS recall FROM t WHERE truth IS NOT NULL GROUP BY truth) SELECT truth, CASE WHEN recall < 0.95::DOUBLE THEN 'recall of ' || truth || ' is below 95 %' END AS reason FROM m")
-def ev_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evaluated(spark, sf_dir).select("truth", F.when(F.col("recall") < 0.95, F.concat(F.lit("recall of "), "truth", F.lit(" is below 95 %"))).alias("reason"))
-
-
-MUST = (("BOND_OR_EXIT_PENALTY", "IN-EMP-BOND"), ("NON_SOLICIT", "IN-EMP-NONSOLICIT"), ("CONFIDENTIALITY", "IN-EMP-CONFIDENTIALITY"), ("TERMINATION", "IN-EMP-TERMINATION-NO-NOTICE"), ("PROBATION", "IN-EMP-PROBATION-EXTEND"))
-
-
-@query(f"{HITS_CTE}, must(category, rule_id) AS (VALUES {', '.join(f'({sql_text(a)}, {sql_text(b)})' for a, b in MUST)}) SELECT n.doc_id, n.clause_id, m.rule_id AS missed FROM norm AS n JOIN must AS m ON n.category = m.category WHERE NOT EXISTS (SELECT 1 FROM hits AS h WHERE h.doc_id = n.doc_id AND h.clause_id = n.clause_id AND h.rule_id = m.rule_id)")
-def ev_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that a clause's category leads to expect, and that did not fire."""
-    must = F.broadcast(spark.createDataFrame(MUST, "category string, rule_id string"))
-    docs = clauses(spark, sf_dir)
-    wanted = docs.select("doc_id", "clause_id", "category").join(must, "category").drop("category")
-    return wanted.join(run_rules(docs).select("doc_id", "clause_id", "rule_id"), ["doc_id", "clause_id", "rule_id"], "left_anti").select("doc_id", "clause_id", F.col("rule_id").alias("missed"))
-
-
 @query(f"WITH {CTE}, e AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey % 7 + 1 AS VARCHAR) || '.1' AS label FROM orders) SELECT e.doc_id, e.label, min(clause_id) AS clause_id FROM e JOIN clauses USING (doc_id, label) GROUP BY e.doc_id, e.label")
 def join_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected labels joined to clauses."""
