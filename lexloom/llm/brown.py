@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import fold, materialize, size_of, small_batches
 
 END = b"\n"  # no word holds a separator
-CLASSES = 64
+CLASSES = 64  # 256 at most
 ROUNDS = 8
 LITTLE = 1e-3
 UNIT_SHARE = 2e-5
@@ -224,12 +224,13 @@ def _contexts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, context = shared.value
-        first = int(context[lexicon[END]])
-        context, size = context.tolist(), len(lexicon.words)
-        counts: Counter[tuple[bytes, int]] = Counter()
+        first, size = int(context[lexicon[END]]), len(lexicon.words)
+        # The context stands behind the word, a separator between: one string to count instead of a pair.
+        marks = [END + bytes([c]) for c in context.tolist()]
+        counts: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            words, before = zip(*counts, strict=True) if counts else ((), ())
+            words, before = [k[:-2] for k in counts], [k[-1] for k in counts]
             batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "before", "n"])
             counts.clear()
             return batch
@@ -238,8 +239,8 @@ def _contexts(shared):
             for text in batch.column("text").to_pylist():
                 found = tokens(text)
                 at = [lexicon[w] for w in found]
-                before = [first, *(context[k] for k in at[:-1])]
-                counts.update((w, b) for w, k, b in zip(found, at, before, strict=True) if k >= size)
+                before = [END + bytes([first]), *map(marks.__getitem__, at)]
+                counts.update([w + m for w, k, m in zip(found, at, before) if k >= size])
             if len(counts) > FLUSH:
                 yield out()
         yield out()
