@@ -4,11 +4,12 @@ Normalised texts are range-partitioned by Spark's sampled splitters on (first by
 inside each partition (spilling as needed), and every row's text is compared in full with its neighbour's. As ids are
 part of the sort key, copies of one text may spread over many partitions: no partition holds more than its share of a
 large group. The key is of bounded size, as the sampling sends keys to the driver, and texts have no bound.
-Groups that cross partitions are joined up through a table of two rows per partition (its first and last run).
+Groups that cross partitions are joined up through a table of two rows per partition (its first and last run), whose
+texts are compared in full with their neighbour's, too.
 
 Of equal texts the row with the most code points in the original text stays, then the smallest id.
 
-Cases. Null text counts as empty; empty texts equal each other and texts of separators only. Rows that repeat an id
+Cases. Texts of any length are compared whole. Null text counts as empty; empty texts equal each other and texts of separators only. Rows that repeat an id
 are rows of their own. A null id sorts last among equals. An empty table gives an empty result. Only the id and text
 columns are read; other columns do not matter.
 """
@@ -28,8 +29,13 @@ from .common import drop_spaces, materialize, small_batches
 
 #: Characters of the normalised text in the sort key; the digest orders texts that begin alike.
 HEAD = 24
-NAMES = ["id", "row", "sha", "part", "run", "is_first", "is_last", "at_start", "keep_id", "run_size"]
-RUNS = "id long, row long, sha binary, part long, run long, is_first boolean, is_last boolean, at_start boolean, keep_id long, run_size long"
+NAMES = ["id", "row", "sha", "part", "run", "is_first", "is_last", "at_start", "keep_id", "run_size", "edge"]
+RUNS = "id long, row long, sha binary, part long, run long, is_first boolean, is_last boolean, at_start boolean, keep_id long, run_size long, edge string"
+
+
+def without_text(rows: pa.Table) -> pa.Table:
+    """Rows of a run behind its first: their text is the first one's."""
+    return rows.set_column(rows.schema.get_field_index("norm"), "norm", pa.nulls(rows.num_rows, pa.string()))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,24 +56,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.append(0, np.cumsum(sizes)[:-1])
         at_start = np.zeros(len(run), dtype=bool)
         at_start[starts] = True
-        columns = [ids, rows.column("row").combine_chunks(), rows.column("sha").combine_chunks(), pa.array(np.full(len(run), part), pa.int64()), pa.array(run + number, pa.int64()), pa.array(run + number == 0), pa.array(np.full(len(run), is_last)), pa.array(at_start), ids.take(pa.array(starts[run])), pa.array(sizes[run], pa.int64())]
+        # The text of runs at an edge of the partition, once for each.
+        edge = np.zeros(len(run), dtype=bool)
+        if not number:
+            edge[0] = True
+        if is_last:
+            edge[starts[-1]] = True
+        texts = pc.if_else(pa.array(edge), rows.column("norm").combine_chunks(), pa.scalar(None, pa.string()))
+        columns = [ids, rows.column("row").combine_chunks(), rows.column("sha").combine_chunks(), pa.array(np.full(len(run), part), pa.int64()), pa.array(run + number, pa.int64()), pa.array(run + number == 0), pa.array(np.full(len(run), is_last)), pa.array(at_start), ids.take(pa.array(starts[run])), pa.array(sizes[run], pa.int64()), texts]
         return pa.Table.from_arrays(columns, names=NAMES).to_batches(max_chunksize=10_000)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         text = batch.column("norm")
-        rows = pa.table({"id": batch.column("id"), "row": batch.column("row"), "sha": batch.column("sha")})
+        rows = pa.table({"id": batch.column("id"), "row": batch.column("row"), "sha": batch.column("sha"), "norm": text})
         new = np.ones(len(text), dtype=bool)
         new[1:] = pc.not_equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False)
         new[0] = last is None or text[0].as_py() != last
         last = text[len(text) - 1].as_py()
         starts = np.flatnonzero(new)
         if not len(starts):
-            held.append(rows)
+            held.append(without_text(rows))
             continue
         if starts[0] > 0:
-            held.append(rows.slice(0, int(starts[0])))
+            held.append(without_text(rows.slice(0, int(starts[0]))))
         if held:
             run = pa.concat_tables(held)
             yield from out(run, np.array([run.num_rows]), False)
@@ -75,7 +88,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(starts) > 1:  # the runs that begin and end inside this batch
             yield from out(rows.slice(int(starts[0]), int(starts[-1] - starts[0])), np.diff(starts), False)
             number += len(starts) - 1
-        held = [rows.slice(int(starts[-1]))]
+        begun = int(starts[-1])
+        held = [rows.slice(begun, 1)]
+        if begun + 1 < rows.num_rows:
+            held.append(without_text(rows.slice(begun + 1)))
     if held:
         run = pa.concat_tables(held)
         yield from out(run, np.array([run.num_rows]), True)
@@ -92,13 +108,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), drop_spaces(text).alias("norm"), F.length(text).alias("points"))
     rows = rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("sha", F.unhex(F.sha2("norm", 256)))
     order = [F.col("head"), F.col("sha"), F.col("points").desc(), F.col("id").asc_nulls_last(), F.col("row")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Inside a partition the text itself follows the digest: equal texts are adjacent whatever digests do.
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order[:2], "norm", *order[2:])
     runs = materialize(ranged.select("id", "row", "norm", "sha").mapInArrow(_runs, RUNS))
 
     # A run that crosses partitions is the last of one and the first of the next non-empty one, perhaps of many.
     edges = runs.where("(is_first or is_last) and at_start").select("part", "run", "sha", "keep_id", "run_size")
     along = Window.orderBy("part", "run")
-    edges = edges.withColumn("front", F.coalesce(F.col("sha") != F.lag("sha").over(along), F.lit(True)))
+    edges = edges.withColumn("old_part", F.lag("part").over(along)).withColumn("old_run", F.lag("run").over(along)).withColumn("alike", F.col("sha") == F.lag("sha").over(along))
+    # Only where digests agree are the two texts brought together; no task holds more than its share of them.
+    texts = runs.where("edge is not null").select("part", "run", "edge")
+    met = edges.where("alike").select("part", "run", "old_part", "old_run").join(texts, ["part", "run"])
+    met = met.join(texts.toDF("old_part", "old_run", "old_edge"), ["old_part", "old_run"]).select("part", "run", (F.col("edge") == F.col("old_edge")).alias("same"))
+    edges = edges.join(met, ["part", "run"], "left").withColumn("front", ~F.coalesce("same", F.lit(False)))
     edges = edges.withColumn("chain", F.sum(F.col("front").cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     chain = Window.partitionBy("chain").orderBy("part", "run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = edges.select("part", "run", "front", F.first("keep_id").over(chain).alias("chain_keep"), F.sum("run_size").over(chain).alias("chain_size"))
