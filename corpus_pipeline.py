@@ -2,8 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. Rows are told apart by numbers that a stage writes with them once, so null and repeated ids are safe: a
-stage decides on rows, not ids, and on the same rows however the files are split. All stages but the last return the columns of documents; the last returns each document as many times
-as the mix takes it. Empty tables pass through.
+stage decides on rows, not ids, and on the same rows however the files are split. All stages but the last return the
+columns of documents, also further ones whatever their names; the last returns each document as many times as the mix
+takes it.
+
+Cases. A null text counts as empty: the classifier scores it, equal empty texts leave one row, it is clean, and the mix
+takes it 0 times or more without any words. Texts of any length are taken whole at every stage. Of equal or linked texts
+the smallest id stays, a null id last; rows that repeat an id are rows of their own. Null sources are a source. Empty
+tables pass through every stage.
 """
 
 from __future__ import annotations
