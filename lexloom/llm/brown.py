@@ -16,7 +16,8 @@ against the class bigrams as they stand: words and the contexts before them are
 tasks. What a word is as a context stays with its slot, so that no word's class hangs on
 another rare word's; P(class | context) and P(word | class) each sum to 1.
 
-To score, tokens of units are looked up and all others are joined, by the word itself, to the table of words with their
+To score, tokens of units and of other words of a relative frequency of ``SENT_SHARE`` or more (1 / SENT_SHARE words at most,
+some 100 MB in a worker) are looked up, which only spares the shuffle their tokens; all others are joined, by the word itself, to the table of words with their
 classes and counts; a row's tokens find their row again by a number that its task gave it.
 
 Smoothing: P(word | class) = (c + 0.5) / (n + 0.5 (v + 1)) with c the word's count, n the class's tokens, v its distinct
@@ -49,6 +50,7 @@ CLASSES = 64  # 256 at most
 ROUNDS = 8
 LITTLE = 1e-3
 UNIT_SHARE = 2e-5
+SENT_SHARE = 1e-6
 SLOTS = 4096
 K = 20.0
 ALIKE = 30.0
@@ -189,27 +191,27 @@ def exchange(bigrams: DataFrame, units: int, classes: int = CLASSES, rounds: int
     for k in range(rounds + 1):
         # At most 1 / UNIT_SHARE + SLOTS units: their classes are a table of bounded size.
         table = F.broadcast(spark.createDataFrame(pd.DataFrame({"unit": np.arange(units), "class": now})))
-        after = bigrams.join(table.toDF("v", "cv"), "v")
-        both = after.join(table.toDF("u", "cu"), "u")
+        both = bigrams.join(table.toDF("v", "cv"), "v").join(table.toDF("u", "cu"), "u")
+        # One scan gives all that a round needs: per unit its classes after (side 0) and before (1), and itself (2).
+        side = lambda unit, other, k_: F.struct(F.col(unit).alias("unit"), other.cast("long").alias("class"), F.lit(k_).alias("side"))
+        facts = F.when(F.col("u") == F.col("v"), F.array(side("u", F.lit(0), 2))).otherwise(F.array(side("u", F.col("cv"), 0), side("v", F.col("cu"), 1)))
+        sides = both.select(F.explode(facts).alias("x"), "n").groupBy("x.unit", "x.class", "x.side").agg(F.sum("n").alias("n")).persist()
         m = np.zeros((classes, classes))
-        for r in both.groupBy("cu", "cv").agg(F.sum("n").alias("n")).collect():
+        of = F.when(F.col("side") == 2, F.col("cu")).otherwise(F.col("class")).alias("cv")
+        for r in sides.where("side <> 1").join(table.toDF("unit", "cu"), "unit").select("cu", of, "n").groupBy("cu", "cv").agg(F.sum("n").alias("n")).collect():
             m[r["cu"], r["cv"]] = r["n"]
         fit = likelihood(m)
         if best is None or fit > best[0]:
             best = fit, now.copy(), m
         fits.append(fit)
         if k == rounds or k >= 2 and fit - fits[-3] < LITTLE * abs(fit):
+            sides.unpersist()
             break
-        apart = both.where("u <> v")
-        sides = (
-            apart.groupBy(F.col("u").alias("unit"), F.col("cv").alias("class")).agg(F.sum("n").alias("n")).withColumn("side", F.lit(0))
-            .unionByName(apart.groupBy(F.col("v").alias("unit"), F.col("cu").alias("class")).agg(F.sum("n").alias("n")).withColumn("side", F.lit(1)))
-            .unionByName(both.where("u = v").select(F.col("u").alias("unit"), F.lit(0).cast("long").alias("class"), "n").withColumn("side", F.lit(2)))
-        )
         half = F.pmod(F.xxhash64("unit", F.lit(k // 2)), F.lit(2)) == k % 2
         new = sides.where(half).withColumn("slice", F.col("unit") % slices).groupBy("slice").applyInPandas(moved(spark.sparkContext.broadcast((now, m))), "unit long, to long")
         for r in new.toArrow().to_batches():
             now[r.column("unit").to_numpy()] = r.column("to").to_numpy()
+        sides.unpersist()
     return best[1], best[2]
 
 
@@ -291,22 +293,29 @@ def _assigning(shared):
 class ClassModel:
     """What a task needs to score a text but for the words that are no units."""
 
-    def __init__(self, lexicon: Lexicon, class_of_unit: np.ndarray, m: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray):
+    def __init__(self, lexicon: Lexicon, class_of_unit: np.ndarray, m: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, sent: pa.Table):
         self.lexicon, self.class_of_unit = lexicon, class_of_unit
+        #: Words that are no units, but looked up all the same: their places behind the units'.
+        self.more = {w: k for k, w in enumerate(sent.column("word").to_pylist(), len(lexicon.words))}
         #: log10 P(class | context) less the logarithm of the class's mass; with log10(c + 0.5) the token's score.
         self.step = steps(m) - np.log10(class_tokens + 0.5 * (class_words + 1))[None, :]
-        self.log_count = np.log10(lexicon.counts + 0.5)
+        self.log_count = np.log10(np.concatenate([lexicon.counts, sent.column("c").to_numpy()]) + 0.5)
+        self.own_class = np.concatenate([class_of_unit[: len(lexicon.words)], sent.column("class").to_numpy()]).astype(np.int64)
 
     def measures(self, text: bytes) -> tuple[int, int, float, float, list[bytes], np.ndarray, np.ndarray]:
-        """Tokens, units among them, their sums of log10(count + 0.5) and of all else, the other words, the contexts
+        """Tokens, those looked up, their sums of log10(count + 0.5) and of all else, the other words, the contexts
         before these, and the classes that they have if they were never seen."""
-        words, lexicon = tokens(text), self.lexicon
+        words, lexicon, more = tokens(text), self.lexicon, self.more
         at = np.array([lexicon[w] for w in words])
         classes = self.class_of_unit[at]
         before = np.append(self.class_of_unit[lexicon[END]], classes[:-1])
-        own = at < len(lexicon.words)
-        other = np.flatnonzero(~own)
-        return len(words), int(own.sum()), float(self.log_count[at[own]].sum()), float(self.step[before[own], classes[own]].sum()), [words[k] for k in other], before[other], classes[other]
+        known = np.where(at < len(lexicon.words), at, -1)
+        if more:
+            rare = np.flatnonzero(known < 0)
+            known[rare] = [more.get(words[k], -1) for k in rare]
+        own, other = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
+        known = known[own]
+        return len(words), len(own), float(self.log_count[known].sum()), float(self.step[before[own], self.own_class[known]].sum()), [words[k] for k in other], before[other], classes[other]
 
 
 SCORED = "row long, word binary, before int, unseen int, id long, held_out boolean, n_tokens long, known long, logs double, rest double"
@@ -392,7 +401,9 @@ def language_model_scores(docs: DataFrame, folds: int = 5, held: int = 1, classe
     for r in others.groupBy("class").agg(F.count("*").alias("words"), F.sum("c").alias("tokens")).collect():
         class_words[r["class"]] += r["words"]
         class_tokens[r["class"]] += r["tokens"]
-    model = ClassModel(lexicon, class_of_unit, m, class_tokens, class_words)
+    few = F.col("c") < max(2.0, n * SENT_SHARE)
+    model = ClassModel(lexicon, class_of_unit, m, class_tokens, class_words, others.where(~few).toArrow())
+    others = others.where(few)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held).alias("held_out"), text)
     measured = rows.mapInArrow(_measuring(spark.sparkContext.broadcast(model)), SCORED)
