@@ -57,12 +57,13 @@ def with_facts(clauses: DataFrame) -> DataFrame:
     return once(facts, notice=extract.notice(F.col("norm")), amount=F.array_max(F.transform(extract.amounts(F.col("norm")), lambda a: a["rupees"])))
 
 
-def run_rules(clauses: DataFrame) -> DataFrame:
-    """(doc_id, clause_id, rule_id, severity, risk, amount, yours, theirs, period) for clauses with a category."""
+def run_rules(clauses: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, clause_id, rule_id, severity, risk, amount, yours, theirs, period) for clauses with a category, and the
+    columns of the clauses that ``keep`` names."""
     facts = with_facts(clauses)
-    hits = [_hit(r, F.col("category"), F.col("norm"), F.col("notice"), F.col("amount")) for r in RULES]
+    hits = [_hit(r, F.col("category"), F.col("norm"), F.col("notice"), F.col("amount")) for r in rules]
     # Predicates are regular expressions over one text: one pass, no join of clauses with rules.
-    fired = facts.select("doc_id", "clause_id", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("doc_id", "clause_id", "hit.*")
+    fired = facts.select("doc_id", "clause_id", *keep, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("doc_id", "clause_id", *keep, "hit.*")
     risk = F.create_map(*[F.lit(x) for pair in RISKS.items() for x in pair])[F.col("severity")]
     return fired.withColumn("risk", risk)
 

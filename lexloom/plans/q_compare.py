@@ -194,8 +194,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.rules import run_rules
 
     chosen = F.broadcast(weights(spark).where(F.col("lens").isin(*CHOSEN)).groupBy("category").agg(F.max("w").alias("w")))
-    docs = clauses(spark, sf_dir)
-    hits = run_rules(docs).select("doc_id", "clause_id", "rule_id", "risk").join(docs.select("doc_id", "clause_id", "category"), ["doc_id", "clause_id"])
+    # The category comes along with the hits: no clause is read twice.
+    hits = run_rules(clauses(spark, sf_dir), keep=("category",))
     return hits.join(chosen, "category", "left").select("doc_id", "clause_id", "rule_id", (F.col("risk") * 10 + F.coalesce("w", F.lit(0))).alias("score"))
 
 

@@ -59,7 +59,8 @@ def rules_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _one_rule(rule_id: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.run_rules(clauses(spark, sf_dir)).where(F.col("rule_id") == rule_id).select("doc_id", "clause_id", "severity")
+    own = tuple(r for r in RULES if r.id == rule_id)
+    return R.run_rules(clauses(spark, sf_dir), own).select("doc_id", "clause_id", "severity")
 
 
 for _rule in RULES:
@@ -126,6 +127,5 @@ def topk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{HITS_CTE} SELECT category, severity, CAST(count(*) AS BIGINT) AS n FROM hits JOIN clauses USING (doc_id, clause_id) GROUP BY ROLLUP (category, severity)")
 def ext_rollup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: hits by category and severity with subtotals."""
-    docs = clauses(spark, sf_dir)
-    hits = R.run_rules(docs).select("doc_id", "clause_id", "severity")
-    return hits.join(docs.select("doc_id", "clause_id", "category"), ["doc_id", "clause_id"]).rollup("category", "severity").agg(F.count("*").alias("n"))
+    hits = R.run_rules(clauses(spark, sf_dir), keep=("category",))
+    return hits.rollup("category", "severity").agg(F.count("*").alias("n"))

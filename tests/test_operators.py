@@ -200,3 +200,60 @@ def test_short_passages_are_found(spark, tmp_path):
     got = compare.rows_of_spark(registry.QUERIES["vq_exact_benchmark"](spark, str(tmp_path)))
     assert compare.difference(got, compare.rows_of_duck(compare.duck(str(tmp_path)), registry.ORACLE["vq_exact_benchmark"])) == ""
     assert {r[got[0].index("item_id")] for r in got[1]} == set(range(7))
+
+
+def plain_quote(text):
+    import regex
+
+    sentence = regex.compile(r"[A-Z(](?:[^.]|\.(?=\S)|(?<=\b(?:Rs|No|Nos|viz))\.)*?\.(?=\s|$)")
+    for m in sentence.finditer(text):
+        if 25 <= len(m[0]) <= 240:
+            return m[0].strip()
+    at = regex.search(r"[A-Z(]", text)
+    begin = at.start() if at else 0
+    opening = text[begin : begin + 160]
+    return (regex.sub(r"\s+\S*$", "", opening) if begin + 160 < len(text) else opening).strip()
+
+
+def test_quotes_are_whole_sentences(spark):
+    from lexloom.plans import q_respond
+    from lexloom.plans.contracts import clauses
+
+    texts = {(r.doc_id, r.clause_id): r.text for r in clauses(spark, "/root/testdata/sf0.001").collect()}
+    got = q_respond.mk_quote(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) > 1000 and all(r.quote == plain_quote(texts[r.doc_id, r.clause_id]) for r in got)
+
+
+def test_normalised_maps_and_offsets(spark):
+    from lexloom.plans import q_verify
+
+    sf = "/root/testdata/sf0.001"
+    texts = {(r.doc_id, r.clause_id): r.text for r in q_verify.clauses(spark, sf).collect()}
+    for r in q_verify.txt_normalize_map(spark, sf).collect():
+        norm, _, end = T.normalized_with_origin(texts[r.doc_id, r.clause_id])
+        assert (r.norm, r.last) == (norm, max(end))
+    said = {(r.doc_id, r.ord): (r.clause_id, r.quote) for r in q_verify.claims(spark, sf).collect()}
+    got = {(r.doc_id, r.ord): (r.start, r.end) for r in q_verify.vq_offsets(spark, sf).collect()}
+    for key, (clause_id, quote) in said.items():
+        text = texts.get((key[0], clause_id))
+        needle = T.normalized_with_origin(quote)[0]
+        norm, start, end = T.normalized_with_origin(text) if text else ("", [], [])
+        at = norm.find(needle) if len(needle) >= 12 else -1
+        assert got.get(key) == ((start[at], end[at + len(needle) - 1]) if at >= 0 else None)
+        if at >= 0:
+            assert T.normalized_with_origin(text[start[at] : end[at + len(needle) - 1]])[0].strip() == needle
+
+
+def test_cached_answers(spark):
+    rows = [(k, t, b, kept) for k, (t, b, kept) in enumerate([(0, "a", True), (50, "a", True), (99, "a", False), (100, "a", True), (10, "b", False), (20, "b", True), (119, "b", True), (120, "b", True)])]
+    made = spark.createDataFrame(rows, "id long, t long, body string, kept boolean").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.id: r.hit for r in limits.answer_cache(made, F.col("body"), F.col("kept"), 100).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: False, 6: True, 7: False}
+
+
+def test_glossary_takes_first_occurrences(spark):
+    from lexloom.operators import responder
+
+    texts = ["The PF and the provident fund; probation, Probation.", "unprobationary CTCs", "नोटिस पीरियड and notice period", "arbitration or arbitrators"]
+    got = [[(x.term, x.start) for x in r.g] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(responder.glossary(F.col("t")).alias("g")).collect()]
+    assert got == [[("probation", 31), ("providentFund", 4)], [], [("noticePeriod", 0)], [("arbitration", 0)]]
