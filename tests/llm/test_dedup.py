@@ -117,7 +117,7 @@ def test_long_lists_join_what_is_linked(monkeypatch, long):
     rng = random.Random(8)
     low = {rng.getrandbits(9) | rng.getrandbits(9) << 23 for _ in range(120)} | {rng.getrandbits(32) for _ in range(80)}
     marks = sorted(low)  # one list: the upper four bytes are the same
-    found = [(int(x), int(y)) for a, b in simhash._list_links(np.array(marks, np.uint64), 3) for x, y in zip(a, b)]
+    found = [(int(x), int(y)) for a, b in simhash._list_links(np.array(marks, np.uint64), 3, (4, 5, 6, 7)) for x, y in zip(a, b)]
     assert all(near(a, b) for a, b in found)
     name = {m: m for m in marks}
 
@@ -134,6 +134,68 @@ def test_long_lists_join_what_is_linked(monkeypatch, long):
     assert len({top(m) for m in marks}) == len(set(brute_components(marks)))
 
 
+def apart(rng, n, free):
+    """n pairs at three bits, one in each free byte; no other two are at three bits or fewer."""
+    import numpy as np
+
+    marks, taken, beside = [], np.zeros(1 << 24, bool), simhash.masks(3)
+    while len(marks) < 2 * n:
+        at = rng.getrandbits(24)
+        twin = at ^ (1 << rng.randrange(8)) ^ (1 << 8 + rng.randrange(8)) ^ (1 << 16 + rng.randrange(8))
+        if any(taken[x] or taken[beside ^ np.uint32(x)].any() for x in (at, twin)):
+            continue
+        taken[[at, twin]] = True
+        marks += [sum((x >> 8 * k & 255) << 8 * place for k, place in enumerate(free)) for x in (at, twin)]
+    return marks
+
+
+@pytest.mark.parametrize("own", [None, 3, 6])
+@pytest.mark.parametrize("often", [simhash.OFTEN, 10**9])
+def test_long_lists_with_constant_bytes_lose_no_link(spark, monkeypatch, own, often):
+    """Five constant bytes and more: linked pairs meet in one list only, in that of the plane inside the five."""
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    rng = random.Random(31)
+    free = (0, 4, 7) if own is None else tuple(k for k in (1, 2, 5, 6, 3) if k != own)[:3]
+    fixed = sum(rng.getrandbits(8) << 8 * k for k in range(8) if k not in free)
+    marks = [fixed | m for m in apart(rng, 2500, free)]
+    want = {frozenset(signed(marks[k : k + 2])) for k in range(0, len(marks), 2)}
+    found = simhash.links(spark.createDataFrame([(m,) for m in signed(marks)], "fp long"))
+    assert {frozenset((r.a, r.b)) for r in found.collect()} == want and len(want) == 2500
+
+
+@pytest.mark.parametrize("constant", [1, 2, 3])
+def test_random_long_lists_join_what_is_linked(spark, monkeypatch, constant):
+    """One to three constant bytes beyond the plane; short lists by brute force, cuts from ten fingerprints on."""
+    monkeypatch.setattr(simhash, "LONG", 10)
+    import numpy as np
+
+    rng = random.Random(constant)
+    plane = simhash.PLANES[5]
+    others = [k for k in range(8) if k not in plane][constant:]
+    base, marks = rng.getrandbits(64), set()
+    while len(marks) < 250:
+        at = rng.choice(sorted(marks)) if marks and rng.random() < 0.5 else base
+        for k in others if at == base else rng.sample(others, 1):
+            at ^= (rng.getrandbits(8) if at == base else 1 << rng.randrange(8)) << 8 * k
+        marks.add(at)
+        if constant == 3 and len(marks) >= 200:
+            break
+    marks = sorted(marks)
+    found = [(int(x), int(y)) for a, b in simhash._list_links(np.array(marks, np.uint64), 3, plane) for x, y in zip(a, b, strict=True)]
+    assert all(near(a, b) for a, b in found)
+    name = {m: m for m in marks}
+
+    def top(m):
+        while name[m] != m:
+            m = name[m]
+        return m
+
+    for a, b in found:
+        name[top(a)] = top(b)
+    want = brute_components(marks)
+    assert len({top(m) for m in marks}) == len(set(want)) and all(top(m) == top(marks[t]) for t, m in zip(want, marks, strict=True))
+
+
 def test_many_near_copies_write_few_links(spark):
     rng = random.Random(9)
     centre = rng.getrandbits(64)
