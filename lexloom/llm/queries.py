@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import brown, decontam, exact_dedup, language, mixing, quality, simhash, token_counts, toxicity, warc
+from . import alignment, brown, decontam, exact_dedup, language, mixing, quality, simhash, token_counts, token_files, toxicity, variants, warc
 from .common import read
 
 
@@ -52,10 +53,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    made = token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return made.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read(spark, sf_dir, "documents"), noise=variants.NOISE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_simhash_near_dedup, op3_token_counts, op4_quality, op5_source_mix,
         op6_exact_dedup, op7_toxicity, op8_decontamination, op9_class_bigrams, op10_warc,
+        op11_alignment, op12_token_files, op13_spelling_variants,
     )
 }
 
