@@ -22,6 +22,7 @@ FOLDED = SINGLE_QUOTES + DOUBLE_QUOTES + DASHES
 FOLDS_TO = "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES)
 #: White space as the data contract's patterns understand it.
 WS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+ASCII_WS = "\t\n\x0b\x0c\r "
 STOP_WORDS = "the a an of to and or in for by with shall any this that be is as on at from such".split()
 MINOR_WORDS = "a an and as at by for in of on or the to with".split()
 FENCES = "document question previous_turns findings already_covered_questions unanswered_questions pair version_a version_b".split()
@@ -38,16 +39,24 @@ STABLE = (
 
 def normalize(text: Column) -> Column:
     """NFKC, ignorables dropped, punctuation folded, white space collapsed and trimmed, lower case."""
-    exact = text.rlike(f"[^{STABLE}{IGNORABLE}{FOLDED}{ELLIPSIS}{WS}]")
-    # The function gets null for all texts that do not need it.
-    return F.when(exact, normalize_text(F.when(exact, text))).otherwise(normalize_stable(text))
+    # The short test keeps most texts from the long one, and from all steps that ASCII text does not need.
+    other = text.rlike(r"[^\x00-\x7f]")
+    # The function gets null for all texts that do not need it, and gives null for these.
+    rare = normalize_text(F.when(other & text.rlike(f"[^{STABLE}{IGNORABLE}{FOLDED}{ELLIPSIS}{WS}]"), text))
+    return F.coalesce(rare, F.when(other, normalize_stable(text)).otherwise(collapse(text, ASCII_WS)))
+
+
+def collapse(text: Column, spaces: str) -> Column:
+    """White space to one space each, trimmed, lower case. A space alone stays as it is: most matches of a plain run of
+    white space would write what they read."""
+    more = spaces.replace(" ", "")
+    return F.lower(F.trim(F.regexp_replace(text, f"[{more}][{spaces}]*| [{spaces}]+", " ")))
 
 
 def normalize_stable(text: Column) -> Column:
     """The same for text that NFKC leaves as it is."""
     text = F.regexp_replace(text, f"[{IGNORABLE}]", "")
-    text = F.replace(F.translate(text, FOLDED, FOLDS_TO), F.lit(ELLIPSIS), F.lit("..."))
-    return F.lower(F.trim(F.regexp_replace(text, f"[{WS}]+", " ")))
+    return collapse(F.replace(F.translate(text, FOLDED, FOLDS_TO), F.lit(ELLIPSIS), F.lit("...")), WS)
 
 
 def sql_normalize(text: str) -> str:

@@ -71,19 +71,28 @@ def cite_from(text: Column) -> Column:
     return F.trim(F.when(found != "", found).otherwise(F.substring(text, 1, 160)))
 
 
-def summary(clauses: DataFrame) -> DataFrame:
-    """One row per document: the first statement of each field in clause order, and the first three clauses as sources;
-    one aggregation."""
+def summary_parts(text: Column) -> list[Column]:
+    """Aggregates over a document's clauses: the first statement of each field in clause order, the bond's amount, and
+    the first three clauses as sources. Rows whose text is null do not count."""
 
     def first(pattern: str, group: int, fold: bool) -> Column:
-        value = F.trim(F.regexp_extract("text", ("(?i)" if fold else "") + java(pattern), group))
+        value = F.trim(F.regexp_extract(text, ("(?i)" if fold else "") + java(pattern), group))
         return F.min_by(F.when(value != "", value), F.when(value != "", F.col("ord")))
 
-    about = matches(F.col("text"), BOND_TOPIC, ignore_case=True)
-    money = F.min_by(F.when(about, F.regexp_extract("text", BOND_AMOUNT, 0)), F.when(about, F.col("ord")))
-    sources = F.array_sort(F.collect_list(F.when(F.col("ord") <= 3, F.struct("ord", "clause_id"))))
-    made = clauses.groupBy("doc_id").agg(*[first(*how).alias(name) for name, how in SUMMARY.items()], money.alias("bond"), sources.alias("sources"))
-    return made.select("doc_id", F.lit(DOCUMENT_TYPE).alias("document_type"), *SUMMARY, F.when(F.col("bond") != "", F.col("bond")).alias("bond"), F.array_join(F.transform("sources", lambda x: x["clause_id"]), ",").alias("sources"))
+    about = matches(text, BOND_TOPIC, ignore_case=True)
+    money = F.min_by(F.when(about, F.regexp_extract(text, BOND_AMOUNT, 0)), F.when(about, F.col("ord")))
+    sources = F.array_sort(F.collect_list(F.when(text.isNotNull() & (F.col("ord") <= 3), F.struct("ord", "clause_id"))))
+    return [*[first(*how).alias(name) for name, how in SUMMARY.items()], money.alias("bond"), sources.alias("sources")]
+
+
+def summary_fields() -> list[Column]:
+    """The summary from the columns of ``summary_parts``."""
+    return [F.lit(DOCUMENT_TYPE).alias("document_type"), *map(F.col, SUMMARY), F.when(F.col("bond") != "", F.col("bond")).alias("bond"), F.array_join(F.transform("sources", lambda x: x["clause_id"]), ",").alias("sources")]
+
+
+def summary(clauses: DataFrame) -> DataFrame:
+    """One row per document; one aggregation."""
+    return clauses.groupBy("doc_id").agg(*summary_parts(F.col("text"))).select("doc_id", *summary_fields())
 
 
 def glossary(text: Column) -> Column:

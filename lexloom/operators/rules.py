@@ -57,23 +57,38 @@ def with_facts(clauses: DataFrame) -> DataFrame:
     return once(facts, notice=extract.notice(F.col("norm")), amount=F.array_max(F.transform(extract.amounts(F.col("norm")), lambda a: a["rupees"])))
 
 
+def hits_of(category: Column, norm: Column, notice: Column, amount: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """array<struct<rule_id, severity, amount, yours, theirs, period>>: the rules that fire on a clause."""
+    return F.array_compact(F.array(*[_hit(r, category, norm, notice, amount) for r in rules]))
+
+
+def risk_of(severity: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in RISKS.items() for x in pair])[severity]
+
+
 def run_rules(clauses: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, clause_id, rule_id, severity, risk, amount, yours, theirs, period) for clauses with a category, and the
     columns of the clauses that ``keep`` names."""
     facts = with_facts(clauses)
-    hits = [_hit(r, F.col("category"), F.col("norm"), F.col("notice"), F.col("amount")) for r in rules]
     # Predicates are regular expressions over one text: one pass, no join of clauses with rules.
-    fired = facts.select("doc_id", "clause_id", *keep, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("doc_id", "clause_id", *keep, "hit.*")
-    risk = F.create_map(*[F.lit(x) for pair in RISKS.items() for x in pair])[F.col("severity")]
-    return fired.withColumn("risk", risk)
+    hits = hits_of(F.col("category"), F.col("norm"), F.col("notice"), F.col("amount"), rules)
+    fired = facts.select("doc_id", "clause_id", *keep, F.explode(hits).alias("hit")).select("doc_id", "clause_id", *keep, "hit.*")
+    return fired.withColumn("risk", risk_of(F.col("severity")))
+
+
+def stated(norm: Column, notice: Column) -> list[Column]:
+    """Per gap, whether a document states what it asks for: aggregates over the document's clauses."""
+    known = notice["employee"].isNotNull() | notice["employer"].isNotNull() | notice["unattributed"].isNotNull()
+    return [F.coalesce(F.bool_or(matches(norm, g.pattern) | (known if g.id.endswith("NOTICE") else F.lit(False))), F.lit(False)).alias(g.id) for g in GAPS]
+
+
+def missing() -> Column:
+    """array<struct<gap_id, label, question>> from the columns of ``stated``."""
+    return F.array_compact(F.array(*[F.when(~F.col(f"`{g.id}`"), F.struct(F.lit(g.id).alias("gap_id"), F.lit(g.label).alias("label"), F.lit(g.question).alias("question"))) for g in GAPS]))
 
 
 def find_gaps(clauses: DataFrame) -> DataFrame:
     """(doc_id, gap_id, label, question) for what no clause of a document states; one aggregation per document."""
-    facts = with_facts(clauses)
-    notice = F.col("notice")
-    known = notice["employee"].isNotNull() | notice["employer"].isNotNull() | notice["unattributed"].isNotNull()
-    stated = [F.coalesce(F.bool_or(matches(F.col("norm"), g.pattern) | (known if g.id.endswith("NOTICE") else F.lit(False))), F.lit(False)).alias(g.id) for g in GAPS]
-    present = facts.groupBy("doc_id").agg(*stated)
-    missing = F.array_compact(F.array(*[F.when(~F.col(f"`{g.id}`"), F.struct(F.lit(g.id).alias("gap_id"), F.lit(g.label).alias("label"), F.lit(g.question).alias("question"))) for g in GAPS]))
-    return present.select("doc_id", F.explode(missing).alias("gap")).select("doc_id", "gap.*")
+    facts = once(once(clauses, norm=normalize(F.col("text"))), notice=extract.notice(F.col("norm")))
+    present = facts.groupBy("doc_id").agg(*stated(F.col("norm"), F.col("notice")))
+    return present.select("doc_id", F.explode(missing()).alias("gap")).select("doc_id", "gap.*")

@@ -1,8 +1,9 @@
 """Verifying quotes against clause text: exact containment, then near-identical runs of words.
 
-Only quotes that miss exactly, and that the multiset bound does not rule out, are searched. The search explodes the
-windows of one clause for one quote; words of the pair are numbered and written as single characters, so that the
-engine's own character edit distance is the edit distance of words, and windows are aggregated to the best one.
+Only quotes that miss exactly, and that the multiset bound does not rule out, are searched. Words of a pair are numbered
+and written as single characters, so that the engine's own character edit distance is the edit distance of words; the
+windows of one clause are tried inside its row, so that verification is one projection behind the join of claims and
+clauses.
 """
 
 from __future__ import annotations
@@ -30,9 +31,14 @@ def with_claims(claims: DataFrame, clauses: DataFrame) -> DataFrame:
     return claims.join(clauses.select("doc_id", "clause_id", "text"), ["doc_id", "clause_id"], "left")
 
 
+def place(norm: Column, needle: Column) -> Column:
+    """Where the quote stands in the text (normalised, from 1), 0 if nowhere; null for quotes too short and for no text."""
+    return F.when((F.length(needle) >= LIMITS.quote_min) & (F.length(norm) > 0), F.instr(norm, needle))
+
+
 def _prepared(pairs: DataFrame) -> DataFrame:
     pairs = once(pairs, norm=normalize(F.col("text")), needle=normalize(F.col("quote")))
-    return pairs.withColumn("at", F.when((F.length("needle") >= LIMITS.quote_min) & (F.length("norm") > 0), F.instr(F.col("norm"), F.col("needle"))))
+    return pairs.withColumn("at", place(F.col("norm"), F.col("needle")))
 
 
 def verify_exact(pairs: DataFrame) -> DataFrame:
@@ -49,42 +55,64 @@ def shared_words(needle: Column, hay: Column) -> Column:
 
 
 def fuzzy_candidates(misses: DataFrame, prune: bool = True) -> DataFrame:
-    """Misses with word arrays that may still reach the threshold; pruning never changes answers."""
-    rows = once(misses, q=tokens(F.col("needle")), h=tokens(F.col("norm")))
-    rows = rows.where((F.length("needle") >= LIMITS.quote_min) & F.size("h").between(1, LIMITS.fuzzy_tokens) & (F.size("q") > 0))
+    """Rows with word arrays ``q_words`` and ``h_words``, null where no window may reach the threshold; pruning never changes answers."""
+    seek = (F.length("needle") >= LIMITS.quote_min) & F.col("norm").isNotNull() & ~F.coalesce(F.col("at") > 0, F.lit(False))
+    rows = once(misses, q_words=F.when(seek, tokens(F.col("needle"))), h_words=F.when(seek, tokens(F.col("norm"))))
+    may = F.size("h_words").between(1, LIMITS.fuzzy_tokens) & (F.size("q_words") > 0)
     if prune:
-        rows = rows.where(F.size("q") - shared_words(F.col("q"), F.col("h")) <= edit_budget(F.size("q") + SLACK))
-    return rows
+        may = may & (F.size("q_words") - shared_words(F.col("q_words"), F.col("h_words")) <= edit_budget(F.size("q_words") + SLACK))
+    rows = once(rows, may_match=F.col("q_words").isNotNull() & may)
+    return rows.withColumn("q_words", F.when(F.col("may_match"), F.col("q_words"))).withColumn("h_words", F.when(F.col("may_match"), F.col("h_words"))).drop("may_match")
+
+
+def best_window(rows: DataFrame) -> DataFrame:
+    """Rows of ``fuzzy_candidates`` with ``best``: struct<score, start, end> of the best window that reaches the
+    threshold (start and end are words), null without one. A projection: a clause's windows stay in its row."""
+    words = F.array_distinct(F.concat("q_words", "h_words"))
+    code = lambda array: F.array_join(F.transform(array, lambda t: F.substring(F.lit(ALPHABET), F.array_position("all_words", t).cast("int"), F.lit(1))), "")
+    made = once(rows.withColumn("all_words", words), q_code=code(F.col("q_words")), h_code=code(F.col("h_words")), q_size=F.size("q_words"), h_size=F.size("h_words"))
+    n, hn = F.col("q_size"), F.col("h_size")
+
+    def window(start: Column, size: Column) -> Column:
+        longest = F.greatest(size, n)
+        # With the edit budget as its bound the engine walks a band of the table only, and gives -1 beyond it.
+        distance = F.call_function("levenshtein", F.col("q_code"), F.substring(F.col("h_code"), start + 1, size), edit_budget(longest).cast("int"))
+        score = F.when(distance >= 0, F.lit(1.0) - distance / longest)
+        # Ties: higher score, length nearest the quote's, earliest start, smaller size.
+        return F.struct(score.alias("score"), (-F.abs(size - n)).alias("gap"), (-start).alias("s"), (-size).alias("z"))
+
+    def windows(start: Column) -> Column:
+        sizes = F.sequence(F.greatest(F.lit(1), n - SLACK), F.least(n + SLACK, hn - start))
+        return F.transform(F.when(F.least(n + SLACK, hn - start) >= F.greatest(F.lit(1), n - SLACK), sizes).otherwise(F.array().cast("array<int>")), lambda z: window(start, z))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), hn - 1), windows))
+    made = once(made, top_window=F.when(F.col("q_code").isNotNull(), F.array_max(F.filter(every, lambda w: w["score"] >= THRESHOLD))))
+    top = F.col("top_window")
+    best = F.when(top.isNotNull(), F.struct(top["score"].alias("score"), (-top["s"]).alias("start"), (-top["s"] - top["z"]).alias("end")))
+    return made.withColumn("best", best).select(*[c for c in rows.columns if c not in ("q_words", "h_words")], "best")
 
 
 def best_windows(rows: DataFrame, key: list[str], prune: bool = True) -> DataFrame:
-    """(key, start, end, score): the best window of each candidate that reaches the threshold; start and end are words."""
-    words = F.array_distinct(F.concat("q", "h"))
-    code = lambda array: F.array_join(F.transform(array, lambda t: F.substring(F.lit(ALPHABET), F.array_position("words", t).cast("int"), F.lit(1))), "")
-    rows = once(rows.withColumn("words", words), qc=code(F.col("q")), hc=code(F.col("h")))
-    n = F.size("q")
-    rows = rows.select(*key, F.col("qc"), F.col("hc"), n.alias("n"), F.size("h").alias("hn"))
-    rows = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("hn") - 1)))
-    sizes = F.sequence(F.greatest(F.lit(1), F.col("n") - SLACK), F.least(F.col("n") + SLACK, F.col("hn") - F.col("start")))
-    rows = rows.where(F.least(F.col("n") + SLACK, F.col("hn") - F.col("start")) >= F.greatest(F.lit(1), F.col("n") - SLACK)).withColumn("size", F.explode(sizes))
-    rows = rows.withColumn("window", F.substring("hc", F.col("start") + 1, F.col("size"))).withColumn("longest", F.greatest("size", "n"))
-    # With the edit budget as its bound the engine walks a band of the table only, and gives -1 beyond it.
-    rows = rows.withColumn("budget", edit_budget(F.col("longest")).cast("int")).withColumn("distance", F.expr("levenshtein(qc, window, budget)"))
-    score = F.lit(1.0) - F.col("distance") / F.col("longest")
-    good = rows.where("distance >= 0").withColumn("score", score).where(F.col("score") >= THRESHOLD)
-    # Ties: higher score, length nearest the quote's, earliest start, smaller size.
-    best = F.max(F.struct("score", (-F.abs(F.col("size") - F.col("n"))).alias("gap"), (-F.col("start")).alias("s"), (-F.col("size")).alias("z"))).alias("best")
-    found = good.groupBy(*key).agg(best)
-    return found.select(*key, (-F.col("best.s")).alias("start"), (-F.col("best.s") - F.col("best.z")).alias("end"), F.col("best.score").alias("score"))
+    """(key, start, end, score): the best window of each prepared row that misses exactly and reaches the threshold."""
+    return best_window(fuzzy_candidates(rows, prune)).where("best is not null").select(*key, "best.start", "best.end", "best.score")
+
+
+def judged(rows: DataFrame, prune: bool = True) -> DataFrame:
+    """Adds status and score to rows with ``norm`` and ``needle`` (normalised text and quote) and ``at`` (of ``_prepared``)."""
+    made = best_window(fuzzy_candidates(rows, prune))
+    status = F.when(F.col("at") > 0, "verified").when(F.col("best").isNotNull(), "fuzzy").otherwise("unverified")
+    score = F.when(F.col("at") > 0, 1.0).otherwise(F.coalesce("best.score", F.lit(0.0)))
+    return made.select(*rows.columns, status.alias("status"), score.alias("score"))
+
+
+def verified(pairs: DataFrame, prune: bool = True) -> DataFrame:
+    """Rows with text and quote, and their status (verified, fuzzy or unverified) and score."""
+    return judged(_prepared(pairs), prune).drop("norm", "needle", "at")
 
 
 def verify(pairs: DataFrame, key: list[str], prune: bool = True) -> DataFrame:
-    """(key, status, score): verified, fuzzy or unverified for rows with text and quote; ``key`` tells rows apart."""
-    rows = _prepared(pairs)
-    misses = rows.where("norm is not null and not coalesce(at > 0, false)")
-    near = best_windows(fuzzy_candidates(misses, prune), key, prune).select(*key, F.col("score").alias("near"))
-    status = F.when(F.col("at") > 0, "verified").when(F.col("near").isNotNull(), "fuzzy").otherwise("unverified")
-    return rows.select(*key, "at").join(near, key, "left").select(*key, status.alias("status"), F.when(F.col("at") > 0, 1.0).otherwise(F.coalesce("near", F.lit(0.0))).alias("score"))
+    """(key, status, score) of rows with text and quote."""
+    return verified(pairs, prune).select(*key, "status", "score")
 
 
 def presentable(status: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -64,24 +66,28 @@ cand AS (SELECT c.doc_id, met.q, t, status, c.clause_id, {CITE_SQL} AS quote, ro
 answers AS (SELECT d.doc_id, questions.q, coalesce(status, 'not_in_document') AS status, clause_id, quote FROM (SELECT DISTINCT doc_id FROM clauses) AS d CROSS JOIN questions LEFT JOIN (SELECT * FROM cand WHERE rn = 1) AS best ON d.doc_id = best.doc_id AND questions.q = best.q)"""
 
 
-def answers(spark: SparkSession, sf_dir: str, asked: tuple[str, ...] = ASKED) -> DataFrame:
-    """(doc_id, q, status, clause_id, quote): per question the first topic with a clause, in one pass per document.
+def topic_parts(*more: Column) -> list[Column]:
+    """Aggregates over a document's clauses: per topic its first clause and the sentence to cite, with further fields."""
+    text = F.col("text")
+    return [F.min(F.when(matches(text, has, True), F.struct("ord", "clause_id", M.cite_from(text).alias("quote"), *more))).alias(f"t{k}") for k, (_, has, _, _) in enumerate(M.TOPICS)]
 
-    Which topics a question meets is a property of the few questions, so it is settled first; a clause is then tested
-    against the topics once, and each document keeps the first clause of each topic.
-    """
-    rows = clauses(spark, sf_dir)
-    first = [F.min(F.when(matches(F.col("text"), has, True), F.struct("ord", "clause_id", M.cite_from(F.col("text")).alias("quote")))).alias(f"t{k}") for k, (_, has, _, _) in enumerate(M.TOPICS)]
-    docs = rows.groupBy("doc_id").agg(*first)
-    import re
 
+def answered(asked: tuple[str, ...] = ASKED, more: tuple[str, ...] = ()) -> Column:
+    """array<struct<q, status, clause_id, quote, ...>> from the columns of ``topic_parts``: per question the first topic
+    with a clause. Which topics a question meets is a property of the few questions, so it is settled first."""
     each = []
     for q, text in enumerate(asked):
         met = [k for k, (asks, _, _, _) in enumerate(M.TOPICS) if re.search(asks, text, re.IGNORECASE | re.ASCII)]
-        best = F.coalesce(*[F.when(F.col(f"t{k}").isNotNull(), F.struct(F.lit(M.TOPICS[k][2]).alias("status"), F.col(f"t{k}.clause_id").alias("clause_id"), F.col(f"t{k}.quote").alias("quote"))) for k in met]) if met else None
-        none = F.struct(F.lit("not_in_document").alias("status"), F.lit(None).cast("string").alias("clause_id"), F.lit(None).cast("string").alias("quote"))
-        each.append(F.struct(F.lit(q).alias("q"), (F.coalesce(best, none) if best is not None else none).alias("a")))
-    return docs.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.q", "x.a.*")
+        first = F.coalesce(*[F.when(F.col(f"t{k}").isNotNull(), F.struct(F.lit(M.TOPICS[k][2]).alias("status"), F.col(f"t{k}").alias("t"))) for k in met]) if met else None
+        field = lambda name: F.lit(None).cast("string") if first is None else first[name] if name == "status" else first["t"][name]  # noqa: B023, E731
+        each.append(F.struct(F.lit(q).alias("q"), F.coalesce(field("status"), F.lit("not_in_document")).alias("status"), *(field(n).alias(n) for n in ("clause_id", "quote", *more))))
+    return F.array(*each)
+
+
+def answers(spark: SparkSession, sf_dir: str, asked: tuple[str, ...] = ASKED) -> DataFrame:
+    """(doc_id, q, status, clause_id, quote), in one pass per document."""
+    docs = clauses(spark, sf_dir).groupBy("doc_id").agg(*topic_parts())
+    return docs.select("doc_id", F.explode(answered(asked)).alias("x")).select("doc_id", "x.*")
 
 
 @query(f"{ASK_CTE} SELECT doc_id, CAST(q AS INT) AS q, status, clause_id, quote FROM answers")

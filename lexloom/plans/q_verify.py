@@ -77,14 +77,12 @@ def read_norm(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFra
 
 @query(f"{PAIRS_CTE}, {TOK_CTE} SELECT doc_id, ord, CAST(s AS INT) AS start, CAST(s + z AS INT) AS \"end\", score FROM best WHERE rn = 1")
 def vq_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V._prepared(pairs(spark, sf_dir)).where("not coalesce(at > 0, false) and norm is not null")
-    return V.best_windows(V.fuzzy_candidates(rows), KEY)
+    return V.best_windows(V._prepared(pairs(spark, sf_dir)), KEY)
 
 
 @query(f"{PAIRS_CTE}, {TOK_CTE} SELECT doc_id, ord, CAST(n AS INT) AS words FROM kept")
 def vq_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V._prepared(pairs(spark, sf_dir)).where("not coalesce(at > 0, false) and norm is not null")
-    return V.fuzzy_candidates(rows).select("doc_id", "ord", F.size("q").alias("words"))
+    return V.fuzzy_candidates(V._prepared(pairs(spark, sf_dir))).where("q_words is not null").select("doc_id", "ord", F.size("q_words").alias("words"))
 
 
 @query(f"SELECT doc_id, CAST(len({T.sql_tokens(T.sql_normalize('text'))}) AS INT) AS words, len({T.sql_tokens(T.sql_normalize('text'))}) BETWEEN 1 AND 2000 AS searched FROM documents")
@@ -95,8 +93,7 @@ def vq_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{STATUS_CTE} SELECT doc_id, ord, clause_id, status, score, trim(quote) AS quote FROM verified")
 def vq_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = V.verify(pairs(spark, sf_dir), KEY)
-    return claims(spark, sf_dir).join(done, KEY).select("doc_id", "ord", "clause_id", "status", "score", F.trim("quote").alias("quote"))
+    return V.verified(pairs(spark, sf_dir)).select("doc_id", "ord", "clause_id", "status", "score", F.trim("quote").alias("quote"))
 
 
 @query(f"{STATUS_CTE} SELECT doc_id, ord FROM verified WHERE status IN ('verified', 'fuzzy')")
@@ -116,7 +113,7 @@ def agg_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{STATUS_CTE} SELECT doc_id, ord, CASE WHEN trim(quote) = '' THEN NULL WHEN status = 'fuzzy' THEN 'unverified' ELSE status END AS status FROM verified")
 def vq_side_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = claims(spark, sf_dir).join(V.verify(pairs(spark, sf_dir), KEY), KEY)
+    done = V.verified(pairs(spark, sf_dir))
     return done.select("doc_id", "ord", F.when(F.trim("quote") == "", None).when(F.col("status") == "fuzzy", "unverified").otherwise(F.col("status")).alias("status"))
 
 
