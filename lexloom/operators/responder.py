@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import java, matches
+from ..functions.rows import once
 from .catalog import BOND_AMOUNT, BOND_TOPIC, DOCUMENT_TYPE, GLOSSARY, SUMMARY
 
 CLASSES = (
@@ -71,18 +72,23 @@ def cite_from(text: Column) -> Column:
     return F.trim(F.when(found != "", found).otherwise(F.substring(text, 1, 160)))
 
 
-def summary_parts(text: Column) -> list[Column]:
-    """Aggregates over a document's clauses: the first statement of each field in clause order, the bond's amount, and
-    the first three clauses as sources. Rows whose text is null do not count."""
+def summary_values(text: Column) -> Column:
+    """struct: what a clause states for each field of the summary, null where it states nothing; and the bond's amount
+    (empty where a clause on bonds has none)."""
 
-    def first(pattern: str, group: int, fold: bool) -> Column:
-        value = F.trim(F.regexp_extract(text, ("(?i)" if fold else "") + java(pattern), group))
-        return F.min_by(F.when(value != "", value), F.when(value != "", F.col("ord")))
+    def stated(pattern: str, group: int, fold: bool) -> Column:
+        return F.nullif(F.trim(F.regexp_extract(text, ("(?i)" if fold else "") + java(pattern), group)), F.lit(""))
 
-    about = matches(text, BOND_TOPIC, ignore_case=True)
-    money = F.min_by(F.when(about, F.regexp_extract(text, BOND_AMOUNT, 0)), F.when(about, F.col("ord")))
-    sources = F.array_sort(F.collect_list(F.when(text.isNotNull() & (F.col("ord") <= 3), F.struct("ord", "clause_id"))))
-    return [*[first(*how).alias(name) for name, how in SUMMARY.items()], money.alias("bond"), sources.alias("sources")]
+    bond = F.when(matches(text, BOND_TOPIC, ignore_case=True), F.regexp_extract(text, BOND_AMOUNT, 0))
+    return F.struct(*[stated(*how).alias(name) for name, how in SUMMARY.items()], bond.alias("bond"))
+
+
+def summary_parts(values: Column) -> list[Column]:
+    """Aggregates over a document's clauses: the first of each field in clause order, and the first three clauses as
+    sources. Rows without values do not count."""
+    first = lambda v: F.min_by(v, F.when(v.isNotNull(), F.col("ord")))
+    sources = F.array_sort(F.collect_list(F.when(values.isNotNull() & (F.col("ord") <= 3), F.struct("ord", "clause_id"))))
+    return [*[first(values[name]).alias(name) for name in (*SUMMARY, "bond")], sources.alias("sources")]
 
 
 def summary_fields() -> list[Column]:
@@ -91,8 +97,9 @@ def summary_fields() -> list[Column]:
 
 
 def summary(clauses: DataFrame) -> DataFrame:
-    """One row per document; one aggregation."""
-    return clauses.groupBy("doc_id").agg(*summary_parts(F.col("text"))).select("doc_id", *summary_fields())
+    """One row per document; one aggregation over values that each clause gives once."""
+    rows = once(clauses.select("doc_id", "ord", "clause_id", "text"), summary=summary_values(F.col("text")))
+    return rows.groupBy("doc_id").agg(*summary_parts(F.col("summary"))).select("doc_id", *summary_fields())
 
 
 def glossary(text: Column) -> Column:

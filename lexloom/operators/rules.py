@@ -51,10 +51,15 @@ def salary_parts(norm: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(matches(norm, p).cast("int"), F.lit(0)) for p in SALARY_PARTS])
 
 
+def notice_of(norm: Column) -> Column:
+    """Notice periods; null for the many texts that do not speak of notice."""
+    return F.when(F.contains(norm, F.lit("notice")), extract.notice(norm))
+
+
 def with_facts(clauses: DataFrame) -> DataFrame:
     """Normalised text, notice and the largest amount, each computed once per clause."""
     facts = once(clauses, norm=normalize(F.col("text")))
-    return once(facts, notice=extract.notice(F.col("norm")), amount=F.array_max(F.transform(extract.amounts(F.col("norm")), lambda a: a["rupees"])))
+    return once(facts, notice=notice_of(F.col("norm")), amount=F.array_max(F.transform(extract.amounts(F.col("norm")), lambda a: a["rupees"])))
 
 
 def hits_of(category: Column, norm: Column, notice: Column, amount: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -76,10 +81,15 @@ def run_rules(clauses: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[s
     return fired.withColumn("risk", risk_of(F.col("severity")))
 
 
-def stated(norm: Column, notice: Column) -> list[Column]:
-    """Per gap, whether a document states what it asks for: aggregates over the document's clauses."""
+def states(norm: Column, notice: Column) -> Column:
+    """struct by gap: whether a clause states what it asks for."""
     known = notice["employee"].isNotNull() | notice["employer"].isNotNull() | notice["unattributed"].isNotNull()
-    return [F.coalesce(F.bool_or(matches(norm, g.pattern) | (known if g.id.endswith("NOTICE") else F.lit(False))), F.lit(False)).alias(g.id) for g in GAPS]
+    return F.struct(*[(matches(norm, g.pattern) | (known if g.id.endswith("NOTICE") else F.lit(False))).alias(g.id) for g in GAPS])
+
+
+def stated(states: Column) -> list[Column]:
+    """Per gap, whether a clause of the document states what it asks for: aggregates over what ``states`` gives."""
+    return [F.coalesce(F.bool_or(states[g.id]), F.lit(False)).alias(g.id) for g in GAPS]
 
 
 def missing() -> Column:
@@ -89,6 +99,6 @@ def missing() -> Column:
 
 def find_gaps(clauses: DataFrame) -> DataFrame:
     """(doc_id, gap_id, label, question) for what no clause of a document states; one aggregation per document."""
-    facts = once(once(clauses, norm=normalize(F.col("text"))), notice=extract.notice(F.col("norm")))
-    present = facts.groupBy("doc_id").agg(*stated(F.col("norm"), F.col("notice")))
+    facts = once(once(clauses, norm=normalize(F.col("text"))), notice=notice_of(F.col("norm")))
+    present = once(facts.select("doc_id", "norm", "notice"), states=states(F.col("norm"), F.col("notice"))).groupBy("doc_id").agg(*stated(F.col("states")))
     return present.select("doc_id", F.explode(missing()).alias("gap")).select("doc_id", "gap.*")

@@ -66,10 +66,15 @@ cand AS (SELECT c.doc_id, met.q, t, status, c.clause_id, {CITE_SQL} AS quote, ro
 answers AS (SELECT d.doc_id, questions.q, coalesce(status, 'not_in_document') AS status, clause_id, quote FROM (SELECT DISTINCT doc_id FROM clauses) AS d CROSS JOIN questions LEFT JOIN (SELECT * FROM cand WHERE rn = 1) AS best ON d.doc_id = best.doc_id AND questions.q = best.q)"""
 
 
-def topic_parts(*more: Column) -> list[Column]:
-    """Aggregates over a document's clauses: per topic its first clause and the sentence to cite, with further fields."""
-    text = F.col("text")
-    return [F.min(F.when(matches(text, has, True), F.struct("ord", "clause_id", M.cite_from(text).alias("quote"), *more))).alias(f"t{k}") for k, (_, has, _, _) in enumerate(M.TOPICS)]
+def topics(text: Column) -> Column:
+    """struct by topic: whether a clause speaks of it."""
+    return F.struct(*[F.coalesce(matches(text, has, True), F.lit(False)).alias(f"t{k}") for k, (_, has, _, _) in enumerate(M.TOPICS)])
+
+
+def topic_parts(*more: str) -> list[Column]:
+    """Aggregates over a document's clauses, from their columns ``topics`` and ``cite`` (the sentence to cite a clause
+    with): per topic its first clause, the sentence, and further columns."""
+    return [F.min(F.when(F.col("topics")[t], F.struct("ord", "clause_id", F.col("cite").alias("quote"), *more))).alias(t) for t in (f"t{k}" for k in range(len(M.TOPICS)))]
 
 
 def answered(asked: tuple[str, ...] = ASKED, more: tuple[str, ...] = ()) -> Column:
@@ -86,7 +91,8 @@ def answered(asked: tuple[str, ...] = ASKED, more: tuple[str, ...] = ()) -> Colu
 
 def answers(spark: SparkSession, sf_dir: str, asked: tuple[str, ...] = ASKED) -> DataFrame:
     """(doc_id, q, status, clause_id, quote), in one pass per document."""
-    docs = clauses(spark, sf_dir).groupBy("doc_id").agg(*topic_parts())
+    rows = once(clauses(spark, sf_dir).select("doc_id", "ord", "clause_id", "text"), topics=topics(F.col("text")), cite=M.cite_from(F.col("text")))
+    docs = rows.groupBy("doc_id").agg(*topic_parts())
     return docs.select("doc_id", F.explode(answered(asked)).alias("x")).select("doc_id", "x.*")
 
 
