@@ -11,8 +11,9 @@ from ..functions.patterns import sql_text
 from ..operators import responder as M
 from ..operators.catalog import CATEGORIES
 from ..operators.rules import run_rules
+from ..operators.selection import nearest_rank
 from ..sources import files
-from ..streaming import limits
+from ..streaming import caches, limits
 from .contracts import CTE, clauses
 from .q_respond import FOUND, findings
 from .q_rules import GAPS_CTE, HITS_CTE
@@ -166,6 +167,35 @@ def st_cache_lru_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.answer_cache(events, F.col("request"), F.expr(KEPT), TTL).select("event_id", "request", "hit")
 
 
+#: What a request asks for, among few things; and a server process that serves some of the users.
+ASKS = "event_type || '|' || CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 4 AS {text})"
+ENTRIES, LIFE_DAYS, LAST = 64, 10, 8
+PROCESS_ASKS = "event_type || '|' || CAST(user_id AS {text}) || '|' || CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 8 AS {text})"
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, {ASKS.format(text='VARCHAR')} AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT *, lag(i) OVER (PARTITION BY user_id, key ORDER BY i) AS before FROM e)
+SELECT p.event_id, CASE WHEN p.before IS NOT NULL THEN CAST(count(DISTINCT b.key) AS BIGINT) END AS distance, p.before IS NOT NULL AND count(DISTINCT b.key) < {LAST} AS hit
+FROM p LEFT JOIN e AS b ON b.user_id = p.user_id AND b.i > p.before AND b.i < p.i GROUP BY p.event_id, p.before""")
+def st_client_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A visit's last 8 answers: which requests they answer, by the number of other requests since the same one."""
+    rows = caches.reuse_distance(read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"), F.col("user_id"), F.expr(ASKS.format(text="STRING")), ["ts", "event_id"])
+    return rows.select("event_id", "distance", (F.coalesce("distance", F.lit(LAST)) < LAST).alias("hit"))
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, ts, {KEPT} AS keep, {PROCESS_ASKS.format(text='VARCHAR')} AS key, user_id % 50 AS process, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS k FROM events),
+walk AS (SELECT process, k, event_id, false AS hit, CASE WHEN keep THEN [{{'key': key, 'until': ts + INTERVAL {LIFE_DAYS} DAY}}] ELSE [] END AS held FROM e WHERE k = 1
+  UNION ALL SELECT process, k, event_id, hit, CASE WHEN hit THEN list_concat(rest, own) WHEN keep THEN list_concat(rest, new)[-{ENTRIES}:] ELSE list_filter(list_concat(rest, new)[-{ENTRIES}:], lambda x: x.key <> key) END FROM
+    (SELECT *, len(own) > 0 AND own[1].until > ts AS hit FROM (SELECT e.process, e.k, e.event_id, e.ts, e.keep, e.key, list_filter(w.held, lambda x: x.key = e.key) AS own, list_filter(w.held, lambda x: x.key <> e.key) AS rest, [{{'key': e.key, 'until': e.ts + INTERVAL {LIFE_DAYS} DAY}}] AS new
+      FROM walk AS w JOIN e ON e.process = w.process AND e.k = w.k + 1)))
+SELECT event_id, hit FROM walk""")
+def st_cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A process's answer cache: 64 entries, the least recently used goes, with a lifetime; failures are not kept."""
+    events = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "props")
+    rows = caches.answer_cache(events, F.col("user_id") % 50, F.expr(PROCESS_ASKS.format(text="STRING")), F.expr(KEPT), ENTRIES, LIFE_DAYS * 86_400, ["ts", "event_id"])
+    return rows.select("event_id", "hit")
+
+
 @query("""WITH c AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) > 1 AS free FROM events),
 u AS (SELECT event_id, free, sum(CAST(NOT free AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS used FROM c) SELECT event_id, CAST(used AS BIGINT) AS used, free OR used <= 30 AS allowed FROM u""")
 def st_call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,10 +295,20 @@ def agg_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- evaluation
 
+SHARES = {"p50": 0.5, "p95": 0.95}
+
+
 @query("SELECT event_type, CAST(quantile_disc(value, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(value, 0.95) AS DOUBLE) AS p95 FROM events GROUP BY event_type")
 def agg_percentile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles."""
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return nearest_rank(read(spark, sf_dir, "events"), ["event_type"], "value", SHARES)
+
+
+@query(f"SELECT {ROUTE_OF} AS route, CAST(quantile_disc(CAST(round(value * 1000) AS BIGINT), 0.5) AS BIGINT) AS p50, CAST(quantile_disc(CAST(round(value * 1000) AS BIGINT), 0.95) AS BIGINT) AS p95 FROM events WHERE {ROUTE_OF} IN ('analyze', 'ask') GROUP BY 1")
+def ev_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies of the two routes that a run is timed by, in milliseconds: nearest-rank median and 95th percentile."""
+    timed = read(spark, sf_dir, "events").select(F.expr(ROUTE_OF).alias("route"), F.round(F.col("value") * 1000).cast("long").alias("ms"))
+    return nearest_rank(timed.where(F.col("route").isin("analyze", "ask")), ["route"], "ms", SHARES)
 
 
 @query("SELECT lang, CAST(count(*) FILTER (quality = 1 AND toxic = 1) AS BIGINT) AS hit, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS total, count(*) FILTER (quality = 1 AND toxic = 1)::DOUBLE / nullif(count(*) FILTER (toxic = 1), 0) AS rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")

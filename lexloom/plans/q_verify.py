@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import verify as V
+from ..operators.passages import find_passages
 from .contracts import CTE, clauses
 from .registry import query
 
@@ -50,23 +51,8 @@ def vq_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH d AS (SELECT doc_id, {T.sql_normalize('text')} AS norm FROM documents), b AS (SELECT item_id, {T.sql_normalize('text')} AS needle FROM benchmark)
 SELECT item_id, doc_id, CAST(instr(norm, needle) - 1 AS INT) AS start FROM b JOIN d ON contains(norm, needle)""")
 def vq_exact_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages that documents quote word for word: joined on the passage's inner words 2 to 5 (all of them
-    where it has fewer), then verified. Passages without an inner word are sought in every document."""
-    docs = read_norm(spark, sf_dir, "documents", "doc_id")
-    items = read_norm(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("norm", "needle")
-    items = items.withColumn("words", T.tokens(F.col("needle"))).withColumn("inner", F.least(F.lit(4), F.size("words") - 2))
-    sizes = sorted(r["inner"] for r in items.where("inner > 0").select("inner").distinct().collect())  # four at most
-    probe = items.where("inner > 0").select("item_id", "needle", F.array_join(F.slice("words", 2, F.col("inner")), " ").alias("gram"))
-    toks = T.tokens(F.col("norm"))
-
-    def grams(k: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(toks) - k + 1)), lambda i: F.array_join(F.slice(toks, i, k), " "))
-
-    none = F.array().cast("array<string>")
-    posted = docs.select("doc_id", "norm", F.explode(F.array_distinct(F.concat(none, *map(grams, sizes)))).alias("gram"))
-    met = posted.join(probe, "gram").select("item_id", "doc_id", "norm", "needle")
-    short = docs.join(items.where("inner <= 0"), F.contains("norm", "needle")).select("item_id", "doc_id", "norm", "needle")
-    return met.where(F.contains("norm", "needle")).unionByName(short).select("item_id", "doc_id", (F.instr(F.col("norm"), F.col("needle")) - 1).alias("start")).distinct()
+    """Benchmark passages that documents quote word for word, of any length."""
+    return find_passages(read_norm(spark, sf_dir, "documents", "doc_id"), read_norm(spark, sf_dir, "benchmark", "item_id"))
 
 
 def read_norm(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:

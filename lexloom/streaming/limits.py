@@ -18,16 +18,28 @@ def window_start(ts: Column, seconds: int) -> Column:
     return (F.floor(F.unix_seconds(ts) / seconds) * seconds).cast("long")
 
 
-def rate_limit(requests: DataFrame, keys: list[str], limit: int | Column, seconds: int | Column, order: list[str]) -> DataFrame:
+#: Most requests that any route allows in a window; below Spark's own bound for limiting ranks in front of a shuffle.
+MOST = 500
+
+
+def rate_limit(requests: DataFrame, keys: list[str], limit: int | Column, seconds: int | Column, order: list[str], most: int = MOST) -> DataFrame:
     """Adds allowed, remaining and reset_seconds to requests with a timestamp ``ts``; limit and seconds may be columns,
-    such as those of a table of routes."""
+    such as those of a table of routes. ``order`` must tell a key's requests apart; no limit may be above ``most``.
+
+    Only the first requests of a key and window are numbered, and no task gets more than ``most`` of them from any other:
+    Spark limits ranks before it shuffles. The others meet them by a join that Spark can split. A null key is a key.
+    """
+    most = limit if isinstance(limit, int) else most
     seconds = F.lit(seconds) if isinstance(seconds, int) else seconds
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    rows = requests.withColumn("window", (F.floor(F.unix_seconds(F.col("ts")) / seconds) * seconds).cast("long"))
-    n = F.row_number().over(Window.partitionBy(*keys, "window").orderBy(*order))
-    rows = rows.withColumn("n", n)
+    rows = requests.withColumn("window", (F.floor(F.unix_seconds(F.col("ts")) / seconds) * seconds).cast("long")).withColumn("limit__", limit).withColumn("place__", F.struct(*order))
+    own = [*keys, "window"]
+    first = rows.select(*own, "place__", "limit__").withColumn("n", F.row_number().over(Window.partitionBy(*own).orderBy("place__"))).where(F.col("n") <= most)
+    first = first.where(F.col("n") <= F.col("limit__")).groupBy(*(F.col(k).alias(f"{k}__") for k in own)).agg(F.sort_array(F.collect_list("place__")).alias("first__"))
+    met = rows.join(first, [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in own], "left")
+    n = F.coalesce(F.array_position("first__", F.col("place__")), F.lit(0))
     reset = F.col("window") + seconds - F.unix_seconds(F.col("ts"))
-    return rows.select(*requests.columns, (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(0), limit - F.col("n")).alias("remaining"), reset.alias("reset_seconds"))
+    return met.select(*requests.columns, (n > 0).alias("allowed"), F.when(n > 0, F.col("limit__") - n).otherwise(0).cast("int").alias("remaining"), reset.alias("reset_seconds"))
 
 
 def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int, seconds: int) -> DataFrame:
