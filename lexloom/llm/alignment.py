@@ -18,9 +18,12 @@ result. Only the id and text columns are read; other columns do not matter.
 
 from __future__ import annotations
 
+import json
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, small_batches
-from .wordwise import encoder
 
 #: Pairs that are broadcast: fewer than this many (16 bytes each).
 COMMON = 1_000_000
@@ -37,6 +39,55 @@ ALIGNED = "id long, n_a long, n_b long, n_groups long, groups string, pairs arra
 TOGETHER = 200
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letters that byte-level vocabularies write bytes as: printable Latin-1 bytes stand for themselves,
+    all others are numbered from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
+class Bytes:
+    """A byte-level vocabulary: ids of texts and each id's bytes. Strings of special tokens are plain text.
+
+    Where merges stand in the order of what they make, as they do in vocabularies of this kind, ids are ranks, and the
+    tiktoken library merges by them, four times as fast; all else, and texts with long runs of white space (which its
+    pattern takes too much memory for), go to the tokenizers library.
+    """
+
+    #: Fixed value: the pattern that byte-level vocabularies cut texts by.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    SPACES = 1000
+
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        config = json.loads(Path(tokenizer_file).read_text(encoding="utf-8"))
+        model, pre, special = config["model"], config.get("pre_tokenizer") or {}, {x["content"] for x in config.get("added_tokens", [])}
+        self.library = Tokenizer.from_file(tokenizer_file)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.library.encode_special_tokens = True
+        letters, vocabulary = byte_letters(), self.library.get_vocab(with_added_tokens=True)
+        self.bytes = [b""] * (max(vocabulary.values()) + 1)
+        for piece, k in vocabulary.items():
+            self.bytes[k] = piece.encode() if piece in special else bytes(letters[c] for c in piece)
+        made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        ranked = made == list(range(256, 256 + len(made))) and not model.get("dropout") and not model.get("ignore_merges")
+        self.fast = None
+        if ranked and not config.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
+            import tiktoken
+
+            ranks = {self.bytes[k]: k for piece, k in vocabulary.items() if piece not in special}
+            self.fast = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = re.compile(rf"\s{{{self.SPACES}}}")
+
+    def encode(self, text: str) -> list[int]:
+        if self.fast is None or (len(text) > self.SPACES and self.spaced.search(text)):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+
 class Pieces:
     """The piece vocabulary: ids of texts and each id's bytes."""
 
@@ -54,67 +105,63 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letters that byte-level vocabularies write bytes as: printable Latin-1 bytes stand for themselves,
-    all others are numbered from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
+class Table:
+    """Byte strings by number, written one after the other for arrays of numbers."""
 
+    def __init__(self, items: list[bytes]):
+        self.size = np.array([len(x) for x in items], np.int64)
+        self.begun = np.append(0, np.cumsum(self.size))[:-1]
+        self.raw = np.frombuffer(b"".join(items), np.uint8)
 
-def byte_level(tokenizer_file: str) -> list[bytes]:
-    """Each id's bytes in a byte-level vocabulary; special tokens have their own text's."""
-    own, letters = encoder(tokenizer_file, plain_specials=True), byte_letters()
-    out = [b""] * own.size
-    for piece, k in own.library.get_vocab(with_added_tokens=True).items():
-        out[k] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
-    return out
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.size[numbers]
+        begun = np.append(0, np.cumsum(sizes))
+        return self.raw[np.repeat(self.begun[numbers] - begun[:-1], sizes) + np.arange(begun[-1])]
 
 
 class Aligner:
     """Tokens of texts by both vocabularies, their groups and links."""
 
     def __init__(self, a_file: str, b_file: str):
-        self.a, self.b = encoder(a_file, plain_specials=True), Pieces(b_file)
-        self.a_bytes, self.b_bytes = byte_level(a_file), self.b.bytes
+        self.a, self.b = Bytes(a_file), Pieces(b_file)
+        self.a_bytes, self.b_bytes = self.a.bytes, self.b.bytes
         self.base = len(self.b_bytes)
         if len(self.a_bytes) * self.base >= 1 << 31:
             raise ValueError("a pair of ids does not fit into an integer")
-        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        # What is written behind an id inside a group and at its end.
-        self.a_text, self.b_text = ([np.array([f"{k}{mark}" for k in range(n)], object) for mark in marks] for n, marks in ((len(self.a_bytes), ",|"), (self.base, ",;")))
+        self.a_table, self.b_table = Table(self.a_bytes), Table(self.b_bytes)
+        # An id's text inside a group, then all ids' texts at a group's end.
+        self.a_text, self.b_text = (np.array([f"{k}{mark}" for mark in marks for k in range(n)], "S8") for n, marks in ((len(self.a_bytes), ",|"), (self.base, ",;")))
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
         """(n_a, n_b, n_groups, groups, pairs, times) for each text; pairs ascend."""
-        led = [" " + (t or "") for t in texts]
-        for text, plain, raw, b in zip(texts, led, self.a.encode(led), self.b.encode([t or "" for t in texts]), strict=True):
-            a, b, want = np.frombuffer(raw, self.a.dtype).astype(np.int64), np.array(b, np.int64), plain.encode()
-            if not text or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != want or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != want:
+        for text, b in zip(texts, self.b.encode([t or "" for t in texts]), strict=True):
+            led = " " + (text or "")
+            a, b, want = np.array(self.a.encode(led), np.int64), np.array(b, np.int64), np.frombuffer(led.encode(), np.uint8)
+            if not text or not np.array_equal(self.a_table.joined(a), want) or not np.array_equal(self.b_table.joined(b), want):
                 yield 0, 0, 0, "", a[:0], a[:0]
             else:
                 yield self.aligned(a, b)
 
     def aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """Merge the ends of both: every end of either closes one link, every end of both closes one group."""
-        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        a_end, b_end = np.cumsum(self.a_table.size[a]), np.cumsum(self.b_table.size[b])
         mark = np.zeros(int(a_end[-1]) + 1, np.int8)  # which side ends at a byte: 1 A, 2 B, 3 both
         mark[a_end] = 1
         mark[b_end] += 2
-        ends = np.flatnonzero(mark)
-        sides = mark[ends]
+        sides = mark[mark > 0]
         # The pointer into either side at an end: tokens of the side that ended before it.
-        at_a, at_b = np.cumsum(sides & 1) - (sides & 1), np.cumsum(sides >> 1) - (sides >> 1)
-        pairs, times = np.unique(a[at_a] * self.base + b[at_b], return_counts=True)
+        of_a, of_b = sides & 1, sides >> 1
+        pairs, times = np.unique(a[np.cumsum(of_a, dtype=np.int64) - of_a] * self.base + b[np.cumsum(of_b, dtype=np.int64) - of_b], return_counts=True)
         shut_a, shut_b = mark[a_end] == 3, mark[b_end] == 3
         # A token's place in the text of groups: its own number, and the other side's tokens of the groups before it
         # (of A, which comes first in a group, also of its own group).
-        upto_a = np.append(0, np.flatnonzero(shut_a) + 1)
-        upto_b = np.append(0, np.flatnonzero(shut_b) + 1)
+        upto_a, upto_b = np.append(0, np.flatnonzero(shut_a) + 1), np.append(0, np.flatnonzero(shut_b) + 1)
         group_a, group_b = np.cumsum(shut_a) - shut_a, np.cumsum(shut_b) - shut_b
-        out = np.empty(len(a) + len(b), object)
-        out[np.arange(len(a)) + upto_b[group_a]] = np.where(shut_a, self.a_text[1][a], self.a_text[0][a])
-        out[np.arange(len(b)) + upto_a[group_b + 1]] = np.where(shut_b, self.b_text[1][b], self.b_text[0][b])
-        return len(a), len(b), len(upto_a) - 1, "".join(out.tolist())[:-1], pairs, times
+        out = np.empty(len(a) + len(b), self.a_text.dtype)
+        out[np.arange(len(a)) + upto_b[group_a]] = self.a_text[a + shut_a * len(self.a_bytes)]
+        out[np.arange(len(b)) + upto_a[group_b + 1]] = self.b_text[b + shut_b * self.base]
+        letters = out.view(np.uint8)
+        return len(a), len(b), len(upto_a) - 1, letters[letters > 0][:-1].tobytes().decode(), pairs, times
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
