@@ -76,23 +76,22 @@ def mapped(files: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
 def _writer(out: str, tokenizer_file: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, own = TaskContext.get().partitionId(), encoder(tokenizer_file)
-        last = np.array([end], own.dtype).tobytes()
         files: list[_Output] = []
         docs = ids = nulls = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             files = files or [_Output(out, name_of(kind, shard)) for kind in ("ids", "docs", "lengths")]
-            found = own.encode(batch.column("text").to_pylist())
-            lengths = np.array([len(x) // own.width + 1 for x in found], "<u8")
+            found, starts = own.encode(batch.column("text"))
+            lengths = np.diff(starts) + 1
             names = batch.column("id")
-            files[0].stream.write(b"".join([x + last for x in found]))
+            files[0].stream.write(np.insert(found, starts[1:], end).tobytes())
             files[1].stream.write(names.fill_null(0).to_numpy().astype("<i8").tobytes())
-            files[2].stream.write(lengths.tobytes())
+            files[2].stream.write(lengths.astype("<u8").tobytes())
             docs, ids, nulls = docs + len(lengths), ids + int(lengths.sum()), nulls + names.null_count
         for f in files:
             f.commit()
-        rows = [[x] for x in (shard, docs, ids, nulls, own.width)] if docs else [[]] * 5
+        rows = [[x] for x in (shard, docs, ids, nulls, own.dtype.itemsize)] if docs else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, [pa.int64()] * 4 + [pa.int32()], strict=True)], names=["shard", "docs", "ids", "nulls", "width"])
 
     return run

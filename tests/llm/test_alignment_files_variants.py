@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from lexloom.llm import alignment, common, queries, token_files, variants, wordwise
@@ -33,25 +34,37 @@ def odd_texts(spark, odd_docs):
     return odd_docs.unionByName(more, allowMissingColumns=True).repartition(3).cache()
 
 
-@pytest.mark.parametrize("file, plain, kind", [(WORD, False, "apart"), (WORD, True, "apart"), (BYTE, True, "led"), (BYTE, False, "led")])
-def test_encoder_gives_the_library_s_ids(monkeypatch, file, plain, kind):
+def odd_strings(signs, n=600):
+    rng = random.Random(3)
+    return ODD + ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_encoder_gives_the_library_s_ids(monkeypatch, apart):
     monkeypatch.setattr(wordwise, "KEPT", 60)  # what is not kept is looked up again
     monkeypatch.setattr(wordwise, "TOGETHER", 7)
-    own, library = wordwise.Encoder(file, plain), Tokenizer.from_file(file)
-    library.encode_special_tokens = plain
-    rng = random.Random(3)
-    signs = "ab cD'é́ .,\n\t<|>5 中  s"
-    texts = ODD + ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(600)]
-    texts = texts + [" " + t for t in texts]
-    assert own.kind == kind
+    own, library = wordwise.Encoder(WORD), Tokenizer.from_file(WORD)
+    assert own.apart and own.dtype.itemsize == 2
+    own.apart = apart
+    texts = odd_strings("ab cD'é́ .,\n\t<|>5 中  s")
     for k in range(0, len(texts), 100):
+        ids, starts = own.encode(pa.array(texts)[k : k + 100])
         want = [e.ids for e in library.encode_batch(texts[k : k + 100], add_special_tokens=False)]
-        assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts[k : k + 100])] == want
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
 
 
 def test_other_vocabularies_see_whole_texts():
-    assert wordwise.kind_of({"model": {"type": "BPE"}, "pre_tokenizer": {"type": "Whitespace"}}) == "whole"
-    assert wordwise.kind_of({"model": {"type": "WordPiece"}}) == "whole"
+    assert not wordwise.drops_space({"model": {"type": "BPE"}, "pre_tokenizer": {"type": "Whitespace"}})
+    assert not wordwise.Encoder(BYTE).apart
+
+
+def test_byte_level_ids_are_the_library_s():
+    own, library = alignment.Bytes(BYTE), Tokenizer.from_file(BYTE)
+    library.encode_special_tokens = True
+    assert own.fast
+    texts = odd_strings("ab cD'é́ .,\n\t<|>5 中  s", 2000) + [" " * 999 + "x", "a" + " " * 50_000 + "b", "\n" * 30_000, "\t" * 1001 + "x", "x" * 100_000, "é" * 50_000, "ab1" * 20_000]
+    for text in texts:
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
 # ---------------------------------------------------------------- token files
