@@ -112,3 +112,17 @@ def glossary(text: Column) -> Column:
     every = F.array_compact(F.array(*found))
     meets = lambda x, y: (y["start"] < x["start"] + x["n"]) & (x["start"] < y["start"] + y["n"])
     return F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: meets(x, y)))
+
+
+def segments(text: Column, marks: Column) -> Column:
+    """array<struct<term, text>>: the text cut at all marks (struct<term, start, n>, none of which overlap), what stands
+    between them with a null term. The segments joined are the text."""
+    cuts = F.array_sort(F.transform(marks, lambda m: F.struct(m["start"], m["n"], m["term"])))
+
+    def cut(m: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(cuts, i - 1)["start"] + F.get(cuts, i - 1)["n"]).otherwise(0)
+        return F.array(F.struct(F.lit(None).cast("string").alias("term"), F.substring(text, before + 1, m["start"] - before).alias("text")), F.struct(m["term"], F.substring(text, m["start"] + 1, m["n"]).alias("text")))
+
+    last = F.get(cuts, F.size(cuts) - 1)
+    rest = F.struct(F.lit(None).cast("string").alias("term"), F.when(F.size(cuts) > 0, F.substring(text, last["start"] + last["n"] + 1, F.length(text))).otherwise(text).alias("text"))
+    return F.filter(F.concat(F.flatten(F.transform(cuts, cut)), F.array(rest)), lambda x: x["text"] != "")

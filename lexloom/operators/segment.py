@@ -154,3 +154,11 @@ def segment(lines: DataFrame, limit: int = LIMITS.clause_chars, most: int = LIMI
         "doc_id", F.concat(F.lit("c"), F.when(F.col("ord") < 999, F.lpad((F.col("ord") + 1).cast("string"), 3, "0")).otherwise((F.col("ord") + 1).cast("string"))).alias("clause_id"), "ord",
         F.when(~tail, F.col("label")).alias("label"), F.when(~tail, F.col("heading")).alias("heading"), "text", "page", "page_end",
     )
+
+
+def parsed(docs: DataFrame, clauses: DataFrame, most: int = LIMITS.total_chars) -> DataFrame:
+    """(doc_id, reason, clauses, chars) for all documents (doc_id): a reason where nothing, or too much, was found."""
+    found = clauses.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.sum(F.length("text")).alias("chars"))
+    met = docs.join(found, "doc_id", "left")
+    reason = F.when(F.col("clauses").isNull(), "NO_TEXT").when(F.col("chars") > most, "TOO_MUCH_TEXT")
+    return met.select("doc_id", reason.alias("reason"), F.coalesce("clauses", F.lit(0)).cast("long").alias("clauses"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))

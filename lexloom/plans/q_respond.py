@@ -202,6 +202,19 @@ def vw_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses(spark, sf_dir).select("doc_id", "clause_id", F.explode(M.glossary(F.col("text"))).alias("x")).select("doc_id", "clause_id", "x.term", "x.start")
 
 
+@query(f"""WITH {CTE}, found AS ({' UNION ALL '.join(f"SELECT doc_id, clause_id, {k} AS k, {sql_text(t)} AS term, {_at_sql(forms)} FROM clauses" for k, (t, forms) in enumerate(GLOSSARY.items()))}),
+f(doc_id, clause_id, k, term, pos, n) AS (SELECT * FROM found),
+m AS (SELECT * FROM f WHERE pos > 0 AND NOT EXISTS (SELECT 1 FROM f AS g WHERE g.doc_id = f.doc_id AND g.clause_id = f.clause_id AND g.k < f.k AND g.pos > 0 AND g.pos < f.pos + f.n AND f.pos < g.pos + g.n)),
+cut(doc_id, clause_id, begun, ended, term) AS (SELECT doc_id, clause_id, pos, pos + n, term FROM m UNION ALL
+  SELECT doc_id, clause_id, coalesce(lag(pos + n) OVER w, 1), pos, NULL FROM m WINDOW w AS (PARTITION BY doc_id, clause_id ORDER BY pos) UNION ALL
+  SELECT doc_id, clause_id, coalesce((SELECT max(m.pos + m.n) FROM m WHERE m.doc_id = t.doc_id AND m.clause_id = t.clause_id), 1), length(text) + 1, NULL FROM clauses AS t)
+SELECT doc_id, clause_id, CAST(row_number() OVER (PARTITION BY doc_id, clause_id ORDER BY begun) - 1 AS INT) AS place, term, substr(text, CAST(begun AS INT), CAST(ended - begun AS INT)) AS text FROM cut JOIN clauses USING (doc_id, clause_id) WHERE ended > begun""")
+def vw_glossary_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clause cut at its glossary terms: what is shown, piece by piece."""
+    rows = once(clauses(spark, sf_dir).select("doc_id", "clause_id", "text"), marks=M.glossary(F.col("text")))
+    return rows.select("doc_id", "clause_id", F.posexplode(M.segments(F.col("text"), F.col("marks"))).alias("place", "x")).select("doc_id", "clause_id", "place", "x.term", "x.text")
+
+
 @query(f"WITH {CTE} SELECT doc_id, string_agg('[[' || clause_id || CASE WHEN label IS NULL THEN '' ELSE ' | ' || label END || CASE WHEN page IS NULL THEN '' ELSE ' | p' || CAST(page AS VARCHAR) END || ']] ' || {T.sql_sanitize('text')}, chr(10) || chr(10) ORDER BY ord) AS prompt FROM clauses GROUP BY doc_id")
 def snk_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses(spark, sf_dir).groupBy("doc_id").agg(_prompt().alias("prompt"))

@@ -138,3 +138,11 @@ def src_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     status = F.when(F.trim("text") == "", "empty").when(n > LIMITS.clause_chars * 4, "too_much_text").otherwise("ok")
     return read(spark, sf_dir, "documents").select("doc_id", n.alias("chars"), status.alias("status"))
+
+
+@query(f"""{MERGE_CTE}, sized AS (SELECT doc_id, count(*) AS n, sum(length(text)) AS chars FROM segmented WHERE ord < {LIMITS.clauses} GROUP BY doc_id), l AS (SELECT DISTINCT doc_id FROM lines)
+SELECT l.doc_id, CASE WHEN n IS NULL THEN 'NO_TEXT' WHEN chars > {LIMITS.total_chars} THEN 'TOO_MUCH_TEXT' END AS reason, CAST(coalesce(n, 0) AS BIGINT) AS clauses, CAST(coalesce(chars, 0) AS BIGINT) AS chars FROM l LEFT JOIN sized USING (doc_id)""")
+def src_parse_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What parsing comes to: clauses and their characters, or the reason why there are none to work with."""
+    given = lines(spark, sf_dir)
+    return S.parsed(given.select("doc_id").distinct(), S.segment(given))
