@@ -7,7 +7,7 @@ from pathlib import Path
 import compare
 import pytest
 
-from lexloom.plans import q_compare, q_evaluate, q_more, q_report, q_respond, q_rules, q_segment, q_text, q_verify, registry  # noqa: F401
+from lexloom.plans import q_compare, q_evaluate, q_more, q_prepare, q_report, q_respond, q_rules, q_segment, q_text, q_verify, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
