@@ -6,11 +6,10 @@ join with threshold 1): shingles are ordered by how often they occur in all docu
 places each window listed under it; the length bound (the window must fit) and the positional bound (it starts where
 the shingle's place in the window says) leave one start per pair, and the words there are compared one by one.
 
-The benchmark side is taken in blocks of at most ``block`` windows. Every block is sent to all tasks, so what a task
-holds has that bound however large the benchmark grows; more blocks mean more passes over the documents, which carry
-their hits along. Documents are never shuffled, and each is handled by itself whatever passages it shares.
+A benchmark of at most ``block`` windows is sent to all tasks: documents are never shuffled, and each is handled by itself
+whatever passages it shares. A larger one meets the documents by shuffle (``decontam_join``), on the same prefixes.
 
-Cases. Null and wordless documents have 0 words and are clean; null and wordless items have no windows. Items that
+Cases. Texts of any length are taken whole; columns other than id and text do not matter. Null and wordless documents have 0 words and are clean; null and wordless items have no windows. Items that
 share windows are all hit; rows that repeat an item_id count as one item, and a null item_id reads as an empty string.
 Repeated documents keep their rows. Empty tables on either side give clean documents or no rows.
 """
@@ -25,16 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from . import decontam_join
+from .common import materialize, small_batches
 
 WINDOW = 13
 SHINGLE = 3
-#: Windows in one block; with 13 words each, some 30 MB in a task.
+#: Windows that are sent to all tasks; with 13 words each, some 30 MB.
 BLOCK = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same on bytes: A-Z become a-z, other ASCII but digits and a-z become spaces.
 TABLE = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters else b if b > 127 or chr(b) in string.digits else 32 for b in range(256))
-STATE = "id long, text binary, mask binary, items array<string>, n_words long, n_hit long"
+STATE = "id long, n_words long, n_hit long, items array<string>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -179,19 +179,12 @@ def _marking(shared):
                 doc = np.searchsorted(ends, start, side="right")
                 met.append(np.unique(doc * len(m.windows) + w))
             covered = np.cumsum(edge[:-1]) > 0
-            items: list[set[str]] = [set(x or ()) for x in batch.column("items").to_pylist()]
+            items: list[set[str]] = [set() for _ in range(batch.num_rows)]
             for pair in np.unique(np.concatenate(met)).tolist() if met else ():
                 items[pair // len(m.windows)].update(m.items[pair % len(m.windows)])
-            masks, hits = [], []
-            for k, old in enumerate(batch.column("mask").to_pylist()):
-                mask = covered[begins[k] : begins[k] + sizes[k]]
-                if old:
-                    mask = mask | np.unpackbits(np.frombuffer(old, np.uint8), count=int(sizes[k])).astype(bool)
-                masks.append(np.packbits(mask).tobytes())
-                hits.append(int(mask.sum()))
+            hits = [int(covered[a : a + n].sum()) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text"), pa.array(masks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64())],
-                names=["id", "text", "mask", "items", "n_words", "n_hit"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["id", "n_words", "n_hit", "items"]
             )
 
     return run
@@ -202,24 +195,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    cut = windows(benchmark, size).persist()
-    blocks = max(1, -(-cut.count() // block))
-    number = F.pmod(F.xxhash64("words"), F.lit(blocks))
-    state = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.lit(b"").cast("binary").alias("mask"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
-    for k in range(blocks):
-        own = [(r["words"], r["items"]) for r in cut.where(number == k).orderBy("words").toLocalIterator()]
-        m = Matcher(own)
-        shared = spark.sparkContext.broadcast(m)
-        counts = {w: np.zeros(len(t), dtype=np.int64) for w, t in m.tokens.items()}
-        if own:
-            seen = docs.select(text.alias("text")).mapInArrow(_counting(shared), "width long, token long, n long")
-            for r in seen.groupBy("width", "token").agg(F.sum("n").alias("n")).toLocalIterator():
-                counts[r["width"]][r["token"]] = r["n"]
-        m.choose(counts)
-        # Sent anew with the index chosen; no row is marked without it.
-        state = state.mapInArrow(_marking(spark.sparkContext.broadcast(m)), STATE)
-        shared.unpersist()
-    cut.unpersist()
+    cut = materialize(windows(benchmark, size))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    if cut.count() > block:
+        return _columns(decontam_join.hits(spark, rows, cut, size, SHINGLE, words), share, id_col)
+    own = [(r["words"], r["items"]) for r in cut.orderBy("words").toLocalIterator()]
+    m = Matcher(own)
+    shared = spark.sparkContext.broadcast(m)
+    counts = {w: np.zeros(len(t), dtype=np.int64) for w, t in m.tokens.items()}
+    if own:
+        seen = rows.select("text").mapInArrow(_counting(shared), "width long, token long, n long")
+        for r in seen.groupBy("width", "token").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r["width"]][r["token"]] = r["n"]
+    m.choose(counts)
+    # Sent anew with the index chosen; no row is marked without it.
+    state = rows.mapInArrow(_marking(spark.sparkContext.broadcast(m)), STATE)
+    shared.unpersist()
     return _columns(state, share, id_col)
 
 

@@ -5,7 +5,7 @@ to the sources by weight (a source's share stops at ``most`` times its own words
 by weight), and a document is taken floor(rate) times plus once more with a probability equal to the rate's fraction,
 decided by a seeded hash of its id.
 
-Cases. A null text has size 0. A null source is a source of its own and comes last in the order of sources. A source
+Cases. A null text has size 0; texts of any length are counted whole. A null source is a source of its own and comes last in the order of sources. A source
 whose texts hold no words has target 0 and its documents rate 0. Rows with equal ids are separate documents that share
 one draw; a null id draws as the text ``null``. An empty table gives an empty result. Further columns are carried
 through; columns named like the added ones are replaced.

@@ -2,8 +2,8 @@
 
 Pages are range-sorted by (id, SHA-1 of the payload) into shards. The splitters are quantiles of keys chosen by hash,
 so they depend on the rows alone (Spark's own range partitioner samples differently from run to run), and rows that
-share an id, or have none, are still cut apart by payload. Every shard is a partition of its own, about ``shard_bytes``
-whatever the table's size. Its task writes its records in order, one gzip member each, and begins a new file when the
+share an id, or have none, are still cut apart by payload. Every shard is a partition of its own, about ``shard_bytes``,
+or more where that would make over ``most_shards``. Its task writes its records in order, one gzip member each, and begins a new file when the
 compressed size passes ``roll_bytes``. A file is written under a temporary name that no other attempt uses and then
 takes its final name, in the place of what an attempt before left there; headers, digests and record ids are made from
 the row, so a repeated attempt puts the same bytes there. The job's last act is the manifest, written by Spark: readers
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches
 
-SHARD_BYTES = 16 << 20  # of payload in a shard, about
+SHARD_BYTES = 16 << 20  # of payload in a shard, about; more where that would make over MOST_SHARDS
+MOST_SHARDS = 50_000  # so that 800,000 sampled keys (60 MB) at most come to the driver, whatever the table's size
 ROLL_BYTES = 4 << 20  # compressed, in a file; a single record may be larger
 DATE = "2020-01-01T00:00:00Z"  # of all records: a clock would make archives differ
 SAMPLED_KEYS = 20_000  # keys from which splitters are chosen, about, or PER_SHARD of each shard if these are more
@@ -160,7 +161,7 @@ def splitters(keys: DataFrame, shards: int, rows: int) -> list[str]:
     return sorted({found[k * len(found) // shards] for k in range(1, shards)}) if found else []
 
 
-def write_warc(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> str:
+def write_warc(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, most_shards: int = MOST_SHARDS, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> str:
     """Write all pages below ``out`` (a folder that driver and executors share) and return the manifest's path."""
     spark = pages.sparkSession
     small_batches(spark, 500)
@@ -172,7 +173,7 @@ def write_warc(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int
     least = rows.where("grouped").groupBy("sha1", "size").agg(F.min("page_id").alias("least"))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     keys = rows.select(place(F.col("page_id"), F.col("sha1")).alias("place"))
-    cuts = splitters(keys, -(-(total["bytes"] or 0) // shard_bytes), total["n"])
+    cuts = splitters(keys, min(most_shards, -(-(total["bytes"] or 0) // shard_bytes)), total["n"])
 
     @F.pandas_udf("int")
     def shard(places: pd.Series) -> pd.Series:
@@ -254,7 +255,6 @@ def _reader(out: str):
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """Every record of the archives that the manifest lists, digests checked."""
     listed = spark.read.schema(MANIFEST).json(posixpath.join(out, "manifest")).where("file is not null").select("file")
-    # A number given keeps Spark from reading all archives in one task because their names are short.
     # A number given keeps Spark from reading all archives in one task because their names are short; ranges deal them
     # evenly, which hashes of so few names would not.
     return listed.repartitionByRange(max(1, listed.count()), "file").mapInArrow(_reader(out), RECORD)
