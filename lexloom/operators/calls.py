@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import responder
+from ..functions.shared import written
+from . import report, responder
 from .catalog import CATEGORIES, RISKS
 from .shapes import Items, Record, Text, type_of, violations
 
@@ -107,3 +108,11 @@ def claims(answered: DataFrame) -> DataFrame:
     claims: batches come one after the other, whatever order they were answered in."""
     each = answered.select("doc_id", "batch", F.posexplode("body.findings").alias("k", "x"))
     return each.select("doc_id", "batch", (F.col("batch") * 1000 + F.col("k")).alias("ord"), F.col("x.clauseId").alias("clause_id"), "x.category", "x.risk", "x.quote")
+
+
+def analyze(facts: DataFrame, respond: Responder, weights: dict[str, int]) -> DataFrame:
+    """The report of ``report.analyze`` with claims from any responder: a request that failed leaves its batch out and the
+    document partial; a document none of whose requests was answered has no report."""
+    answered = written(ask(requests(facts), respond))
+    failed = answered.select("doc_id", "batch", F.col("code").isNotNull().alias("failed"))
+    return report.analyze(facts.join(failed, ["doc_id", "batch"]), claims(answered).withColumn("failed", F.lit(False)), F.col("failed"), weights)
