@@ -77,8 +77,18 @@ def gaps_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.find_gaps(clauses(spark, sf_dir))
 
 
-#: Second-language titles, for some rules only: the rest fall back to the catalogue.
-TITLES_HI = {"IN-EMP-BOND": "समय से पहले छोड़ने पर भुगतान", "IN-EMP-NOTICE-LONG": "लंबा नोटिस", "IN-EMP-WAGES-50": "वेतन की बनावट"}
+#: Titles of rules, and labels of gaps, in the second language; what has none falls back to the catalogue.
+TITLES_HI = {
+    "IN-EMP-NONCOMPETE-POST": "नौकरी छोड़ने के बाद प्रतिस्पर्धा पर रोक", "IN-EMP-NONCOMPETE-DURING": "नौकरी के दौरान केवल यही काम", "IN-EMP-BOND": "समय से पहले छोड़ने पर भुगतान",
+    "IN-EMP-NOTICE-ASYMMETRIC": "आपका नोटिस ज़्यादा लंबा है", "IN-EMP-NOTICE-LONG": "लंबा नोटिस", "IN-EMP-DOC-RETENTION": "मूल दस्तावेज़ रख लिए जाते हैं", "IN-EMP-NONSOLICIT": "ग्राहकों या कर्मचारियों से संपर्क पर रोक",
+    "IN-EMP-CONFIDENTIALITY": "गोपनीयता", "IN-EMP-IP-BROAD": "आपके बनाए काम पर व्यापक दावा", "IN-EMP-TERMINATION-NO-NOTICE": "बिना नोटिस के सेवा समाप्ति", "IN-EMP-CLAWBACK": "बोनस वापस देना होगा",
+    "IN-EMP-UNILATERAL-CHANGE": "शर्तें एकतरफ़ा बदल सकती हैं", "IN-EMP-PROBATION-EXTEND": "बिना सीमा की परिवीक्षा", "IN-EMP-WAGES-50": "वेतन की बनावट", "IN-EMP-GRATUITY-FTE": "निश्चित अवधि की नौकरी में ग्रेच्युटी",
+    "IN-EMP-JURISDICTION": "विवाद कहाँ सुने जाएँगे",
+}
+LABELS_HI = {
+    "IN-EMP-MISSING-NOTICE": "नोटिस", "IN-EMP-MISSING-SALARY": "वेतन", "IN-EMP-MISSING-ROLE": "पद", "IN-EMP-MISSING-LOCATION": "काम की जगह", "IN-EMP-MISSING-LEAVE": "छुट्टी", "IN-EMP-MISSING-PROBATION": "परिवीक्षा",
+}
+NOT_STATED_HI = ": इस दस्तावेज़ में नहीं बताया गया"
 
 
 @query(f"{HITS_CTE} SELECT doc_id, clause_id, rule_id, coalesce({sql_case('rule_id', TITLES_HI)}, {sql_case('rule_id', {r.id: r.title for r in RULES})}) AS title FROM hits")
@@ -95,6 +105,13 @@ def rules_not_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.find_gaps(clauses(spark, sf_dir)).select("doc_id", "gap_id", F.concat("label", F.lit(": not stated in this document")).alias("line"))
 
 
+@query(f"{GAPS_CTE} SELECT doc_id, gap_id, {sql_case('gap_id', LABELS_HI)} || '{NOT_STATED_HI}' AS line FROM gaps")
+def gaps_localise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not stated, in the second language."""
+    labels = F.create_map(*[F.lit(x) for p in LABELS_HI.items() for x in p])
+    return R.find_gaps(clauses(spark, sf_dir)).select("doc_id", "gap_id", F.concat(F.coalesce(labels[F.col("gap_id")], "label"), F.lit(NOT_STATED_HI)).alias("line"))
+
+
 QUESTIONS = [(r.id, k, q) for r in RULES for k, q in enumerate(r.questions)]
 QUESTIONS_SQL = "questions(rule_id, k, question) AS (VALUES " + ", ".join(f"({sql_text(i)}, {k}, {sql_text(q)})" for i, k, q in QUESTIONS) + ")"
 
