@@ -137,20 +137,20 @@ def set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{HITS_CTE} SELECT doc_id, clause_id, norm.ord, rule_id, label FROM hits JOIN norm USING (doc_id, clause_id)")
 def join_inner_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with their clauses' places and labels, which come along: no clause is read twice."""
     from ..operators.rules import run_rules
 
-    docs = clauses(spark, sf_dir)
-    return run_rules(docs).select("doc_id", "clause_id", "rule_id").join(docs.select("doc_id", "clause_id", "ord", "label"), ["doc_id", "clause_id"])
+    return run_rules(clauses(spark, sf_dir), keep=("ord", "label")).select("doc_id", "clause_id", "rule_id", "ord", "label")
 
 
 @query(f"{HITS_CTE} SELECT doc_id, clause_id, CAST(count(rule_id) AS BIGINT) AS n, coalesce(string_agg(rule_id, ',' ORDER BY rule_id), '') AS rules FROM norm LEFT JOIN hits USING (doc_id, clause_id) GROUP BY doc_id, clause_id")
 def join_group_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.rules import run_rules
+    """The rules that fire on each clause, none included: a list in the clause's own row."""
+    from ..operators.rules import hits_of, with_facts
 
-    docs = clauses(spark, sf_dir)
-    hits = run_rules(docs).groupBy("doc_id", "clause_id").agg(F.sort_array(F.collect_list("rule_id")).alias("rules"))
-    both = docs.select("doc_id", "clause_id").join(hits, ["doc_id", "clause_id"], "left")
-    return both.select("doc_id", "clause_id", F.coalesce(F.size("rules"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join("rules", ","), F.lit("")).alias("rules"))
+    hits = F.transform(hits_of(F.col("category"), F.col("norm"), F.col("notice"), F.col("amount")), lambda h: h["rule_id"])
+    rows = with_facts(clauses(spark, sf_dir)).select("doc_id", "clause_id", F.sort_array(hits).alias("rules"))
+    return rows.select("doc_id", "clause_id", F.size("rules").cast("long").alias("n"), F.array_join("rules", ",").alias("rules"))
 
 
 @query(f"WITH {CTE} SELECT doc_id, clause_id FROM clauses WHERE category = 'PROBATION' AND doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")

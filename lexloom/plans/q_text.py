@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
@@ -30,11 +30,10 @@ def txt_normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, clause_id, CAST(i AS BIGINT) AS i, tokens[i] AS token, CAST(coalesce(list_sum(list_transform(tokens[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
 FROM t, unnest(range(1, len(tokens) + 1)) AS u(i)""")
 def txt_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = clauses(spark, sf_dir).select("doc_id", "clause_id", T.tokens(T.normalize(F.col("text"))).alias("tokens"))
-    # Offsets by a running sum inside the row: no shuffle.
-    starts = F.aggregate("tokens", F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t) + 1)))
-    flat = toks.select("doc_id", "clause_id", F.posexplode(F.arrays_zip("tokens", F.slice(starts, F.lit(1), F.size("tokens")).alias("start"))).alias("i", "t"))
-    return flat.select("doc_id", "clause_id", (F.col("i") + 1).cast("long").alias("i"), F.col("t.tokens").alias("token"), F.col("t.start").alias("start"))
+    flat = clauses(spark, sf_dir).select("doc_id", "clause_id", F.posexplode(T.tokens(T.normalize(F.col("text")))).alias("i", "token"))
+    # Offsets by a running sum along each clause.
+    before = F.sum(F.length("token") + 1).over(Window.partitionBy("doc_id", "clause_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    return flat.select("doc_id", "clause_id", (F.col("i") + 1).cast("long").alias("i"), "token", F.coalesce(before, F.lit(0)).cast("long").alias("start"))
 
 
 @query(f"{WITH} SELECT doc_id, clause_id, array_to_string(list_sort({T.sql_token_set('norm')}), ' ') AS words FROM norm")
