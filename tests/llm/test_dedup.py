@@ -272,3 +272,20 @@ def test_numbers_stay_when_the_files_are_split_anew(spark, tmp_path):
         for key in keys:
             spark.conf.unset(key)
     assert seen[0] == seen[1] and len(set(seen[0].values())) == 600
+
+
+def test_rows_are_dropped_with_and_without_a_broadcast(spark, monkeypatch):
+    docs = spark.range(500).selectExpr("id AS row", "concat('t', id) AS text")
+    gone = spark.range(0, 500, 3).selectExpr("id AS row").union(spark.range(0, 30, 3).selectExpr("id AS row"))
+    want = {f"t{k}" for k in range(500) if k % 3}
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        assert {r.text for r in common.without(docs, gone, "row").collect()} == want
+
+
+def test_mix_with_and_without_a_broadcast(clashing, monkeypatch):
+    found = []
+    for most in (mixing.BROADCAST_SOURCES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        found.append(sorted((tuple(r) for r in mixing.mix(clashing).select("doc_id", "source", "size", "target", "copies", "taken").collect()), key=repr))
+    assert found[0] == found[1] and found[0]
