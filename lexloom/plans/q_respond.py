@@ -60,10 +60,11 @@ def mk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASKED = ("Can they stop me joining a competitor?", "How much notice must I give?", "What is my salary in hand?", "Will they pay for insurance of my parents?", "When do I get my original certificates back?")
-ASK_CTE = f"""WITH {CTE}, topics(t, asks, has, status) AS (VALUES {', '.join(f"({k}, {sql_text(a)}, {sql_text(c)}, {sql_text(s)})" for k, (a, c, s, _) in enumerate(M.TOPICS))}),
+ASK_PARTS = f"""topics(t, asks, has, status) AS (VALUES {', '.join(f"({k}, {sql_text(a)}, {sql_text(c)}, {sql_text(s)})" for k, (a, c, s, _) in enumerate(M.TOPICS))}),
 questions(q, question) AS (VALUES {', '.join(f"({k}, {sql_text(x)})" for k, x in enumerate(ASKED))}), met AS (SELECT q, t, has, status FROM questions JOIN topics ON regexp_matches(question, asks, 'i')),
 cand AS (SELECT c.doc_id, met.q, t, status, c.clause_id, {CITE_SQL} AS quote, row_number() OVER (PARTITION BY c.doc_id, met.q ORDER BY t, ord) AS rn FROM clauses AS c JOIN met ON regexp_matches(c.text, has, 'i')),
 answers AS (SELECT d.doc_id, questions.q, coalesce(status, 'not_in_document') AS status, clause_id, quote FROM (SELECT DISTINCT doc_id FROM clauses) AS d CROSS JOIN questions LEFT JOIN (SELECT * FROM cand WHERE rn = 1) AS best ON d.doc_id = best.doc_id AND questions.q = best.q)"""
+ASK_CTE = f"WITH {CTE}, {ASK_PARTS}"
 
 
 def topics(text: Column) -> Column:

@@ -11,8 +11,8 @@ from ..functions import extract as X
 from ..functions.patterns import sql_case, sql_matches, sql_text
 from ..operators import rules as R
 from ..operators.catalog import GAPS, NO_KEEPING, RISKS, RULES, TIME_LIMIT, Rule
-from .contracts import clauses
-from .q_text import NOTICE_CTE, PARTS_SQL, WITH
+from .contracts import CTE, clauses
+from .q_text import NORM_CTE, NOTICE_CTE, PARTS_SQL
 from .registry import ORACLE, QUERIES, query
 
 #: In SQL without look-ahead: the text behind the last promise of a sentence must hold no time limit.
@@ -40,10 +40,18 @@ def _sql_hit(r: Rule) -> str:
     return f"SELECT doc_id, clause_id, {sql_text(r.id)} AS rule_id, {severity} AS severity, " + ", ".join(f"CAST({v} AS VARCHAR) AS {k}" for k, v in shown.items()) + f" FROM facts WHERE {' AND '.join(where)}"
 
 
-HITS_CTE = f"""{WITH}, {NOTICE_CTE},
+
+
+def hits_parts(steered: bool = False) -> str:
+    """Tables up to ``hits`` from ``clauses``; steered: by the categories of ``cats`` instead of the clauses' own."""
+    columns, steer = ("norm.* REPLACE (cats.category AS category)", " LEFT JOIN cats USING (doc_id, clause_id)") if steered else ("norm.*", "")
+    return f"""{NORM_CTE}, {NOTICE_CTE},
 money AS (SELECT doc_id, clause_id, max(m.rupees) AS amount FROM norm, unnest({X.sql_amounts('norm')}) AS u(m) GROUP BY doc_id, clause_id),
-facts AS (SELECT norm.*, amount, e_days, e_text, c_days, c_text, u_days, u_text FROM norm LEFT JOIN money USING (doc_id, clause_id) LEFT JOIN notices USING (doc_id, clause_id)),
+facts AS (SELECT {columns}, amount, e_days, e_text, c_days, c_text, u_days, u_text FROM norm{steer} LEFT JOIN money USING (doc_id, clause_id) LEFT JOIN notices USING (doc_id, clause_id)),
 hits AS ({' UNION ALL '.join(_sql_hit(r) for r in RULES)})"""
+
+
+HITS_CTE = f"WITH {CTE}, {hits_parts()}"
 RISK_SQL = sql_case("severity", RISKS)
 
 
@@ -69,7 +77,8 @@ for _rule in RULES:
     ORACLE[_name] = f"{HITS_CTE} SELECT doc_id, clause_id, severity FROM hits WHERE rule_id = {sql_text(_rule.id)}"
 
 STATED_SQL = ", ".join(f"bool_or({sql_matches('norm', g.pattern)}{' OR coalesce(e_days, c_days, u_days) IS NOT NULL' if g.id.endswith('NOTICE') else ''}) AS g{k}" for k, g in enumerate(GAPS))
-GAPS_CTE = f"{HITS_CTE}, stated AS (SELECT doc_id, {STATED_SQL} FROM facts GROUP BY doc_id), gaps AS (" + " UNION ALL ".join(f"SELECT doc_id, {sql_text(g.id)} AS gap_id, {sql_text(g.label)} AS label, {sql_text(g.question)} AS question FROM stated WHERE NOT g{k}" for k, g in enumerate(GAPS)) + ")"
+GAPS_PARTS = f"stated AS (SELECT doc_id, {STATED_SQL} FROM facts GROUP BY doc_id), gaps AS (" + " UNION ALL ".join(f"SELECT doc_id, {sql_text(g.id)} AS gap_id, {sql_text(g.label)} AS label, {sql_text(g.question)} AS question FROM stated WHERE NOT g{k}" for k, g in enumerate(GAPS)) + ")"
+GAPS_CTE = f"{HITS_CTE}, {GAPS_PARTS}"
 
 
 @query(f"{GAPS_CTE} SELECT * FROM gaps")

@@ -13,7 +13,8 @@ from ..operators.rules import employee_notice, salary_parts, with_facts
 from .contracts import CTE, clauses
 from .registry import query, read
 
-WITH = f"WITH {CTE}, norm AS (SELECT *, {T.sql_normalize('text')} AS norm FROM clauses)"
+NORM_CTE = f"norm AS (SELECT *, {T.sql_normalize('text')} AS norm FROM clauses)"
+WITH = f"WITH {CTE}, {NORM_CTE}"
 
 
 @query(f"{WITH} SELECT doc_id, clause_id, norm, CAST(length(norm) AS BIGINT) AS n_chars FROM norm")

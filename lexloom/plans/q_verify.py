@@ -30,17 +30,19 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.with_claims(claims(spark, sf_dir), clauses(spark, sf_dir))
 
 
-PAIRS_CTE = f"""WITH {CTE}, claims AS (SELECT doc_id, ord, {CLAIMED} AS clause_id, {QUOTE} AS quote FROM clauses),
+PAIRS_PARTS = f"""claims AS (SELECT doc_id, ord, {CLAIMED} AS clause_id, {QUOTE} AS quote FROM clauses),
 pairs AS (SELECT claims.doc_id, claims.ord, claims.clause_id, quote, text, {T.sql_normalize('text')} AS norm, {T.sql_normalize('quote')} AS needle FROM claims LEFT JOIN clauses USING (doc_id, clause_id)),
 exact AS (SELECT *, length(needle) >= 12 AND coalesce(length(norm), 0) > 0 AND coalesce(instr(norm, needle), 0) > 0 AS hit FROM pairs)"""
+PAIRS_CTE = f"WITH {CTE}, {PAIRS_PARTS}"
 TOK_CTE = f"""tok AS (SELECT doc_id, ord, {T.sql_tokens('needle')} AS q, {T.sql_tokens('norm')} AS h FROM exact WHERE NOT hit AND length(needle) >= 12 AND norm IS NOT NULL),
 kept AS (SELECT *, len(q) AS n, len(h) AS hn, list_distinct(list_concat(q, h)) AS d FROM tok WHERE len(h) BETWEEN 1 AND 2000 AND len(q) > 0
   AND len(q) - list_sum(list_transform(list_distinct(q), lambda w: least(len(list_filter(q, lambda x: x = w)), len(list_filter(h, lambda x: x = w))))) <= ceil((len(q) + 2) * (1 - 0.9::DOUBLE))),
 coded AS (SELECT doc_id, ord, n, hn, array_to_string(list_transform(q, lambda t: chr(CAST(19967 + list_position(d, t) AS INT))), '') AS qc, list_transform(h, lambda t: chr(CAST(19967 + list_position(d, t) AS INT))) AS hc FROM kept),
 wins AS (SELECT doc_id, ord, n, s, z, 1.0::DOUBLE - levenshtein(qc, array_to_string(hc[s + 1:s + z], ''))::DOUBLE / greatest(n, z) AS score FROM coded, unnest(range(0, hn)) AS a(s), unnest(range(greatest(1, n - 2), n + 3)) AS b(z) WHERE s + z <= hn),
-best AS (SELECT doc_id, ord, s, z, score, row_number() OVER (PARTITION BY doc_id, ord ORDER BY score DESC, abs(z - n), s, z) AS rn FROM wins WHERE score >= 0.9::DOUBLE)"""
-STATUS_CTE = f"""{PAIRS_CTE}, {TOK_CTE}, verified AS (SELECT exact.doc_id, exact.ord, clause_id, CASE WHEN hit THEN 'verified' WHEN best.rn = 1 THEN 'fuzzy' ELSE 'unverified' END AS status,
-  CAST(CASE WHEN hit THEN 1.0 ELSE coalesce(best.score, 0) END AS DOUBLE) AS score, quote, text FROM exact LEFT JOIN (SELECT * FROM best WHERE rn = 1) AS best USING (doc_id, ord))"""
+nearest AS (SELECT doc_id, ord, s, z, score, row_number() OVER (PARTITION BY doc_id, ord ORDER BY score DESC, abs(z - n), s, z) AS rn FROM wins WHERE score >= 0.9::DOUBLE)"""
+STATUS_PARTS = f"""{PAIRS_PARTS}, {TOK_CTE}, verified AS (SELECT exact.doc_id, exact.ord, clause_id, CASE WHEN hit THEN 'verified' WHEN nearest.rn = 1 THEN 'fuzzy' ELSE 'unverified' END AS status,
+  CAST(CASE WHEN hit THEN 1.0 ELSE coalesce(nearest.score, 0) END AS DOUBLE) AS score, quote, text FROM exact LEFT JOIN (SELECT * FROM nearest WHERE rn = 1) AS nearest USING (doc_id, ord))"""
+STATUS_CTE = f"WITH {CTE}, {STATUS_PARTS}"
 
 
 @query(f"{PAIRS_CTE} SELECT doc_id, ord, CASE WHEN hit THEN 'verified' ELSE 'unverified' END AS status, CASE WHEN hit THEN CAST(instr(norm, needle) - 1 AS INT) END AS start, CASE WHEN hit THEN CAST(instr(norm, needle) - 1 + length(needle) AS INT) END AS \"end\" FROM exact")
@@ -61,7 +63,7 @@ def read_norm(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFra
     return read(spark, sf_dir, table).select(key, T.normalize(F.col("text")).alias("norm"))
 
 
-@query(f"{PAIRS_CTE}, {TOK_CTE} SELECT doc_id, ord, CAST(s AS INT) AS start, CAST(s + z AS INT) AS \"end\", score FROM best WHERE rn = 1")
+@query(f"{PAIRS_CTE}, {TOK_CTE} SELECT doc_id, ord, CAST(s AS INT) AS start, CAST(s + z AS INT) AS \"end\", score FROM nearest WHERE rn = 1")
 def vq_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.best_windows(V._prepared(pairs(spark, sf_dir)), KEY)
 
