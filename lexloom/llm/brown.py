@@ -69,6 +69,29 @@ def slot(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % SLOTS
 
 
+class Line:
+    """The tokens of a batch of texts (binary) in a row, as numbers of its distinct words: cut and numbered by Arrow, so
+    that only distinct words are looked up one by one."""
+
+    def __init__(self, texts: pa.Array):
+        compute = pa.compute
+        lists = compute.ascii_split_whitespace(compute.ascii_lower(texts.cast(pa.large_string())))
+        offsets = lists.offsets.to_numpy()
+        found = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        real = compute.greater(compute.binary_length(found), 0)  # separators at a text's edge leave empty strings
+        kept = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[offsets - offsets[0]]
+        numbered = found.filter(real).dictionary_encode()
+        self.distinct = pa.concat_arrays([numbered.dictionary.cast(pa.large_binary()), pa.array([END], pa.large_binary())])
+        self.words: list[bytes] = self.distinct.to_pylist()
+        #: Where each text's tokens begin, and the number of all tokens; an end stands behind every text.
+        self.begun = kept + np.arange(len(kept))
+        self.at = np.insert(numbered.indices.to_numpy().astype(np.int64), kept[1:], len(self.words) - 1)
+
+    def looked_up(self, table: dict[bytes, int]) -> np.ndarray:
+        """What a table gives for each distinct word."""
+        return np.fromiter((table[w] for w in self.words), np.int64, len(self.words))
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
@@ -78,8 +101,11 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(tokens(text))
+        if not batch.num_rows:
+            continue
+        line = Line(batch.column("text"))
+        for word, n in zip(line.words, np.bincount(line.at, minlength=len(line.words)).tolist(), strict=True):
+            counts[word] += n
         if len(counts) > FLUSH:
             yield out()
     yield out()
@@ -115,11 +141,11 @@ def _bigrams(shared):
             return pa.RecordBatch.from_arrays([pa.array(code >> SHIFT), pa.array(code & ((1 << SHIFT) - 1)), pa.array(n)], names=["u", "v", "n"])
 
         for batch in batches:
-            rows = [np.array([lexicon[END]])]
-            for text in batch.column("text").to_pylist():
-                rows.append(np.array([lexicon[w] for w in tokens(text)]))
-            line = np.concatenate(rows)
-            code, n = np.unique(line[:-1] << SHIFT | line[1:], return_counts=True)
+            if not batch.num_rows:
+                continue
+            line = Line(batch.column("text"))
+            units = np.append(lexicon[END], line.looked_up(lexicon)[line.at])
+            code, n = np.unique(units[:-1] << SHIFT | units[1:], return_counts=True)
             keys.append(code), sums.append(n)
             held += len(code)
             if held > 4 * FLUSH:
@@ -226,26 +252,16 @@ def _contexts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, context = shared.value
-        first, size = int(context[lexicon[END]]), len(lexicon.words)
-        # The context stands behind the word, a separator between: one string to count instead of a pair.
-        marks = [END + bytes([c]) for c in context.tolist()]
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            words, before = [k[:-2] for k in counts], [k[-1] for k in counts]
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "before", "n"])
-            counts.clear()
-            return batch
-
+        size = len(lexicon.words)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = tokens(text)
-                at = [lexicon[w] for w in found]
-                before = [END + bytes([first]), *map(marks.__getitem__, at)]
-                counts.update([w + m for w, k, m in zip(found, at, before) if k >= size])
-            if len(counts) > FLUSH:
-                yield out()
-        yield out()
+            if not batch.num_rows:
+                continue
+            line = Line(batch.column("text"))
+            units = line.looked_up(lexicon)[line.at]
+            before = context[np.append(lexicon[END], units[:-1])]
+            rare = units >= size
+            code, n = np.unique(line.at[rare] << 8 | before[rare], return_counts=True)  # 256 classes at most
+            yield pa.RecordBatch.from_arrays([line.distinct.take(pa.array(code >> 8)).cast(pa.binary()), pa.array((code & 255).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "before", "n"])
 
     return run
 
@@ -302,20 +318,24 @@ class ClassModel:
         self.log_count = np.log10(np.concatenate([lexicon.counts, sent.column("c").to_numpy()]) + 0.5)
         self.own_class = np.concatenate([class_of_unit[: len(lexicon.words)], sent.column("class").to_numpy()]).astype(np.int64)
 
-    def measures(self, text: bytes) -> tuple[int, int, float, float, list[bytes], np.ndarray, np.ndarray]:
-        """Tokens, those looked up, their sums of log10(count + 0.5) and of all else, the other words, the contexts
-        before these, and the classes that they have if they were never seen."""
-        words, lexicon, more = tokens(text), self.lexicon, self.more
-        at = np.array([lexicon[w] for w in words])
-        classes = self.class_of_unit[at]
-        before = np.append(self.class_of_unit[lexicon[END]], classes[:-1])
-        known = np.where(at < len(lexicon.words), at, -1)
+    def measures(self, line: Line) -> tuple[np.ndarray, ...]:
+        """For each text its tokens, those looked up, and their sums of log10(count + 0.5) and of all else; for each
+        other token its text, its word (by number), the context before it, and its class if it was never seen."""
+        lexicon, more = self.lexicon, self.more
+        units = line.looked_up(lexicon)
+        known = np.where(units < len(lexicon.words), units, -1)
         if more:
             rare = np.flatnonzero(known < 0)
-            known[rare] = [more.get(words[k], -1) for k in rare]
-        own, other = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
-        known = known[own]
-        return len(words), len(own), float(self.log_count[known].sum()), float(self.step[before[own], self.own_class[known]].sum()), [words[k] for k in other], before[other], classes[other]
+            known[rare] = [more.get(line.words[k], -1) for k in rare.tolist()]
+        classes = self.class_of_unit[units][line.at]
+        before = np.append(self.class_of_unit[lexicon[END]], classes[:-1])
+        place = known[line.at]
+        own, first = place >= 0, line.begun[:-1]
+        logs, rest = np.zeros(len(place)), np.zeros(len(place))
+        logs[own], rest[own] = self.log_count[place[own]], self.step[before[own], self.own_class[place[own]]]
+        sums = [np.add.reduceat(x, first) for x in (own.astype(np.int64), logs, rest)]
+        other = np.flatnonzero(~own)
+        return np.diff(line.begun), *sums, np.searchsorted(line.begun, other, "right") - 1, line.at[other], before[other], classes[other]
 
 
 SCORED = "row long, word binary, before int, unseen int, id long, held_out boolean, n_tokens long, known long, logs double, rest double"
@@ -327,23 +347,18 @@ def _measuring(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << SHIFT
         for batch in batches:
-            ids, held = batch.column("id"), batch.column("held_out")
-            got = [shared.value.measures(t) for t in batch.column("text").to_pylist()]
-            if not got:
+            if not batch.num_rows:
                 continue
-            n, known, logs, rest, words, before, unseen = zip(*got, strict=True)
-            rows = np.arange(number, number + len(got))
-            number += len(got)
-            of = np.repeat(rows, [len(w) for w in words])
-            none, total = pa.nulls, len(of)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([rows, of])), pa.array([*(END + str(k).encode() for k in rows.tolist()), *(w for x in words for w in x)], pa.binary()),
-                    pa.concat_arrays([none(len(got), pa.int32()), pa.array(np.concatenate(before), pa.int32())]), pa.concat_arrays([none(len(got), pa.int32()), pa.array(np.concatenate(unseen), pa.int32())]),
-                    *(pa.concat_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x, none(total, t)]) for x, t in ((ids, pa.int64()), (held, pa.bool_()), (n, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (rest, pa.float64()))),
-                ],
-                names=[x.split()[0] for x in SCORED.split(", ")],
-            )
+            line, texts = Line(batch.column("text")), batch.num_rows
+            n, known, logs, rest, of, words, before, unseen = shared.value.measures(line)
+            rows = np.arange(number, number + texts)
+            number += texts
+            names = pa.concat_arrays([pa.array([END + str(k).encode() for k in rows.tolist()], pa.large_binary()), line.distinct.take(pa.array(words))]).cast(pa.binary())
+            front = lambda x, t: pa.concat_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x, pa.nulls(len(of), t)])  # noqa: E731, B023
+            behind = lambda x: pa.concat_arrays([pa.nulls(texts, pa.int32()), pa.array(x.astype(np.int32))])  # noqa: E731, B023
+            columns = [pa.array(np.concatenate([rows, rows[of]])), names, behind(before), behind(unseen)]
+            columns += [front(x, t) for x, t in ((batch.column("id"), pa.int64()), (batch.column("held_out"), pa.bool_()), (n, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (rest, pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
