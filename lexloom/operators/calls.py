@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import let
 from ..functions.shared import written
 from . import report, responder
 from .catalog import CATEGORIES, RISKS
@@ -68,8 +69,8 @@ def deterministic(requests: DataFrame) -> DataFrame:
     clauses = F.from_json("payload", type_of(PAYLOAD))["clauses"]
 
     def finding(c: Column) -> Column:
-        found = responder.classify(c["text"])
-        return F.when(found.isNotNull(), F.struct(c["id"].alias("clauseId"), found["category"].alias("category"), found["risk"].alias("risk"), responder.quote_from(c["text"]).alias("quote")))
+        said = lambda found: F.when(found.isNotNull(), F.struct(c["id"].alias("clauseId"), found["category"].alias("category"), found["risk"].alias("risk"), responder.quote_from(c["text"]).alias("quote")))
+        return let(responder.classify(c["text"]), said)
 
     made = F.to_json(F.struct(F.array_compact(F.transform(clauses, finding)).alias("findings")))
     return requests.select("request_id", made.alias("raw_json"), F.lit(None).cast("string").alias("code"))
