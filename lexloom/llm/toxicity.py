@@ -29,11 +29,12 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,14 +82,38 @@ def sampled(text: str) -> Sampled:
     return Sampled(Counter(words), frozenset((min(runs), max(runs))), cut if len(cut) <= FIT_WINDOWS else sorted(cut, key=zlib.crc32)[:FIT_WINDOWS])
 
 
-def distinct(docs: list[Sampled]) -> list[Sampled]:
+class Samples(Sequence):
+    """Sampled documents in the memory of the Arrow table that they came in; each is made when it is asked for, as all of
+    them as Python's objects take many times as much."""
+
+    def __init__(self, table: pa.Table, at: np.ndarray):
+        self.table, self.at = table, at
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Samples:
+        """In order of their ids."""
+        table = table.combine_chunks()
+        ids, runs, sizes = table.column("doc_id").to_pylist(), table.column("runs").to_pylist(), pa.compute.list_value_length(table.column("words")).to_pylist()
+        return cls(table, np.array(sorted(range(len(ids)), key=lambda k: (ids[k], runs[k], sizes[k])), dtype=np.int64))
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, k):
+        if isinstance(k, (slice, list)):
+            return Samples(self.table, self.at[k])
+        words, n, runs, windows = (self.table.column(c)[int(self.at[k])].as_py() for c in ("words", "n", "runs", "windows"))
+        return Sampled(Counter(dict(zip(words, n, strict=True))), frozenset(runs), windows)
+
+
+def distinct(docs: Sequence[Sampled]) -> Sequence[Sampled]:
     """The first of each group of copies and near copies."""
     seen, kept = set(), []
-    for d in docs:
+    for k, d in enumerate(docs):
         if not d.runs & seen:
-            kept.append(d)
+            kept.append(k)
         seen |= d.runs
-    return kept
+    return docs[kept] if isinstance(docs, Samples) else [docs[k] for k in kept]
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -130,7 +155,7 @@ def significance(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
 class Tallies:
     """Numbers of documents that hold a piece, and of its occurrences, by class and part of the sample."""
 
-    def __init__(self, toxic: list[Sampled], ordinary: list[Sampled]):
+    def __init__(self, toxic: Sequence[Sampled], ordinary: Sequence[Sampled]):
         self.docs = toxic, ordinary
         self.number: dict[bytes, int] = {}
         number = self.number
@@ -138,7 +163,7 @@ class Tallies:
             for word in d.words:
                 for p in pieces(word):
                     number.setdefault(p, len(number))
-        self.holders, self.times = np.zeros((2, 2, FOLDS, len(number)), dtype=np.int64)
+        self.holders, self.times = np.zeros((2, 2, FOLDS, len(number)), dtype=np.int32)
         for c, docs in enumerate(self.docs):
             for k, d in enumerate(docs):
                 found = [(number[p], n) for word, n in d.words.items() for p in pieces(word) if p in number]
@@ -230,7 +255,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 4
 
 
 class ToxicityModel:
-    def __init__(self, toxic: list[Sampled], ordinary: list[Sampled], share: float):
+    def __init__(self, toxic: Sequence[Sampled], ordinary: Sequence[Sampled], share: float):
         """share: of toxic rows among all labelled; the sample is weighed back to it."""
         self.distance, self.share = None, share
         toxic, ordinary = distinct(toxic), distinct(ordinary)
@@ -274,11 +299,10 @@ def fit(train: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_ordinar
     n, bad = share["n"], share["bad"] or 0
     docs = train.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def sample(of: int, rows: int, seed: int, total: int) -> list[Sampled]:
+    def sample(of: int, rows: int, seed: int, total: int) -> Samples:
         chosen = about(marks.where(F.col("toxic") == of), "doc_id", rows, seed=seed, total=total).select("doc_id")
         made = docs.join(chosen, "doc_id").mapInArrow(_sampling, "doc_id long, words array<binary>, n array<long>, runs array<long>, windows array<binary>")
-        rows_ = sorted(made.collect(), key=lambda r: (r["doc_id"], r["runs"], len(r["words"])))
-        return [Sampled(Counter({bytes(w): k for w, k in zip(r["words"], r["n"], strict=True)}), frozenset(r["runs"]), [bytes(w) for w in r["windows"]]) for r in rows_]
+        return Samples.of(made.toArrow())
 
     return ToxicityModel(sample(1, n_toxic, 31, bad), sample(0, n_ordinary, 32, n - bad), bad / n if n else 0.0)
 
