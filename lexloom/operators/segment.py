@@ -156,6 +156,13 @@ def segment(lines: DataFrame, limit: int = LIMITS.clause_chars, most: int = LIMI
     )
 
 
+def page_range(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, page_end): the first and last page of a document's clauses. Fragments that join the block above, and
+    long blocks that are cut, keep their pages between them, so that blocks give what clauses would, without a text."""
+    found = fold_sections(blocks(lines))
+    return found.groupBy("doc_id").agg(F.min("page").alias("page"), F.max("page_end").alias("page_end"))
+
+
 def parsed(docs: DataFrame, clauses: DataFrame, most: int = LIMITS.total_chars) -> DataFrame:
     """(doc_id, reason, clauses, chars) for all documents (doc_id): a reason where nothing, or too much, was found."""
     found = clauses.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.sum(F.length("text")).alias("chars"))

@@ -113,7 +113,7 @@ def seg_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{MERGE_CTE} SELECT doc_id, CAST(min(page) AS INT) AS page, CAST(max(page_end) AS INT) AS page_end FROM segmented GROUP BY doc_id")
 def agg_min_max_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.segment(lines(spark, sf_dir)).groupBy("doc_id").agg(F.min("page").alias("page"), F.max("page_end").alias("page_end"))
+    return S.page_range(lines(spark, sf_dir))
 
 
 @query(f"{FOLD_CTE} SELECT doc_id, CAST(block AS BIGINT) AS block, nxt AS next_label FROM rests")
