@@ -96,13 +96,15 @@ def fold_sections(found: DataFrame) -> DataFrame:
     titled = label.isNotNull() & F.coalesce(F.startswith(after, F.concat(label, F.lit("."))), F.lit(False)) & (F.col("n_lines") == 1)
     titled = titled & F.length(rest).between(1, 80) & ~rest.rlike(r"[.;:!?]\z") & (words_in(rest) <= 8)
     rows = found.withColumn("title", F.when(titled, F.when(~rest.rlike("[a-z]"), title_case(rest)).otherwise(rest)))
-    rows = rows.withColumn("section", F.sum(F.col("title").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    under = Window.partitionBy("doc_id", "section").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("of", F.first(F.when(F.col("title").isNotNull(), label), ignorenulls=True).over(under)).withColumn("named", F.first("title", ignorenulls=True).over(under))
-    left = F.col("title").isNull() & label.isNotNull() & ~F.startswith(label, F.concat("of", F.lit(".")))
-    rows = rows.withColumn("left", F.max(F.coalesce(left, F.lit(False)).cast("int")).over(under))
-    inside = (F.col("left") == 0) & F.col("named").isNotNull() & label.isNotNull() & F.col("heading").isNull()
-    return rows.withColumn("heading", F.when(inside, F.col("named")).otherwise(F.col("heading"))).where("title is null").drop("title", "section", "of", "named", "left")
+    # All running values follow one order, so that a document's blocks are sorted once.
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col("title").isNotNull()
+    rows = rows.withColumns({"of": F.last(F.when(begins, label), ignorenulls=True).over(so_far), "named": F.last("title", ignorenulls=True).over(so_far), "begun": F.max(F.when(begins, F.col("block"))).over(so_far)})
+    left = ~begins & label.isNotNull() & ~F.startswith(label, F.concat("of", F.lit(".")))
+    # A section is left from its first block with a label of another on.
+    rows = rows.withColumn("left", F.coalesce(F.max(F.when(left, F.col("block"))).over(so_far) > F.col("begun"), F.lit(False)))
+    inside = ~F.col("left") & F.col("named").isNotNull() & label.isNotNull() & F.col("heading").isNull()
+    return rows.withColumn("heading", F.when(inside, F.col("named")).otherwise(F.col("heading"))).where("title is null").drop("title", "of", "named", "begun", "left")
 
 
 def merge_fragments(found: DataFrame) -> DataFrame:
